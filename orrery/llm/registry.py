@@ -5,12 +5,18 @@ from __future__ import annotations
 from orrery.llm.bpe import op10_bpe
 from orrery.llm.chat_format import OP2_SQL, op2_chat_format
 from orrery.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from orrery.llm.lm_score import op3_lm_score
+from orrery.llm.packing import op1_packing
 from orrery.llm.quality_rules import OP9_SQL, op9_quality_rules
+from orrery.llm.toxicity import op6_toxicity
 from orrery.llm.url_filter import op4_url_filter
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
+    "op3_lm_score": op3_lm_score,
     "op4_url_filter": op4_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
