@@ -14,11 +14,11 @@ is at least `percent` hundredths. Sets that are equal are one node (by a 64-bit
    subclasses whose pairs are the signatures, so x of them in a subclass need x - 1 missing. The number of
    subclasses follows the size band; a set uses its own band and those of possible partners. A set whose prefix
    holds only shingles of one document has no partner and goes no further.
-3. Verification, exact, on whole sets, in rounds that keep the number of pairs near the number of sets: each
-   set against the leader of most of its signatures' lists; then, in lists that still hold several components,
-   every set against the list's leader; then what can still link: sets of different components in one list
-   whose distances to the leader differ by no more than the threshold (1 - Jaccard is a metric). Pairs within
-   one component cannot change it, so no group of copies is expanded into all pairs.
+3. Verification, exact, on whole sets. First each set against the leader of most of its signatures' lists;
+   what links there makes components. Then only lists that hold several components are left: the sets of all
+   such lists with one leader are cut into blocks, and each two blocks are compared at once, by counting common
+   shingles as a matrix product. A pair of blocks returns the few links that join components, never all its
+   pairs, and sets of one component, which further links cannot change, are not told apart again.
 
 Defined results: a null text is empty; an empty set links with nothing and is its own component; repeated rows
 are equal sets; the component of rows whose ids are null has the least other id, or null; an empty table gives
@@ -149,7 +149,8 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int) -> np.ndarray
 
 
 def sketch(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bits: int, filters: list[np.ndarray]) -> DataFrame:
-    """doc_id, n int, node long, and for sets that can have a partner sigs array<long> and toks binary."""
+    """doc_id, n int, node long, and for sets that can have a partner sigs array<long> and toks binary (the
+    shingles of two documents or more: only these can be common)."""
     sizes = np.array([len(f) * 8 for f in filters], np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((np.concatenate(filters), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes))
 
@@ -160,10 +161,11 @@ def sketch(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bi
             at, nodes, sigs, toks = 0, [], [], []
             for s in sets:
                 nodes.append(tx.mix(np.array([int(np.bitwise_xor.reduce(tx.mix(s, 5))) ^ len(s)], np.uint64) + np.sum(tx.mix(s, 6)), 7)[0])
-                own = signatures(s, kinds[at : at + len(s)], percent)
+                kind = kinds[at : at + len(s)]
+                own = signatures(s, kind, percent)
                 at += len(s)
                 sigs.append(None if own is None else own.view(np.int64))
-                toks.append(None if own is None else s.tobytes())
+                toks.append(None if own is None else s[kind > 0].tobytes())
             cols = [rb.column(id_col), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sigs, pa.list_(pa.int64())), pa.array(toks, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "sigs", "toks"])
 
@@ -172,21 +174,107 @@ def sketch(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bi
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """pairs (a, b) with both (the size of the intersection), either (of the union), link boolean, written down."""
+    """The pairs (a, b) that link, written down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            both, either = [], []
+            both = []
             for x, y in zip(rb.column("x").to_pylist(), rb.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both.append(int((y[at] == x).sum()))
-                either.append(len(x) + len(y) - both[-1])
-            yield pa.RecordBatch.from_arrays([rb.column("a"), rb.column("b"), pa.array(both, pa.int32()), pa.array(either, pa.int32())], names=["a", "b", "both", "either"])
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "both"])
+
+    left, right = (sets.select(F.col("node").alias(i), F.col("n").alias("n" + i), F.col("toks").alias(t)) for i, t in (("a", "x"), ("b", "y")))
+    done = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int, both int")
+    return materialise(done.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), tag)
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], dense: int = 8, width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: shingles of many sets by matrix products, the
+    others by listing the sets that have them."""
+    tokens = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, col, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    many = np.flatnonzero(times > dense)
+    place = np.full(len(times), -1, np.int64)
+    place[many] = np.arange(len(many))
+    at = place[col]
+    for start in range(0, len(many), width):
+        own = (at >= start) & (at < start + width)
+        member = np.zeros((len(left) + len(right), min(width, len(many) - start)), np.float32)
+        member[row[own], at[own] - start] = 1
+        out += member[: len(left)] @ member[len(left) :].T
+    few = np.flatnonzero((at < 0) & (times[col] > 1))
+    few = few[np.argsort(col[few], kind="stable")]
+    c, r = col[few], row[few]
+    for step in range(1, dense):  # the sets of a shingle stand together: each with the one `step` places on
+        if len(c) <= step:
+            break
+        ok = c[step:] == c[:-step]
+        i, j = r[:-step][ok], r[step:][ok]
+        cross = (i < len(left)) & (j >= len(left))
+        np.add.at(out, (i[cross], j[cross] - len(left)), 1)
+    return out
+
+
+def joining_links(nodes: np.ndarray, comps: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of side 0 and side 1 (all with all if there is one side) that join different components, no
+    more than it takes to join them."""
+    a = np.flatnonzero(side == side.min())
+    b = np.flatnonzero(side == side.max())
+    both = common([sets[i] for i in a], [sets[i] for i in b]).astype(np.int64)
+    link = (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)) & (comps[a][:, None] != comps[b][None, :])
+    i, j = np.nonzero(link)
+    if not len(i):
+        return []
+    _, no = np.unique(comps, return_inverse=True)
+    lo, hi = np.minimum(no[a[i]], no[b[j]]), np.maximum(no[a[i]], no[b[j]])
+    _, one = np.unique(lo * len(nodes) + hi, return_index=True)
+    root = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for k in one.tolist():
+        x, y = find(int(lo[k])), find(int(hi[k]))
+        if x != y:
+            root[x] = y
+            out.append((int(nodes[a[i[k]]]), int(nodes[b[j[k]]])))
+    return out
 
-    left, right = (sets.select(F.col("node").alias(i), F.col("toks").alias(t)) for i, t in (("a", "x"), ("b", "y")))
-    done = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both int, either int")
-    return materialise(done.withColumn("link", 100 * F.col("both") >= percent * F.col("either")), tag)
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """members (lead, node, comp): links (a, b) that join components among the sets under one leader."""
+    sizes = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "lead").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("lead", "node", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = materialise(dealt, "jaccard-blocks")
+    parts = max(1, dealt.count() // (2 * block))
+
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda c: table.column(c).to_numpy()
+        lead, lo, hi = get("lead"), get("lo"), get("hi")
+        nodes, comps, n, own = get("node"), get("comp"), get("n").astype(np.int64), get("own")
+        toks = table.column("toks").combine_chunks()
+        order = np.lexsort((hi, lo, lead))
+        same = (np.diff(lead[order]) == 0) & (np.diff(lo[order]) == 0) & (np.diff(hi[order]) == 0)
+        out: list[tuple[int, int]] = []
+        for g in np.split(order, np.flatnonzero(~same) + 1):
+            if lo[g[0]] != hi[g[0]] and len(set(own[g].tolist())) < 2:
+                continue
+            if len(g) > 1:
+                out += joining_links(nodes[g], comps[g], n[g], [np.frombuffer(toks[int(i)].as_buffer(), np.uint64) for i in g], own[g], percent)
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    part = F.pmod(F.xxhash64("lead", "lo", "hi"), F.lit(parts)).alias("part")
+    found = dealt.join(sets, "node").select(part, "lead", "node", "comp", "own", "lo", "hi", "n", "toks").groupBy("part").applyInArrow(run, "a long, b long")
+    return materialise(found, "jaccard-links")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", frequent: int = 32, max_filter_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -199,35 +287,19 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     lists = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).filter("c > 1").drop("c")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     table = materialise(postings.join(lists, "sig"), "jaccard-lists")
-    sets = can.join(table.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("toks").alias("toks"))
+    sets = can.join(table.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     sets = materialise(sets, "jaccard-tokens")
 
     led = table.filter((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
     votes = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
     first = votes.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("c", "lead")).alias("a"))
-    seen = verify(first, sets, percent, "jaccard-links")
-    comp = components(seen.filter("link"))
-
-    def mixed(t: DataFrame, comp: DataFrame) -> DataFrame:
-        """The rows of lists that hold several components, with comp."""
-        own = t.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = own.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("sig")
-        return materialise(own.join(several, "sig", "left_semi"), "jaccard-mixed")
-
-    rest = mixed(table, comp)
-    more = rest.filter((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    seen = seen.unionByName(verify(more.join(seen, ["a", "b"], "left_anti"), sets, percent, "jaccard-links"))
-    comp = components(seen.filter("link"))
-
-    rest = mixed(rest, comp)
-    known = seen.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("d"))
-    rest = materialise(rest.join(known, ["lead", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("d"))), "jaccard-mixed")
-    x, y = (rest.select("sig", *(F.col(c).alias(c + s) for c in ("node", "n", "comp", "d"))) for s in "xy")
-    near = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    open_ = x.join(y, "sig").filter((F.col("compx") < F.col("compy")) & fits(F.col("nx"), F.col("ny")) & near)
-    open_ = open_.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
-    last = verify(open_.join(seen, ["a", "b"], "left_anti"), sets, percent, "jaccard-links")
-    comp = components(seen.unionByName(last).filter("link"))
+    links = verify(first, sets, percent, "jaccard-links")
+    comp = components(links)
+
+    own = table.select("sig", "lead", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("sig")
+    members = own.join(mixed, "sig", "left_semi").select("lead", "node", "comp").distinct()
+    comp = components(links.unionByName(block_links(members, sets, percent)))
 
     keyed = base.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("key"))
     keyed = materialise(keyed, "jaccard-keys")
