@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from orrery.plans import graph_queries  # noqa: F401
+from orrery.plans.registry import ORACLES, QUERIES  # noqa: F401
