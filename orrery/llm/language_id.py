@@ -183,10 +183,10 @@ def label_texts(texts: list[bytes], m: Model) -> tuple[list[str], np.ndarray, li
 
 def fit(train_docs: DataFrame, per_lang: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from at most per_lang documents of each language."""
-    known = train_docs.filter(F.col(lang_col).isNotNull())
-    order = Window.partitionBy("_lang").orderBy("_h", "_id")
-    picked = known.select(F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang)
-    rows = known.join(F.broadcast(picked.select("_id").distinct()), F.col(id_col) == F.col("_id"), "left_semi").select(id_col, lang_col, text_col)
+    known = train_docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    order = Window.partitionBy("lang").orderBy("h", "i")
+    picked = known.select("lang", F.xxhash64("i").alias("h"), "i").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
+    rows = known.join(F.broadcast(picked.select("i").distinct()), "i", "left_semi").select("i", "lang", "t")
     found = sorted((str(r[0]), r[1], (r[2] or "").encode()) for r in rows.collect())
     return train([(lang, t) for _, lang, t in found])
 

@@ -248,9 +248,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     for g in groups:
         own = built if len(groups) == 1 else segments(counts.filter(F.col("bucket").between(g[0], g[-1])), m)
         m.shards.append(spark.sparkContext.broadcast(make_shard(own.collect() if g else [])))
-    picked = train.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id")).orderBy("_h", "_id").limit(fit_docs).select("_id").distinct()
-    sample = train.join(F.broadcast(picked), F.col(id_col) == F.col("_id"), "left_semi").select(id_col, text_col).orderBy(id_col).limit(fit_docs).collect()
-    m.mix = fit_mix([(r[text_col] or "").encode() for r in sample], m)
+    own = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    picked = own.select(F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(fit_docs).select("i").distinct()
+    sample = own.join(F.broadcast(picked), "i", "left_semi").orderBy("i").limit(fit_docs).collect()
+    m.mix = fit_mix([(r["t"] or "").encode() for r in sample], m)
     return m
 
 
