@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.skew import salted_join
 from orrery.llm.store import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,19 +34,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = [F.length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("pre")]
     keys = materialise(text.select("doc_id", *sketch, *([F.unhex(F.sha2("t", 256)).alias("sha")] if digest_all else [])), "dedup-keys")
     lengths = keys.groupBy("len").count().filter("count > 1").select("len")
-    prefixes = keys.join(lengths, "len", "left_semi").groupBy("len", "pre").count().filter("count > 1").select("len", "pre")
+    prefixes = salted_join(keys, lengths, ["len"], ["doc_id"], "left_semi").groupBy("len", "pre").count().filter("count > 1").select("len", "pre")
     if digest_all:
         full = keys
     else:
-        alive = keys.join(prefixes, ["len", "pre"], "left_semi").select(F.struct("doc_id").alias("key")).distinct()
+        alive = salted_join(keys, prefixes, ["len", "pre"], ["doc_id"], "left_semi").select(F.struct("doc_id").alias("key")).distinct()
         read = text.withColumn("key", F.struct("doc_id")).join(alive, "key", "left_semi")
         full = read.select("doc_id", *sketch, F.unhex(F.sha2("t", 256)).alias("sha"))
-    alive = full.join(prefixes, ["len", "pre"], "left_semi")
+    alive = salted_join(full, prefixes, ["len", "pre"], ["doc_id"], "left_semi")
     groups = alive.groupBy("len", "pre", "sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     if digest_all:
-        found = keys.join(groups, ["len", "pre", "sha"], "left")
+        found = salted_join(keys, groups, ["len", "pre", "sha"], ["doc_id"], "left")
     else:
-        own = alive.join(groups, ["len", "pre", "sha"], "left")
+        own = salted_join(alive, groups, ["len", "pre", "sha"], ["doc_id"], "left")
         none = keys.join(prefixes, ["len", "pre"], "left_anti").withColumns({"sha": F.lit(None).cast("binary"), "least": F.col("doc_id"), "n": F.lit(1).cast("long")})
         found = own.unionByName(none)
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least"))

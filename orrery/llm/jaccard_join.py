@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import text as tx
 from orrery.llm.components import components
+from orrery.llm.skew import salted_join
 from orrery.llm.store import materialise
 
 U = np.uint64
@@ -303,9 +304,10 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 
     keyed = base.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("key"))
     keyed = materialise(keyed, "jaccard-keys")
-    least = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
-    out = keyed.join(least, "key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    least = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "least")
+    out = salted_join(keyed, least, ["key"], ["doc_id"], "left")
+    alone = F.col("key").isNull() | (F.col("least").isNull() & F.col("doc_id").isNotNull())
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

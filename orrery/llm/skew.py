@@ -1,0 +1,16 @@
+"""Joins of many rows with few groups, where one group may hold a third of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread_by: list[str], how: str, salts: int = SALTS) -> DataFrame:
+    """rows ⋈ groups on keys (left or left_semi), with each group's rows dealt over `salts` parts by `spread_by`. groups has
+    one small row a key and is repeated for each part, so it should hold only groups of several rows."""
+    many = rows.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    few = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, [*keys, "_part"], how).drop("_part")

@@ -230,13 +230,13 @@ def test_toxicity_held_out(languages):
 
 def test_toxicity_gradients():
     """The score follows the words, whatever the text's length, and pieces don't change it."""
-    texts = [b"good words here and there", b"bad awful words here"] * 40
+    texts = [b"good words here and there", b"good words bad awful here and there"] * 40
     net = toxicity.train(texts, np.array([0, 1] * 40))
     toxicity.calibrate(net, texts, np.array([0, 1] * 40))
     far = b"good words here and there " * 5000
-    s = toxicity.score_texts(net, [b"", b"good words here", b"awful", far, far + b" bad awful words"])
+    s = toxicity.score_texts(net, [b"", b"good words here", b"bad awful words", far, far + b" bad awful words here"])
     assert s[1] < 0.5 < s[2] and s[3] < 0.5 < s[4] and s[0] < 0.5
-    one = [toxicity.score_texts(net, [t])[0] for t in (b"good words here", far + b" bad awful words")]
+    one = [toxicity.score_texts(net, [t])[0] for t in (b"good words here", far + b" bad awful words here")]
     assert one == pytest.approx([s[1], s[4]], abs=1e-5)
 
 
