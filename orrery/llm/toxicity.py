@@ -84,13 +84,16 @@ class Net:
         return np.where((self.keys[at] == features) & (features != 0), at + 1, 0)
 
     def pooled(self, x: np.ndarray, ids: np.ndarray, offsets: np.ndarray, need_places: bool = False):
-        """x: vectors of distinct words, the last one zero; ids: padded by two such words after each text."""
+        """x: vectors of distinct words, the last one zero; ids: padded by such words after each text. A filter may start
+        at the first of them, so that every text has a place, and then reads no word of the next text."""
         starts, best, places = offsets[:-1], [], []
+        shut = np.concatenate([offsets[1:] - i for i in range(1, max(WIDTHS))])
         for k in WIDTHS:
             part = np.zeros((len(ids), FILTERS), np.float32)
             for j in range(k):
                 part[: len(ids) - j] += (x @ self.w[k][j])[ids[j:]]
             part += self.b[k]
+            part[shut] = -np.inf
             best.append(np.maximum.reduceat(part, starts, axis=0))
             if need_places:
                 places.append(np.stack([part[a:z].argmax(axis=0) + a for a, z in zip(starts, offsets[1:], strict=True)]))
@@ -103,7 +106,7 @@ class Net:
         return np.maximum(h, 0) @ self.v + self.c
 
 
-def padded(ids: np.ndarray, offsets: np.ndarray, pad: int, by: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def padded(ids: np.ndarray, offsets: np.ndarray, pad: int, by: int = max(WIDTHS)) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     new = offsets + by * np.arange(n + 1)
     out = np.full(int(new[-1]), pad, np.int32)
