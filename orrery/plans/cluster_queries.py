@@ -65,9 +65,9 @@ def consensus(spark, d):
     names = ["kmeans", "ward", "spectral", "fused_spectral", "refined_spectral"]
     g = grid(spark, [(m, 10, 0.3 if "fused" in m or "refined" in m else None) for m in names])
     out = cl.run_grid(nodes(spark, d), edges(spark, d), g)
-    a, b = out.select("id", F.col("config").alias("a"), F.col("label").alias("x")), out.select("id", F.col("config").alias("b"), F.col("label").alias("y"))
-    ari = ms.adjusted_rand(a.join(b, "id").filter("a <> b"), ["a", "b"])
-    return ari.groupBy("a").agg(r6(F.avg("ari")).alias("agreement")).join(g.select(F.col("config").alias("a"), "method"), "a").select("method", "agreement")
+    a, b = out.select("id", F.col("config").alias("one"), F.col("label").alias("x")), out.select("id", F.col("config").alias("two"), F.col("label").alias("y"))
+    ari = ms.adjusted_rand(a.join(b, "id").filter("one <> two"), ["one", "two"])
+    return ari.groupBy("one").agg(r6(F.avg("ari")).alias("agreement")).join(g.select(F.col("config").alias("one"), "method"), "one").select("method", "agreement")
 
 
 @query()
