@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def event_shares(events: DataFrame, length: str = "12 days", slide: str = "3 days", late: str | None = "1 day") -> DataFrame:
     """(start, end, user_id, n, value, purchases): counts and sums by user in sliding windows."""
     if events.isStreaming and late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = events.groupBy(F.window("ts", length, slide).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("purchases"))
     return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n", "value", "purchases")
 
@@ -21,7 +21,7 @@ def event_shares(events: DataFrame, length: str = "12 days", slide: str = "3 day
 def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = "1 day") -> DataFrame:
     """(user_id, start, end, n): runs of events with no pause longer than gap."""
     if events.isStreaming and late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     s = events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
