@@ -67,7 +67,7 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((tx.mix(keys, 9) >> U(33)) % U(n)).astype(np.int64)
+    return ((tx.mix(keys, 9) >> U(33)) % U(n)).astype(np.int32)
 
 
 def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def statistics(texts: list[bytes], m: Model):
     words[words == tx.hash64([START])[0]] = tx.hash64([END])[0]  # as many starts as ends
     pairs = pair_hash(full[at - 1], full[at])
     bucket = bucket_of(pairs, m.n_buckets)
-    c_words, c_pairs = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+    c_words, c_pairs = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int32)
     for b in m.shards:
         look_up(b.value, m, words, pairs, bucket, c_words, c_pairs)
         if len(m.shards) > 1:
@@ -247,7 +247,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     built = segments(counts, m)
     for g in groups:
         own = built if len(groups) == 1 else segments(counts.filter(F.col("bucket").between(g[0], g[-1])), m)
-        m.shards.append(spark.sparkContext.broadcast(make_shard(own.collect() if g else [])))
+        m.shards.append(spark.sparkContext.broadcast(make_shard(list(own.toLocalIterator()) if g else [])))
     own = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     picked = own.select(F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(fit_docs).select("i").distinct()
     sample = own.join(F.broadcast(picked), "i", "left_semi").orderBy("i").limit(fit_docs).collect()
@@ -271,7 +271,7 @@ def score(docs: DataFrame, m: Model, text_col: str = "text", keep: list[str] | N
     names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col, 8 << 20 if len(m.shards) == 1 else 32 << 20):
+        for rb in tx.chunks(batches, text_col, 8 << 20 if len(m.shards) == 1 else 16 << 20):
             got = score_texts(tx.raw(rb.column(text_col)), m)
             yield tx.with_columns(rb, names, **{k: pa.array(got[k], t) for k, t in new.items()})
 
