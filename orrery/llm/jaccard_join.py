@@ -288,7 +288,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     lists = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).filter("c > 1").drop("c")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     table = materialise(postings.join(lists, "sig"), "jaccard-lists")
-    sets = can.join(table.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
+    sets = salted_join(can, table.select("node").distinct(), ["node"], ["doc_id"], "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     sets = materialise(sets, "jaccard-tokens")
 
     led = table.filter((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
@@ -302,7 +302,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     members = own.join(mixed, "sig", "left_semi").select("lead", "node", "comp").distinct()
     comp = components(links.unionByName(block_links(members, sets, percent)))
 
-    keyed = base.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("key"))
+    keyed = salted_join(base.select("doc_id", "n", "node"), comp, ["node"], ["doc_id"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("key"))
     keyed = materialise(keyed, "jaccard-keys")
     least = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "least")
     out = salted_join(keyed, least, ["key"], ["doc_id"], "left")
