@@ -5,8 +5,9 @@ is at least `percent` hundredths. Sets that are equal are one node (by a 64-bit
 
 1. Document frequencies: each piece of text gives its distinct shingles with counts by hash bucket; a bucket
    adds them up, so one shingle costs one entry a piece, however many documents have it. What comes back is a
-   filter of fixed greatest size with two levels: shingles of two documents or more, and frequent ones. Where
-   it errs it takes a shingle for more frequent than it is, alike for every document; results don't change.
+   Bloom filter with two levels: shingles of two documents or more, and frequent ones. It is sent out in shards
+   of bounded size, of which a worker holds one at a time if there are several. Where it errs it takes a shingle
+   for more frequent than it is, alike for every document; results don't change.
 2. Prefixes: shingles are ordered by class (of one document, rare, frequent) and hash. A set r has a partner
    only if at most t = |r| - ceil(percent |r| / 100) of its shingles are missing there. The prefix is extended
    until more than t missing shingles would be needed to leave no signature in common: a shingle of one
@@ -59,8 +60,9 @@ def probe_places(keys: np.ndarray, level: int, i: int, size: np.ndarray) -> np.n
     return (((g & U(0xFFFFFFFF)) + U(i) * ((g >> U(32)) | U(1))) % size.astype(np.uint64)).astype(np.int64)
 
 
-def frequency_filter(docs: DataFrame, k: int, text_col: str, bits: int, frequent: int, max_bytes: int) -> list[np.ndarray]:
-    """For each bucket the bytes of its two-level filter; max_bytes together at most."""
+def frequency_filter(docs: DataFrame, k: int, text_col: str, bits: int, frequent: int, max_bytes: int, shard_bytes: int) -> list:
+    """Broadcast shards (first bucket, end, bytes, first bit and size in bits by bucket) of the two-level filter: max_bytes
+    together at most, shard_bytes each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tx.chunks(batches, text_col):
@@ -94,22 +96,39 @@ def frequency_filter(docs: DataFrame, k: int, text_col: str, bits: int, frequent
         return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bucket", "filter"])
 
     pieces = docs.select(text_col).mapInArrow(count, "bucket int, ones binary, more binary, counts binary")
-    found = {r["bucket"]: np.frombuffer(r["filter"], np.uint8) for r in pieces.groupBy("bucket").applyInArrow(add_up, "bucket int, filter binary").collect()}
-    return [found.get(b, np.zeros(8, np.uint8)) for b in range(1 << bits)]
+    table = materialise(pieces.groupBy("bucket").applyInArrow(add_up, "bucket int, filter binary"), "jaccard-filter")
+    size = {r["bucket"]: r["n"] for r in table.select("bucket", F.octet_length("filter").alias("n")).collect()}  # 2 ** bits rows at most
+    ranges, held = [[0, 0]], 0
+    for b in range(1 << bits):
+        if held and held + size.get(b, 8) > shard_bytes:
+            ranges.append([b, b])
+            held = 0
+        held += size.get(b, 8)
+        ranges[-1][1] = b + 1
+    out = []
+    for lo, hi in ranges:
+        found = {r["bucket"]: np.frombuffer(r["filter"], np.uint8) for r in table.filter(F.col("bucket").between(lo, hi - 1)).toLocalIterator()}
+        parts = [found.get(b, np.zeros(8, np.uint8)) for b in range(lo, hi)]
+        sizes = np.array([len(x) * 8 for x in parts], np.int64)
+        out.append(docs.sparkSession.sparkContext.broadcast((lo, hi, np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)))
+    return out
 
 
-def classes(tokens: np.ndarray, bits: int, filters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def classes(tokens: np.ndarray, bits: int, shards: list) -> np.ndarray:
     """0: one document's, 1: rare, 2: frequent."""
-    flat, starts, sizes = filters
     bucket, short = cut_key(tokens, bits)
     out = np.zeros(len(tokens), np.int8)
-    alive = np.arange(len(tokens))
-    for level in (1, 2):
-        for i in range(PROBES):
-            b = bucket[alive]
-            at = starts[b] + probe_places(short[alive], level, i, sizes[b])
-            alive = alive[(flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-        out[alive] = level
+    for sent in shards:
+        lo, hi, flat, starts, sizes = sent.value
+        alive = np.flatnonzero((bucket >= lo) & (bucket < hi)) if len(shards) > 1 else np.arange(len(tokens))
+        for level in (1, 2):
+            for i in range(PROBES):
+                b = bucket[alive] - lo
+                at = starts[b] + probe_places(short[alive], level, i, sizes[b])
+                alive = alive[(flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            out[alive] = level
+        if len(shards) > 1:
+            sent.__dict__.pop("_value", None)  # one shard in memory at a time
     return out
 
 
@@ -149,16 +168,14 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int) -> np.ndarray
     return np.unique(np.concatenate(out))
 
 
-def sketch(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bits: int, filters: list[np.ndarray]) -> DataFrame:
+def sketch(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bits: int, shards: list) -> DataFrame:
     """doc_id, n int, node long, and for sets that can have a partner sigs array<long> and toks binary (the
     shingles of two documents or more: only these can be common)."""
-    sizes = np.array([len(f) * 8 for f in filters], np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((np.concatenate(filters), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tx.chunks(batches, text_col):
             sets = tx.shingle_sets(tx.raw(rb.column(text_col)), k)
-            kinds = classes(np.concatenate([np.zeros(0, np.uint64), *sets]), bits, sent.value)
+            kinds = classes(np.concatenate([np.zeros(0, np.uint64), *sets]), bits, shards)
             at, nodes, sigs, toks = 0, [], [], []
             for s in sets:
                 nodes.append(tx.mix(np.array([int(np.bitwise_xor.reduce(tx.mix(s, 5))) ^ len(s)], np.uint64) + np.sum(tx.mix(s, 6)), 7)[0])
@@ -278,11 +295,11 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
     return materialise(found, "jaccard-links")
 
 
-def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", frequent: int = 32, max_filter_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", frequent: int = 32, max_filter_bytes: int = 4 << 30, shard_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles long, component_id (the least id that links reach, the document's own included)."""
     bits = bucket_bits(docs, text_col, bucket_bytes)
-    filters = frequency_filter(docs, k, text_col, bits, frequent, max_filter_bytes)
-    base = materialise(sketch(docs, k, percent, id_col, text_col, bits, filters), "jaccard-sets")
+    shards = frequency_filter(docs, k, text_col, bits, frequent, max_filter_bytes, shard_bytes)
+    base = materialise(sketch(docs, k, percent, id_col, text_col, bits, shards), "jaccard-sets")
     can = base.filter(F.col("sigs").isNotNull())
     postings = can.select("node", "n", F.explode("sigs").alias("sig")).distinct()
     lists = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).filter("c > 1").drop("c")
