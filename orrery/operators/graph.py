@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.shipping import ship
+
 FLOOR = 1e-6  # least weight of a chosen neighbour's edge
 
 
 def block_pairs(nodes: DataFrame, fn: Callable, schema: str, block: int = 2048, columns: tuple[str, ...] = ("id", "features")) -> DataFrame:
     """Applies fn(left arrow table, right arrow table) to every pair of row blocks of nodes."""
+    ship(nodes.sparkSession)
     parts = max(1, -(-nodes.count() // block))
     own = nodes.select(*columns, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long").alias("_b"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
