@@ -184,10 +184,11 @@ def label_texts(texts: list[bytes], m: Model) -> tuple[list[str], np.ndarray, li
 def fit(train_docs: DataFrame, per_lang: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from at most per_lang documents of each language."""
     known = train_docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "i"))).filter(F.col("n") <= per_lang)
-    # The first of each of 64 parts, then the first of those: one language's rows never meet in one task.
-    hashed = known.select("lang", F.xxhash64("i").alias("h"), "i").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(64)))
-    picked = first(first(hashed, "part"))
+    hashed = known.select("lang", F.xxhash64("i").alias("h"), "i")
+    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))  # a row a language
+    # About three times as many as wanted, by another hash of the id, then the first of those: no language meets in one task.
+    some = hashed.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(1 << 20)) * F.col("c") < 3 * per_lang * (1 << 20))
+    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).filter(F.col("n") <= per_lang)
     rows = known.join(F.broadcast(picked.select("i").distinct()), "i", "left_semi").select("i", "lang", "t")
     found = sorted((str(r[0]), r[1], (r[2] or "").encode()) for r in rows.collect())
     return train([(lang, t) for _, lang, t in found])

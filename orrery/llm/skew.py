@@ -13,4 +13,4 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread_by:
     one small row a key and is repeated for each part, so it should hold only groups of several rows."""
     many = rows.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     few = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(few, [*keys, "_part"], how).drop("_part")
+    return many.join(few.hint("merge"), [*keys, "_part"], how).drop("_part")  # repeated rows look small; they are not sent to all
