@@ -271,7 +271,7 @@ def score(docs: DataFrame, m: Model, text_col: str = "text", keep: list[str] | N
     names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col, 8 << 20 if len(m.shards) == 1 else 16 << 20):
+        for rb in tx.chunks(batches, text_col, 4 << 20 if len(m.shards) == 1 else 16 << 20):
             got = score_texts(tx.raw(rb.column(text_col)), m)
             yield tx.with_columns(rb, names, **{k: pa.array(got[k], t) for k, t in new.items()})
 

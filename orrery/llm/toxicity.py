@@ -247,7 +247,7 @@ def score(docs: DataFrame, net: Net | None, text_col: str = "text", keep: list[s
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col, 4 << 20):
+        for rb in tx.chunks(batches, text_col, 2 << 20):
             yield tx.with_columns(rb, names, toxic_score=pa.array(score_texts(sent.value, tx.raw(rb.column(text_col))), pa.float64()))
 
     read = docs.select(*dict.fromkeys([*names, text_col]))
