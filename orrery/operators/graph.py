@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.relational import kth_largest
 from orrery.shipping import ship
 
 FLOOR = 1e-6  # least weight of a chosen neighbour's edge
@@ -93,7 +94,7 @@ def knn(nodes: DataFrame, k: int, mutual: bool = False, similarity: Callable = c
 def threshold(nodes: DataFrame, mean_degree: float, similarity: Callable = cosine) -> DataFrame:
     """Edges at least as similar as the int(mean_degree * n / 2)-th most similar pair."""
     m = max(1, int(mean_degree * nodes.count() / 2))
-    cut = all_pairs(nodes, similarity).orderBy(F.desc("s")).limit(m).agg(F.min("s").alias("eps")).first()["eps"]  # one number
+    cut = kth_largest(all_pairs(nodes, similarity).select("s"), "s", m)
     return symmetric(all_pairs(nodes, similarity).filter(F.col("s") >= cut).select("src", "dst", F.col("s").alias("w")))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.tables import written
+
 
 def shares(df: DataFrame, cols: list[str], total: str, rest: str | None = None) -> DataFrame:
     """Each column over the total, and the remainder as `rest`."""
@@ -72,6 +74,30 @@ def average_rank(value: str, by: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*part).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, value)) - 1) / 2
 
 
+def counted_values(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, before): each distinct value with its count and the number of rows with smaller values. Values are dealt
+    by range and written once; running sums then stay within a range, and only one row a range is summed in one place."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    counts = written(counts)
+    total = counts.groupBy("_p").agg(F.sum("n").alias("_t"))
+    offset = total.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.join(F.broadcast(offset), "_p").select(value, "n", (F.col("_o") + inside).alias("before"))  # a row a range
+
+
+def globally_ranked(df: DataFrame, value: str, name: str = "_r") -> DataFrame:
+    """Adds the average rank over all rows, without sorting them in one task. Rows must have a value."""
+    r = counted_values(df, value).select(value, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return df.join(r, value)
+
+
+def kth_largest(df: DataFrame, value: str, k: int):
+    """The k-th largest value (the least one if there are fewer rows)."""
+    c = counted_values(df, value)
+    n = df.count()
+    return c.filter(n - F.col("before") >= min(k, n)).agg(F.max(value)).first()[0]
+
+
 def merge_children(df: DataFrame, parent: list[str], weight: str, means: list[str], sums: list[str], complete_col: str, coverage: float) -> DataFrame:
     """Roll-up of entities into parents: means weighted by the weight of complete children, sums over all children, and
     `complete` if the complete children hold `coverage` of the weight."""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.relational import average_rank
+from orrery.operators.relational import average_rank, globally_ranked
 
 
 def chi2_sf(x: float, df: float) -> float:
@@ -45,7 +45,7 @@ def normal_sf(z: float) -> float:
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: h (corrected for ties), eta2 = (h - k + 1) / (n - k), k, n."""
-    r = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("_r", average_rank(value))
+    r = globally_ranked(df.select(group, value).filter(F.col(value).isNotNull() & F.col(group).isNotNull()), value)
     g = r.groupBy(group).agg(F.sum("_r").alias("s"), F.count(F.lit(1)).cast("double").alias("m")).agg(F.sum(F.pow("s", 2) / F.col("m")).alias("q"), F.count(F.lit(1)).cast("double").alias("k"), F.sum("m").alias("n"))
     ties = r.groupBy(value).agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
     h = (12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)) / (1 - F.col("ties") / (F.pow("n", 3) - F.col("n")))
@@ -54,7 +54,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: auc from average ranks, u (Mann-Whitney), its normal approximation z (corrected for ties), n1, n0."""
-    r = df.withColumn("_r", average_rank(score))
+    r = globally_ranked(df.select(label, score).filter(F.col(score).isNotNull()), score)
     one = r.agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("s"), F.count(F.when(F.col(label) == 1, 1)).cast("double").alias("n1"), F.count(F.when(F.col(label) == 0, 1)).cast("double").alias("n0"))
     ties = r.groupBy(score).agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -66,6 +66,8 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if not by:
+        return globally_ranked(globally_ranked(both.select(x, y), x, "_x"), y, "_y").agg(F.corr("_x", "_y").alias("rho"))
     return both.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)}).groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
 
 

@@ -63,6 +63,11 @@ def cramers_v(spark, d):
     return rounded(st.cramers_v(cells(spark, d), "x", "y"), "chi2", "v")
 
 
+@query(f"WITH r AS (SELECT {rank_sql('p_size')} AS a, {rank_sql('p_retailprice')} AS b FROM part) SELECT round(corr(a, b), 6) AS rho FROM r")
+def spearman_all(spark, d):
+    return rounded(st.spearman(table(spark, d, "part"), "p_size", "p_retailprice"), "rho")
+
+
 @query(f"WITH {CV} SELECT x, y, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY x), 6) AS share FROM c")
 def contingency_table(spark, d):
     return cells(spark, d).withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("x"))))
@@ -100,7 +105,7 @@ def tercile_ranking(spark, d):
 
 @query(f"WITH r AS (SELECT p_partkey AS id, {rank_sql('p_retailprice')} AS r FROM part) SELECT id, round_even(100 * r / count(*) OVER (), 0)::DOUBLE AS pct FROM r")
 def percent_ranks(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), rl.average_rank("p_retailprice").alias("r"))
+    p = rl.globally_ranked(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice"), "p_retailprice", "r")
     return p.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))).select("id", F.rint(100 * F.col("r") / F.col("n")).alias("pct"))
 
 
