@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_ours: set[str] = set()
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a folder of our own only where that is unset) and reads it back."""
-    spark = df.sparkSession
+
+def folder(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir; only where that is unset (tests) under one of our own. It is
+    deleted when the application ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/orrery/table-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/orrery-{spark.sparkContext.applicationId}"
+    if path not in _ours:
+        _ours.add(path)
+        atexit.register(delete, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Writes df once and reads it back: the plan's lineage ends here, and a lost executor costs nothing before it."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
