@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = salted_join(keys, groups, ["len", "pre", "sha"], ["doc_id"], "left")
     else:
         own = salted_join(alive, groups, ["len", "pre", "sha"], ["doc_id"], "left")
-        none = keys.join(prefixes, ["len", "pre"], "left_anti").withColumns({"sha": F.lit(None).cast("binary"), "least": F.col("doc_id"), "n": F.lit(1).cast("long")})
+        none = salted_join(keys, prefixes, ["len", "pre"], ["doc_id"], "left_anti").withColumns({"sha": F.lit(None).cast("binary"), "least": F.col("doc_id"), "n": F.lit(1).cast("long")})
         found = own.unionByName(none)
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     found = found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))

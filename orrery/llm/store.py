@@ -1,25 +1,7 @@
-"""Intermediate tables in the folder that every executor shares, so that a lost executor costs no earlier stage."""
+"""Intermediate tables of the corpus operators, in the folder that every executor shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from orrery.tables import written as materialise
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: the plan's lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise"]
