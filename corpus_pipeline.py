@@ -16,10 +16,15 @@ from orrery.shipping import ship
 KEEP = 0.5  # documents with a toxicity score below this stay
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside the text, so that no column's name meets one of an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of policy v1."""
     ship(spark)
-    return quality_rules.apply_policy(quality_rules.ledger(docs), "v1").filter("kept").select(*docs.columns)
+    return quality_rules.apply_policy(quality_rules.ledger(whole(docs), keep=["_row"]), "v1").filter("kept").select("_row.*")
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     net = toxicity.fit(docs, labels)
-    return toxicity.score(docs, net).filter(F.col("toxic_score") < KEEP).select(*docs.columns)
+    return toxicity.score(whole(docs), net, keep=["_row"]).filter(F.col("toxic_score") < KEEP).select("_row.*")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from orrery.llm import text as tx
 from orrery.llm.store import materialise
@@ -276,7 +277,7 @@ def score(docs: DataFrame, m: Model, text_col: str = "text", keep: list[str] | N
             yield tx.with_columns(rb, names, **{k: pa.array(got[k], t) for k, t in new.items()})
 
     read = docs.select(*dict.fromkeys([*names, text_col]))
-    return read.mapInArrow(run, ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in names) + ", n_tokens long, n_known long, base_score double, score double")
+    return read.mapInArrow(run, tx.schema_of(read, names, n_tokens=LongType(), n_known=LongType(), base_score=DoubleType(), score=DoubleType()))
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:

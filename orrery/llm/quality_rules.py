@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from orrery.llm import text as tx
 
@@ -95,8 +96,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             yield tx.with_columns(rb, names, **{k: pa.array(got[k], pa.int64()) for k in MEASURES})
 
     read = docs.select(*dict.fromkeys([*names, text_col]))
-    fields = [f"`{c}` {read.schema[c].dataType.simpleString()}" for c in names] + [f"{m} long" for m in MEASURES]
-    measured = read.mapInArrow(run, ", ".join(fields))
+    measured = read.mapInArrow(run, tx.schema_of(read, names, **dict.fromkeys(MEASURES, LongType())))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(0).cast("long") for i, (_, rule) in enumerate(RULES)]
     return measured.withColumn("failed_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 

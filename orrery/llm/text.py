@@ -110,6 +110,13 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def schema_of(df, names: list[str], **new):
+    """The fields `names` of df, and new ones by name and type."""
+    from pyspark.sql import types as T
+
+    return T.StructType([df.schema[n] for n in names] + [T.StructField(k, t) for k, t in new.items()])
+
+
 def with_columns(rb: pa.RecordBatch, names: list[str], **new) -> pa.RecordBatch:
     arrays = [rb.column(n) for n in names] + [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in new.values()]
     return pa.RecordBatch.from_arrays(arrays, names=[*names, *new])

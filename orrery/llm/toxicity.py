@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from orrery.llm import text as tx
 
@@ -251,7 +252,7 @@ def score(docs: DataFrame, net: Net | None, text_col: str = "text", keep: list[s
             yield tx.with_columns(rb, names, toxic_score=pa.array(score_texts(sent.value, tx.raw(rb.column(text_col))), pa.float64()))
 
     read = docs.select(*dict.fromkeys([*names, text_col]))
-    return read.mapInArrow(run, ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in names) + ", toxic_score double")
+    return read.mapInArrow(run, tx.schema_of(read, names, toxic_score=DoubleType()))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -345,6 +345,14 @@ def test_pipeline(spark, tmp_path, make_docs, prose):
     assert {r["doc_id"] for r in rows(corpus_pipeline.run(spark, str(tmp_path)))} == kept
 
 
+def test_pipeline_keeps_columns_that_clash(spark, tmp_path, make_docs, prose):
+    docs = make_docs([(i, prose(i, 40)) for i in range(3)])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_pipeline_empty(spark, tmp_path, make_docs):
     make_docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
