@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.scalars import haversine, proximity
 from orrery.operators.relational import kth_largest
 from orrery.shipping import ship
 
@@ -131,23 +132,12 @@ def normalized(edges: DataFrame) -> DataFrame:
     return edges.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).alias("w"))
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
-    """Great-circle distance in km."""
-    a, b = F.radians(lat1), F.radians(lat2)
-    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
-
-
 def haversine_np(x: np.ndarray, y: np.ndarray, radius: float = 6371.0) -> np.ndarray:
     a, b = np.radians(x), np.radians(y)
     h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
     return 2 * radius * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
 
 
-def proximity(distance: Column, scale: Column | float) -> Column:
-    return F.exp(-distance / scale)
-
-
 def geographic_knn(nodes: DataFrame, k: int, scale: float | None = None) -> DataFrame:
     """nodes (id, features [lat, lon]): k nearest with weight exp(-km / scale); the scale defaults to the median
     distance of the k-th nearest."""

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.scalars import round_cut  # noqa: F401
 from orrery.tables import written
 
 
@@ -109,10 +110,3 @@ def merge_children(df: DataFrame, parent: list[str], weight: str, means: list[st
 
 def contingency(df: DataFrame, x: str, y: str, value: Column | None = None) -> DataFrame:
     return df.groupBy(x, y).agg((F.count(F.lit(1)) if value is None else F.sum(value)).alias("n"))
-
-
-def round_cut(value: Column, digits: int = 3) -> Column:
-    """Rounded half-even to significant digits."""
-    size = F.floor(F.log10(F.abs(value)))
-    scale = F.pow(F.lit(10.0), F.greatest(digits - 1 - size, F.lit(0)))
-    return F.when(value == 0, 0.0).otherwise(F.rint(value * scale) / scale)

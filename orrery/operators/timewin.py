@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def month_number(ts: str) -> Column:
-    return (F.year(ts) * 12 + F.month(ts) - 1).cast("long")
-
-
-def quarter_key(m: Column) -> Column:
-    return F.concat(F.floor(m / 12).cast("string"), F.lit("Q"), (F.floor(m % 12 / 3) + 1).cast("string"))
+from orrery.functions.scalars import month_number, quarter_key  # noqa: F401
 
 
 def window_ends(first: int, last: int, length: int = 12) -> list[int]:
