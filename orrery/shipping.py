@@ -9,10 +9,13 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"  # else ten thousand rows of any length travel at once
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package as a zip to the application's Python files, once for each application."""
+    """Adds the package as a zip to the application's Python files, once for each application, and bounds the bytes of
+    the batches that tasks exchange with Python."""
+    spark.conf.set(BATCH, "8m")
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
