@@ -25,7 +25,7 @@ class Vocab(dict):
         return n
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds at most `limit` bytes of text, or one row."""
     for rb in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(rb.column(column)), 0).to_numpy(zero_copy_only=False))
