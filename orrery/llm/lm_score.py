@@ -11,7 +11,9 @@ beyond, it reads shard after shard for each large piece of text, so memory stays
 
 Scoring: P(w|h) = L(h) c(hw) / c(h) + (1 - L(h)) (c(w) + 1) / (N + V + 1), with c(hw) read off by probing
 levels until one is missing (a value above c(h) or c(w) is a false positive and counts as 0), and L by
-log2 c(h), estimated by EM with leave-one-out counts on at most fit_docs training documents.
+log2 c(h), estimated by EM with leave-one-out counts on all training documents. A token enters EM by its class and
+the ratio of its two probabilities alone, so one pass counts the tokens by class and 64th of an octave of the ratio
+(whole numbers, with the mean of the logarithm in each cell); the rounds run on these cells, whose number is bounded.
 
 Tokens are words with A-Z lower-cased, then one end; a text's first history is a start mark that is not
 counted. Defined results: a null text counts as empty (its end alone is scored); texts are scored whole;
@@ -34,6 +36,7 @@ from orrery.llm.store import materialise
 
 END, START = b"\n", b" "  # no word contains white space
 U = np.uint64
+CELLS = 8192  # 64ths of octaves from 2 ** -64 to 2 ** 64: more than any ratio of counts
 
 
 @dataclass
@@ -63,28 +66,30 @@ class Model:
     mix: np.ndarray = field(default_factory=lambda: np.full(64, 0.1))  # weight of pairs by log2 c(h)
 
 
-def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return tx.mix(tx.mix(h, 3) + w)
-
-
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((tx.mix(keys, 9) >> U(33)) % U(n)).astype(np.int32)
 
 
-def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of start, words, end of each text in a row, places of predicted tokens, and each text's number of them."""
+def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, start and end; their numbers for start, words, end of each text in a row, places of
+    predicted tokens, and each text's number of them."""
     ids, offsets, vocab = tx.tokenise(texts)
     hashes = tx.hash64([*vocab, START, END])
     n = len(texts)
     lens = np.diff(offsets)
     at = offsets + 2 * np.arange(n + 1)
-    full = np.empty(int(at[-1]), np.uint64)
-    full[at[:-1]] = hashes[-2]
-    full[at[1:] - 1] = hashes[-1]
-    full[np.arange(len(ids)) + 2 * np.repeat(np.arange(n), lens) + 1] = hashes[ids] if len(ids) else hashes[:0]
+    full = np.empty(int(at[-1]), np.int32)
+    full[at[:-1]] = len(vocab)
+    full[at[1:] - 1] = len(vocab) + 1
+    full[np.arange(len(ids)) + 2 * np.repeat(np.arange(n), lens) + 1] = ids
     predicted = np.ones(len(full), bool)
     predicted[at[:-1]] = False
-    return full, np.flatnonzero(predicted), lens + 1
+    return hashes, full, np.flatnonzero(predicted), lens + 1
+
+
+def stream_pairs(hashes: np.ndarray, full: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of each predicted token with the one before it."""
+    return tx.mix(tx.mix(hashes, 3)[full[at - 1]] + hashes[full[at]])
 
 
 def count_pieces(docs: DataFrame, n_buckets: int, text_col: str = "text") -> DataFrame:
@@ -92,10 +97,10 @@ def count_pieces(docs: DataFrame, n_buckets: int, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tx.chunks(batches, text_col):
-            full, at, _ = token_stream(tx.raw(rb.column(text_col)))
+            hashes, full, at, _ = token_stream(tx.raw(rb.column(text_col)))
             rows: list[list] = [[], [], [], []]
-            for pair, own in ((False, full[at]), (True, pair_hash(full[at - 1], full[at]))):
-                keys, counts = np.unique(own, return_counts=True)
+            seen = np.bincount(full[at], minlength=len(hashes))
+            for pair, (keys, counts) in ((False, (hashes[seen > 0], seen[seen > 0])), (True, np.unique(stream_pairs(hashes, full, at), return_counts=True))):
                 where = bucket_of(keys, n_buckets)
                 order = np.argsort(where, kind="stable")
                 cut = np.searchsorted(where[order], np.arange(n_buckets + 1))
@@ -133,9 +138,9 @@ def levels(counts: np.ndarray, min_count: int, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts / min_count) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def places(keys: np.ndarray, level: int, i: int, seg_bits: np.ndarray) -> np.ndarray:
-    g = tx.mix(keys, 100 + level)
-    return (((g & U(0xFFFFFFFF)) + U(i) * ((g >> U(32)) | U(1))) % seg_bits.astype(np.uint64)).astype(np.int64)
+def places(g: np.ndarray, i: int, seg_bits: np.ndarray) -> np.ndarray:
+    """Place of probe i in segments of seg_bits (uint64, below 2 ** 32), from the keys' hashes g at a level."""
+    return (((g + U(i) * ((g >> U(32)) | U(1))) & U(0xFFFFFFFF)) * seg_bits >> U(32)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, m: Model, bits_per_entry: int = 10) -> np.ndarray:
@@ -144,9 +149,9 @@ def segment(keys: np.ndarray, counts: np.ndarray, m: Model, bits_per_entry: int
     size = -(-max(64, int(level.sum()) * bits_per_entry) // 8) * 8
     bits = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        own = keys[level >= j]
+        own = tx.mix(keys[level >= j], 100 + j)
         for i in range(m.probes):
-            bits[places(own, j, i, np.full(len(own), size))] = 1
+            bits[places(own, i, U(size))] = 1
     return np.packbits(bits, bitorder="little")
 
 
@@ -182,29 +187,29 @@ def look_up(shard: Shard, m: Model, words: np.ndarray, pairs: np.ndarray, pair_b
         return
     seg = np.minimum(np.searchsorted(shard.buckets, pair_bucket), len(shard.buckets) - 1)
     alive = np.flatnonzero(shard.buckets[seg] == pair_bucket)
-    level = 0
+    level, seg_bits = 0, shard.seg_bits.astype(np.uint64)
     while len(alive):
         level += 1
+        g, s = tx.mix(pairs[alive], 100 + level), seg[alive]
         for i in range(m.probes):
-            s = seg[alive]
-            bit = shard.seg_start[s] + places(pairs[alive], level, i, shard.seg_bits[s])
-            alive = alive[(shard.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            bit = shard.seg_start[s] + places(g, i, seg_bits[s])
+            hit = (shard.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            alive, g, s = alive[hit], g[hit], s[hit]
         c_pairs[alive] = np.floor(m.min_count * m.base ** (level - 1) + 1e-9)
 
 
 def statistics(texts: list[bytes], m: Model):
     """For each predicted token: c(w), c(h), c(hw); and each text's number of tokens."""
-    full, at, lens = token_stream(texts)
-    words, inverse = np.unique(full, return_inverse=True)
-    words[words == tx.hash64([START])[0]] = tx.hash64([END])[0]  # as many starts as ends
-    pairs = pair_hash(full[at - 1], full[at])
+    words, full, at, lens = token_stream(texts)
+    pairs = stream_pairs(words, full, at)
+    words[-2] = words[-1]  # as many starts as ends
     bucket = bucket_of(pairs, m.n_buckets)
     c_words, c_pairs = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int32)
     for b in m.shards:
         look_up(b.value, m, words, pairs, bucket, c_words, c_pairs)
         if len(m.shards) > 1:
             b.__dict__.pop("_value", None)  # one shard in memory at a time
-    c_w, c_h = c_words[inverse[at]], c_words[inverse[at - 1]]
+    c_w, c_h = c_words[full[at]], c_words[full[at - 1]]
     return c_w, c_h, np.where(c_pairs > np.minimum(c_w, c_h), 0, c_pairs), lens
 
 
@@ -212,24 +217,50 @@ def log2_class(c: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(c, 1)).astype(np.int64)
 
 
-def fit_mix(texts: list[bytes], m: Model, rounds: int = 15) -> np.ndarray:
-    """Weights of pairs by log2 c(h), by EM on training texts from whose counts each token's own is taken."""
+def piece_bytes(m: Model) -> int:
+    return 4 << 20 if len(m.shards) == 1 else 16 << 20
+
+
+def mix_cells(train: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
+    """cell int (class of c(h), then ratio of the pair's probability to the word's; place 0: the pair's is 0), n long
+    (tokens), part long (sum of the ratio's place within the cell, in units of 2 ** -20): a row for each cell and task.
+    Each token's own count is taken from its counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, part = np.zeros(64 * CELLS, np.int64), np.zeros(64 * CELLS, np.int64)
+        for rb in tx.chunks(batches, text_col, piece_bytes(m)):
+            c_w, c_h, c_hw, _ = statistics(tx.raw(rb.column(text_col)), m)
+            c_w, c_h, c_hw = np.maximum(c_w - 1, 0), np.maximum(c_h - 1, 1), np.maximum(c_hw - 1, 0)
+            cell = log2_class(c_h) * CELLS
+            n += np.bincount(cell[c_hw == 0], minlength=len(n))
+            own = np.flatnonzero(c_hw > 0)
+            at = 64 * np.log2(np.minimum(1, c_hw[own] / c_h[own]) * (m.total + m.distinct + 1) / (c_w[own] + 1))
+            low = np.floor(at)
+            cell = cell[own] + low.astype(np.int64) + CELLS // 2
+            n += np.bincount(cell, minlength=len(n))
+            part += np.bincount(cell, np.round((at - low) * 2**20), minlength=len(n)).astype(np.int64)  # whole numbers below 2 ** 53
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used]), pa.array(part[used])], names=["cell", "n", "part"])
+
+    return train.select(text_col).mapInArrow(run, "cell int, n long, part long")
+
+
+def fit_mix(train: DataFrame, m: Model, text_col: str = "text", rounds: int = 15) -> np.ndarray:
+    """Weights of pairs by log2 c(h), by EM on all training texts."""
     out = np.full(64, 0.1)
-    if not texts:
-        return out
-    c_w, c_h, c_hw, _ = statistics(texts, m)
-    c_w, c_h, c_hw = np.maximum(c_w - 1, 0), np.maximum(c_h - 1, 1), np.maximum(c_hw - 1, 0)
-    kind = log2_class(c_h)
-    p1, p2 = (c_w + 1) / (m.total + m.distinct + 1), np.minimum(1, c_hw / c_h)
-    n = np.bincount(kind, minlength=64)
+    cells = sorted(mix_cells(train, m, text_col).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("part").alias("part")).collect())  # 64 * CELLS rows at most
+    cell, n, part = np.array(cells, np.int64).reshape(-1, 3).T
+    kind, place = cell // CELLS, cell % CELLS
+    ratio = np.where(place > 0, 2.0 ** ((place - CELLS // 2 + part / 2**20 / np.maximum(n, 1)) / 64), 0)
+    tokens = np.bincount(kind, n, minlength=64)
     for _ in range(rounds):
-        a = out[kind] * p2
-        got = np.bincount(kind, a / (a + (1 - out[kind]) * p1), minlength=64)
-        out = np.clip((got + 0.1 * 10) / (n + 10), 1e-4, 0.95)  # ten tokens' worth of the starting value
+        a = out[kind] * ratio
+        got = np.bincount(kind, n * a / (a + 1 - out[kind]), minlength=64)
+        out = np.clip((got + 0.1 * 10) / (tokens + 10), 1e-4, 0.95)  # ten tokens' worth of the starting value
     return out
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, base: float = 1.5, shard_bytes: int = 96 << 20, fit_docs: int = 400, bucket_bytes: int = 8 << 20) -> Model:
+def fit(train: DataFrame, text_col: str = "text", min_count: int = 2, base: float = 1.5, shard_bytes: int = 96 << 20, bucket_bytes: int = 8 << 20) -> Model:
     """Counts all training texts and sends out the model."""
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -249,10 +280,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     for g in groups:
         own = built if len(groups) == 1 else segments(counts.filter(F.col("bucket").between(g[0], g[-1])), m)
         m.shards.append(spark.sparkContext.broadcast(make_shard(list(own.toLocalIterator()) if g else [])))
-    own = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    picked = own.select(F.xxhash64("i").alias("h"), "i").orderBy("h", "i").limit(fit_docs).select("i").distinct()
-    sample = own.join(F.broadcast(picked), "i", "left_semi").orderBy("i").limit(fit_docs).collect()
-    m.mix = fit_mix([(r["t"] or "").encode() for r in sample], m)
+    m.mix = fit_mix(train, m, text_col)
     return m
 
 
@@ -272,7 +300,7 @@ def score(docs: DataFrame, m: Model, text_col: str = "text", keep: list[str] | N
     names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col, 4 << 20 if len(m.shards) == 1 else 16 << 20):
+        for rb in tx.chunks(batches, text_col, piece_bytes(m)):
             got = score_texts(tx.raw(rb.column(text_col)), m)
             yield tx.with_columns(rb, names, **{k: pa.array(got[k], t) for k, t in new.items()})
 

@@ -121,6 +121,21 @@ def test_lm(make_docs, odd_rows, prose):
     assert sorted((r["doc_id"], r["score"]) for r in rows(lm_score.score(docs, small, keep=["doc_id"]))) == sorted((r["doc_id"], r["score"]) for r in got)
 
 
+def test_lm_weights_of_all_training_texts(make_docs, prose):
+    """The interpolation weights are those of EM over the tokens of every training text, not of a sample."""
+    texts = [prose(i % 40, 12) if i % 3 else prose(10_000 + i, 12) for i in range(1200)]
+    m = lm_score.fit(make_docs(list(enumerate(texts))))
+    c_w, c_h, c_hw, _ = lm_score.statistics([t.encode() for t in texts], m)
+    c_w, c_h, c_hw = np.maximum(c_w - 1, 0), np.maximum(c_h - 1, 1), np.maximum(c_hw - 1, 0)
+    kind, p1, p2 = lm_score.log2_class(c_h), (c_w + 1) / (m.total + m.distinct + 1), np.minimum(1, c_hw / c_h)
+    want = np.full(64, 0.1)
+    for _ in range(15):
+        a = want[kind] * p2
+        want = np.clip((np.bincount(kind, a / (a + (1 - want[kind]) * p1), minlength=64) + 1) / (np.bincount(kind, minlength=64) + 10), 1e-4, 0.95)
+    assert len(np.unique(kind)) > 1 and np.abs(want - 0.1).max() > 0.05
+    assert m.mix == pytest.approx(want, abs=1e-4)
+
+
 def test_lm_filter_counts():
     """Every stored count comes back as the floor of its level; absent pairs rarely do."""
     rng = np.random.default_rng(1)
