@@ -4,9 +4,9 @@ Counting: each piece of the training texts gives its distinct words and word pai
 into buckets; a bucket's group adds them up. A word or pair that stands in a third of all texts is one entry
 for each piece, so no group grows with one key. The counts are written to the shared folder.
 
-Model: pairs seen at least min_count times enter a Bloom filter once for each level of their quantised count
-(level j: at least min_count * base ** (j - 1)); the filter is cut into segments by bucket, and word counts
-stay exact. Both are broadcast in shards of at most shard_bytes: while there is one shard a worker keeps it;
+Model: pairs seen at least min_count times (all by default) enter a Bloom filter once for each level of their
+quantised count (level j: at least min_count * base ** (j - 1); where min_count is 1, level 1 is a count of 1 and the
+others are as for min_count 2); the filter is cut into segments by bucket, and word counts stay exact. Both are broadcast in shards of at most shard_bytes: while there is one shard a worker keeps it;
 beyond, it reads shard after shard for each large piece of text, so memory stays bounded at any corpus size.
 
 Scoring: P(w|h) = L(h) c(hw) / c(h) + (1 - L(h)) (c(w) + 1) / (N + V + 1), with c(hw) read off by probing
@@ -113,31 +113,19 @@ def count_pieces(docs: DataFrame, n_buckets: int, text_col: str = "text") -> Dat
     return docs.select(text_col).mapInArrow(run, "bucket int, pair boolean, keys binary, counts binary")
 
 
-def add_up(pieces: DataFrame, min_count: int) -> DataFrame:
-    """bucket, pair, n long (distinct keys), total long, keys, counts (of pairs only those with min_count or more)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
-        pair = table.column("pair")[0].as_py()
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        n, total = len(keys), int(counts.sum())
-        if pair:
-            keys, counts = keys[counts >= min_count], counts[counts >= min_count]
-        cols = [table.column("bucket")[0].as_py(), pair, n, total, keys.tobytes(), counts.astype(np.int64).tobytes()]
-        kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "pair", "n", "total", "keys", "counts"])
-
-    return pieces.groupBy("bucket", "pair").applyInArrow(run, "bucket int, pair boolean, n long, total long, keys binary, counts binary")
-
-
 def levels(counts: np.ndarray, min_count: int, base: float) -> np.ndarray:
+    if min_count == 1:
+        return np.where(counts < 2, 1, 1 + levels(np.maximum(counts, 2), 2, base))
     return 1 + np.floor(np.log(counts / min_count) / np.log(base) + 1e-9).astype(np.int64)
 
 
+def level_count(level: int, min_count: int, base: float) -> int:
+    """The least count of a level, rounded down."""
+    if min_count == 1:
+        return 1 if level == 1 else level_count(level - 1, 2, base)
+    return int(np.floor(min_count * base ** (level - 1) + 1e-9))
+
+
 def places(g: np.ndarray, i: int, seg_bits: np.ndarray) -> np.ndarray:
     """Place of probe i in segments of seg_bits (uint64, below 2 ** 32), from the keys' hashes g at a level."""
     return (((g + U(i) * ((g >> U(32)) | U(1))) & U(0xFFFFFFFF)) * seg_bits >> U(32)).astype(np.int64)
@@ -155,17 +143,26 @@ def segment(keys: np.ndarray, counts: np.ndarray, m: Model, bits_per_entry: int
     return np.packbits(bits, bitorder="little")
 
 
-def segments(counts: DataFrame, m: Model) -> DataFrame:
-    """bucket, pair, keys (of words: hashes; of pairs: the segment), counts."""
+def add_up(pieces: DataFrame, m: Model) -> DataFrame:
+    """bucket, pair, n long (distinct keys), total long, keys (of words: hashes; of pairs: the segment), counts (of words)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for r in rb.to_pylist():
-                if r["pair"]:
-                    r["keys"], r["counts"] = segment(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64), m).tobytes(), b""
-                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["pair"]], pa.bool_()), pa.array([r["keys"]], pa.binary()), pa.array([r["counts"]], pa.binary())], names=["bucket", "pair", "keys", "counts"])
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
+        pair = table.column("pair")[0].as_py()
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        n, total = len(keys), int(counts.sum())
+        if pair:
+            often = counts >= m.min_count
+            keys, counts = segment(keys[often], counts[often], m), counts[:0]
+        cols = [table.column("bucket")[0].as_py(), pair, n, total, keys.tobytes(), counts.astype(np.int64).tobytes()]
+        kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "pair", "n", "total", "keys", "counts"])
 
-    return counts.select("bucket", "pair", "keys", "counts").mapInArrow(run, "bucket int, pair boolean, keys binary, counts binary")
+    return pieces.groupBy("bucket", "pair").applyInArrow(run, "bucket int, pair boolean, n long, total long, keys binary, counts binary")
 
 
 def make_shard(rows: list) -> Shard:
@@ -195,7 +192,7 @@ def look_up(shard: Shard, m: Model, words: np.ndarray, pairs: np.ndarray, pair_b
             bit = shard.seg_start[s] + places(g, i, seg_bits[s])
             hit = (shard.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             alive, g, s = alive[hit], g[hit], s[hit]
-        c_pairs[alive] = np.floor(m.min_count * m.base ** (level - 1) + 1e-9)
+        c_pairs[alive] = level_count(level, m.min_count, m.base)
 
 
 def statistics(texts: list[bytes], m: Model):
@@ -260,15 +257,15 @@ def fit_mix(train: DataFrame, m: Model, text_col: str = "text", rounds: int = 15
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text", min_count: int = 2, base: float = 1.5, shard_bytes: int = 96 << 20, bucket_bytes: int = 8 << 20) -> Model:
+def fit(train: DataFrame, text_col: str = "text", min_count: int = 1, base: float = 1.5, shard_bytes: int = 96 << 20, bucket_bytes: int = 8 << 20) -> Model:
     """Counts all training texts and sends out the model."""
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     m = Model(max(12, min(1 << 16, -(-size // bucket_bytes))), 0, 0, min_count=min_count, base=base)
-    counts = materialise(add_up(count_pieces(train, m.n_buckets, text_col), min_count), "lm-counts")
+    counts = materialise(add_up(count_pieces(train, m.n_buckets, text_col), m), "lm-counts")
     sizes = counts.groupBy("bucket").agg(
         F.sum(F.when(~F.col("pair"), F.col("n"))).alias("v"), F.sum(F.when(~F.col("pair"), F.col("total"))).alias("t"),
-        F.sum(F.when(F.col("pair"), 3 * F.octet_length("counts") / 8).otherwise(2 * F.octet_length("keys"))).alias("b")).collect()  # n_buckets rows at most
+        F.sum(F.when(F.col("pair"), F.octet_length("keys")).otherwise(2 * F.octet_length("keys"))).alias("b")).collect()  # n_buckets rows at most
     m.total, m.distinct = sum(r["t"] or 0 for r in sizes), sum(r["v"] or 0 for r in sizes)
     groups, held = [[]], 0
     for r in sorted(sizes, key=lambda r: r["bucket"]):
@@ -276,9 +273,9 @@ def fit(train: DataFrame, text_col: str = "text", min_count: int = 2, base: floa
             groups, held = [*groups, []], 0
         groups[-1].append(r["bucket"])
         held += r["b"]
-    built = segments(counts, m)
+    built = counts.select("bucket", "pair", "keys", "counts")
     for g in groups:
-        own = built if len(groups) == 1 else segments(counts.filter(F.col("bucket").between(g[0], g[-1])), m)
+        own = built if len(groups) == 1 else built.filter(F.col("bucket").between(g[0], g[-1]))
         m.shards.append(spark.sparkContext.broadcast(make_shard(list(own.toLocalIterator()) if g else [])))
     m.mix = fit_mix(train, m, text_col)
     return m

@@ -136,6 +136,20 @@ def test_lm_weights_of_all_training_texts(make_docs, prose):
     assert m.mix == pytest.approx(want, abs=1e-4)
 
 
+def test_lm_pairs_seen_once(make_docs, prose):
+    """A pair seen once in training counts once; larger counts are read as without the pairs seen once."""
+    texts = [prose(i, 25) for i in range(20)] + [prose(0, 25)] * 6
+    words = [t.encode().split() for t in texts]
+    counts = Counter(p for w in words for p in zip([None, *w], [*w, None], strict=True))
+    m = lm_score.fit(make_docs(list(enumerate(texts))))
+    assert sum(v == 1 for v in counts.values()) > 100
+    want = np.array([counts[p] for w in words for p in zip([None, *w], [*w, None], strict=True)])
+    got = lm_score.statistics([t.encode() for t in texts], m)[2]
+    assert (got[want == 1] > 0).all() and (got == np.array([{1: 1, 2: 2, 3: 3, 4: 3}.get(v, 4 if v < 7 else 6) for v in want])).mean() > 0.95
+    old = lm_score.statistics([t.encode() for t in texts], lm_score.fit(make_docs(list(enumerate(texts))), min_count=2))[2]
+    assert (got[want > 1] == old[want > 1]).mean() > 0.95 and (old[want == 1] > 0).mean() < 0.1
+
+
 def test_lm_filter_counts():
     """Every stored count comes back as the floor of its level; absent pairs rarely do."""
     rng = np.random.default_rng(1)
