@@ -32,26 +32,29 @@ def out_of_fold_gap(df: DataFrame, key: str, y: str, features: list[str], folds:
 
 
 def permutation_importance(df: DataFrame, key: str, label: str, features: list[str], trees: int = 400, folds: int = 5, repeats: int = 3) -> DataFrame:
-    """(feature, importance, accuracy): mean loss of held-out accuracy when a feature's values are exchanged."""
+    """(feature, importance, accuracy): mean loss of held-out accuracy when a feature's values are exchanged. All features
+    and exchanges of a fold are scored in one pass."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
     from pyspark.sql import Window
 
     spark = df.sparkSession
-    data = with_folds(df, key, folds).withColumn("_y", F.col(label).cast("double")).cache()
-    join = VectorAssembler(inputCols=features, outputCol="_x")
+    data = with_folds(df, key, folds).select(key, "fold", F.col(label).cast("double").alias("_y"), F.array(*features).alias("_v")).cache()
     got: dict[str, list[float]] = {f: [] for f in features}
     base = []
+    right = F.avg((F.col("prediction") == F.col("_y")).cast("double"))
     for fold in range(folds):
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=1).fit(join.transform(data.filter(F.col("fold") != fold)))
+        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=1).fit(data.filter(F.col("fold") != fold).withColumn("_x", array_to_vector("_v")))
         test = data.filter(F.col("fold") == fold)
-        accuracy = lambda t: model.transform(join.transform(t)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0] or 0.0  # noqa: B023, E731
-        base.append(accuracy(test))
-        for f in features:
-            for r in range(repeats):
-                a = test.withColumn("_r", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64(F.lit(r), F.col(key)))))
-                b = test.select(F.col(f).alias("_v"), F.row_number().over(Window.partitionBy("fold").orderBy(key)).alias("_r"))
-                got[f].append(base[-1] - accuracy(a.join(b, "_r").withColumn(f, F.col("_v")).drop("_v")))
+        base.append(model.transform(test.withColumn("_x", array_to_vector("_v"))).agg(right).first()[0] or 0.0)
+        a = test.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_r", F.row_number().over(Window.partitionBy("fold", "_n").orderBy(F.xxhash64(F.col("_n"), F.col(key)))))
+        b = test.select(F.col("_v").alias("_w"), F.row_number().over(Window.partitionBy("fold").orderBy(key)).alias("_r"))
+        each = a.join(b, "_r").withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+        changed = F.transform("_v", lambda x, i: F.when(i == F.col("_f"), F.get("_w", i)).otherwise(x))
+        rows = model.transform(each.select("_n", "_f", "_y", array_to_vector(changed).alias("_x"))).groupBy("_n", "_f").agg(right.alias("a")).collect()  # repeats * features rows
+        accuracy = {(r["_f"], r["_n"]): r["a"] for r in rows}
+        for i, f in enumerate(features):
+            got[f] += [base[-1] - (accuracy.get((i, n)) or 0.0) for n in range(repeats)]
     return spark.createDataFrame([(f, round(float(np.mean(v)), 6), round(float(np.mean(base)), 6)) for f, v in got.items()], "feature string, importance double, accuracy double")
 
 

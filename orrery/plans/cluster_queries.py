@@ -109,9 +109,11 @@ def gbt_gap(spark, d):
 
 @query()
 def rf_importance(spark, d):
-    """Accuracy lost when one feature is shuffled, random forest over folds."""
-    n = nodes(spark, d).select("id", "label", *(F.col("features")[i].alias(f"f{i}") for i in range(6)))
-    return models.permutation_importance(n, "id", "label", [f"f{i}" for i in range(6)], trees=20, folds=3)
+    """Accuracy lost when one feature is shuffled, for every feature, random forest over folds."""
+    n = nodes(spark, d)
+    dims = n.agg(F.max(F.size("features"))).first()[0] or 0
+    n = n.select("id", "label", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in range(dims)))
+    return models.permutation_importance(n, "id", "label", [f"f{i}" for i in range(dims)], trees=20, folds=3)
 
 
 @query()

@@ -128,6 +128,12 @@ def moran_by_feature(spark, d):
     return rounded(ms.moran(edges(spark, d), values, ["dim"]), "moran")
 
 
+@query()
+def moran_all_features(spark, d):
+    """Moran's I of every feature; `moran_by_feature` and its SQL give the first eight."""
+    return rounded(ms.moran(edges(spark, d), ms.long_form(nodes(spark, d), "id"), ["dim"]), "moran")
+
+
 @query(G + """, b AS (SELECT src AS id, label AS cj, sum(w) AS s FROM g JOIN e ON e.id = dst GROUP BY 1, 2),
 h AS (SELECT b.id, cj, e.label, s / sum(s) OVER (PARTITION BY b.id) AS share FROM b JOIN e ON e.id = b.id),
 o AS (SELECT id, cj AS other_type, share AS other_share FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, cj) AS r FROM h WHERE cj <> label) WHERE r = 1)
