@@ -95,8 +95,8 @@ def type_rules(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("type"))
     c = table(spark, d, "customer").join(F.broadcast(n), "c_nationkey").select("type", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("code")).cache()  # nations are fixed in number
     rows = []
-    for t in range(3):
-        rule = rk.rule_search(c, ["balance", "code"], F.col("type") == t, [0.25, 0.5, 0.75], depth=2, beam=5)
+    for t in sorted(r["type"] for r in c.select("type").distinct().collect()):  # regions are fixed in number
+        rule = rk.rule_search(c, ["balance", "code"], F.col("type") == t, [i / 10 for i in range(1, 10)])
         rows += [(t, i, str(f), str(s), float(v)) for i, (f, s, v) in enumerate(rule)]
     return spark.createDataFrame(rows, "type int, place int, feature string, sign string, cut double")
 

@@ -11,6 +11,8 @@ from orrery.operators import ranking as rk
 from orrery.operators import relational as rl
 from orrery.operators import stats as st
 from orrery.operators import timewin as tw
+from orrery.plans.catalogue import QUERIES
+from tests.conftest import DATA
 
 
 def test_lag_of_a_leader(spark):
@@ -98,3 +100,16 @@ def test_rule_search_brute_force(spark):
     f1 = lambda m: 2 * (m & y).sum() / (m.sum() + y.sum())
     best = max(f1(masks[p] & masks[q]) for p, q in itertools.product(masks, masks) if p[0] != q[0])
     assert rule[-1][2] == pytest.approx(best) and {r[0] for r in rule[:-1]} == {"a", "b"} and not math.isnan(best)
+
+
+def test_type_rules_of_every_region(spark, duck):
+    """Each region that has customers has a rule, and its F1 is what its conditions give."""
+    c = duck("SELECT n_regionkey AS type, c_acctbal AS balance, c_nationkey::DOUBLE AS code FROM customer JOIN nation ON n_nationkey = c_nationkey")
+    got = QUERIES["type_rules"](spark, DATA).toPandas()
+    assert sorted(got["type"].unique()) == sorted(c["type"].unique()) == list(range(5))
+    for t, own in got.groupby("type"):
+        hit = c["type"].notna()
+        for r in own[own["feature"] != "f1"].itertuples():
+            hit &= c[r.feature] <= r.cut if r.sign == "<=" else c[r.feature] > r.cut
+        y = c["type"] == t
+        assert own.loc[own["feature"] == "f1", "cut"].iloc[0] == pytest.approx(2 * (hit & y).sum() / (hit.sum() + y.sum()))
