@@ -13,6 +13,9 @@ from orrery.operators import clustering as cl
 from orrery.shipping import ship
 
 
+SCENARIOS = ("planted", "noisier", "independent_graph")
+
+
 def with_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(folds)).cast("int"))
 
@@ -72,7 +75,10 @@ def planted(n: int, k: int, degree: float, inside: float, rng: np.random.Generat
 
 
 def dataset(scenario: str, seed: int, n: int = 150, k: int = 4, dims: int = 6) -> tuple[cl.Snapshot, np.ndarray]:
-    """Planted types with features and a graph: `noisier` has larger noise, `independent_graph` a graph of other types."""
+    """Planted types with features and a graph (`planted`): `noisier` has larger noise, `independent_graph` a graph of other
+    types. Other names are refused."""
+    if scenario not in SCENARIOS:
+        raise ValueError(f"scenario {scenario!r} is none of {', '.join(SCENARIOS)}")
     rng = np.random.default_rng([seed, len(scenario)])
     truth = rng.integers(k, size=n)
     centre = rng.normal(0, 1.5, (k, dims))
