@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -14,13 +16,16 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"  # else ten thousand rows o
 
 def ship(spark: SparkSession) -> None:
     """Adds the package as a zip to the application's Python files, once for each application, and bounds the bytes of
-    the batches that tasks exchange with Python."""
-    spark.conf.set(BATCH, "8m")
+    the batches that tasks exchange with Python where the session has no bound of its own."""
+    if spark.conf.get(BATCH) == spark.newSession().conf.get(BATCH):
+        spark.conf.set(BATCH, "8m")  # a value of the caller's own stays
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="orrery-code-"), "orrery_code.zip")
+    made = tempfile.mkdtemp(prefix="orrery-code-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # Spark keeps a copy of its own
+    path = os.path.join(made, "orrery_code.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(root):
             for name in sorted(names):

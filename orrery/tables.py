@@ -10,16 +10,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ours: set[str] = set()
+_local: dict[str, str] = {}  # by application: the folder of a local session without a shared one
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; only where that is unset (tests) under one of our own. It is
-    deleted when the application ends."""
+    """This application's folder under spark.checkpoint.dir, deleted when the application ends. Where that setting is
+    missing, a local session (driver and workers on one machine) gets a temporary folder; a cluster gets an error, for
+    its executors could not read what others wrote into a folder of their own."""
+    sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/orrery-{spark.sparkContext.applicationId}"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: on {sc.master} it must name a folder that driver and executors share")
+        top = _local.get(sc.applicationId) or _local.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="orrery-"))
+    path = f"{top.rstrip('/')}/orrery-{sc.applicationId}"
     if path not in _ours:
         _ours.add(path)
         atexit.register(delete, spark, path)
@@ -38,4 +43,14 @@ def written(df: DataFrame, tag: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)  # holds the frame, so that its number stays its own
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables that `written` returned, once nothing that is still to run reads them."""
+    for df in frames:
+        _, path = _paths.pop(id(df), (None, None))
+        if path:
+            delete(df.sparkSession, path)
