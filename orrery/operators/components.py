@@ -27,7 +27,7 @@ def least_labels(links: DataFrame) -> DataFrame:
         drop(near, label)
         if step.filter("changed").isEmpty():
             drop(both)
-            return step.select("u", "l")
+            return step
         label = step
 
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 LEAST_PARTS = 32
 
 
-def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+def hot_keys(rows: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame | None:
     """Keys with more than an even share of the rows (the count over the number of shuffle partitions), with _parts, the
-    number of such shares they hold. There are fewer of them than partitions, whatever the input."""
+    number of such shares they hold. There are fewer of them than partitions, whatever the input. sizes: rows by key
+    (_n), if they are known already."""
     spark = rows.sparkSession
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = -(-rows.count() // parts)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share)
-    found = sizes.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
+    found = sizes.filter(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
     local = found.collect()
     return spark.createDataFrame(local, found.schema) if local else None
 
