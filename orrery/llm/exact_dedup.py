@@ -1,23 +1,29 @@
 """Exact deduplication by progressive refinement, in DataFrame functions only.
 
-Groups are refined in three steps: by length of the normalised text, then by a hash of its first
-characters, then by SHA-256 of all of it. Only groups that still have two rows or more go on to the next
-step, so the digest of the full content is computed (or, with digest_all, grouped) for survivors alone.
-Everything that is shuffled is a row of numbers for each document, never its text, but for the survivors
-without digest_all.
+Groups are refined in three steps: by length of the normalised text, then by a hash of its first characters, then by
+SHA-256 of all of it. After each of the first two steps only rows whose group may still hold two rows or more go on;
+what remains is told by a bitmap of hashed groups, of bounded size, which goes to the workers with the plan. A row of a
+group alone may pass it (then the next step tells it apart), a row with a copy always does. So no row is shuffled to
+refine groups: counts combine before they travel, full contents are read for survivors alone, and texts never move, but
+for those of survivors in drop_copies.
 
 Defined results: a null text counts as empty; a null id sorts after all others; of repeated rows with the
-same id and text the first is kept and the others are dropped (they count in group_size); an empty table
-gives an empty result; columns of the input other than id and text are ignored, whatever their names.
+same id and text one is kept and the others are dropped (they count in group_size); an empty table
+gives an empty result; columns of the input other than id and text are ignored, whatever their names (drop_copies
+returns them). Which of several rows with equal id and text stays: any one in exact_dedup, which says nothing else of
+them; in drop_copies the one whose other columns have the least hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.skew import salted_join
+from orrery.llm.marks import Marked, marked
 from orrery.llm.store import materialise
+from orrery.skew import salted_join
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,45 +33,54 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())])
+
+
+def repeated(df: DataFrame, columns: list[str]) -> Marked:
+    """The keys that two rows or more have."""
+    return marked(materialise(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*columns), "dedup-groups"), columns)
+
+
+def refined(text: DataFrame, prefix: int) -> Column:
+    """text (t, ...): a condition on len and pre, true for all rows whose length and prefix hash another row shares."""
+    keys = materialise(text.select(*sketch(prefix)), "dedup-keys")
+    by_length = repeated(keys, ["len"]).may_hold()
+    return by_length & repeated(keys.filter(by_length), ["len", "pre"]).may_hold()
+
+
+def sketch(prefix: int) -> list[Column]:
+    return [F.length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("pre")]
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128, digest_all: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (null for rows that dropped out
-    before the last step, unless digest_all)."""
+    before the last step, unless digest_all, which takes their digest afterwards and for nothing but this column)."""
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    sketch = [F.length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("pre")]
-    keys = materialise(text.select("doc_id", *sketch, *([F.unhex(F.sha2("t", 256)).alias("sha")] if digest_all else [])), "dedup-keys")
-    lengths = keys.groupBy("len").count().filter("count > 1").select("len")
-    prefixes = salted_join(keys, lengths, ["len"], ["doc_id"], "left_semi").groupBy("len", "pre").count().filter("count > 1").select("len", "pre")
-    if digest_all:
-        full = keys
-    else:
-        alive = salted_join(keys, prefixes, ["len", "pre"], ["doc_id"], "left_semi").select(F.struct("doc_id").alias("key")).distinct()
-        read = text.withColumn("key", F.struct("doc_id")).join(alive, "key", "left_semi")
-        full = read.select("doc_id", *sketch, F.unhex(F.sha2("t", 256)).alias("sha"))
-    alive = salted_join(full, prefixes, ["len", "pre"], ["doc_id"], "left_semi")
-    groups = alive.groupBy("len", "pre", "sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if digest_all:
-        found = salted_join(keys, groups, ["len", "pre", "sha"], ["doc_id"], "left")
-    else:
-        own = salted_join(alive, groups, ["len", "pre", "sha"], ["doc_id"], "left")
-        none = salted_join(keys, prefixes, ["len", "pre"], ["doc_id"], "left_anti").withColumns({"sha": F.lit(None).cast("binary"), "least": F.col("doc_id"), "n": F.lit(1).cast("long")})
-        found = own.unionByName(none)
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    found = found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # Repeats of one id are few; only they meet in a window, never a whole group of copies.
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "candidate").orderBy("keep_id")) == 1
-    several = F.col("candidate") & (F.col("group_size") > 1)
-    marked = found.withColumn("candidate", stays)
-    one = marked.filter(~several).withColumn("kept", F.col("candidate"))
-    more = marked.filter(several).withColumn("kept", first)
-    return one.unionByName(more).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, digest_all=True).filter("kept").select(F.struct(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")).alias("_dedup_key"))
-    key = F.struct(F.col(id_col).alias("i"), F.sha2(normalised(F.col(text_col)), 256).alias("s"))
-    return docs.withColumn("_dedup_key", key).join(kept, "_dedup_key", "left_semi").dropDuplicates(["_dedup_key"]).select(*docs.columns)
+    passes = refined(text, prefix)
+    rows = text.select("*", *sketch(prefix))
+    full = rows.filter(passes).select("doc_id", "len", "pre", F.unhex(F.sha2("t", 256)).alias("sha"))
+    full = materialise(full.withColumn("row", F.monotonically_increasing_id()), "dedup-survivors")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    groups = full.groupBy("len", "pre", "sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(order)["row"].alias("first")).filter("n > 1")
+    found = salted_join(full, groups, ["len", "pre", "sha"], "left")
+    alone = F.col("n").isNull()
+    out = found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("row") == F.col("first"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    digest = F.sha2("t", 256) if digest_all else F.lit(None).cast("string")
+    rest = rows.filter(~passes).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest.alias("text_sha256"))
+    return out.unionByName(rest)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
+    """Of rows with equal texts the one with the smallest id, with all their columns. Rows that the refinement finds
+    alone are passed on where they are; the others meet by digest, one of a group leaving each task."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), normalised(F.col(text_col)).alias("t"), F.struct(F.col(id_col).isNull(), F.col(id_col), row_hash(docs)).alias("rank"))
+    passes = refined(whole.select("t"), prefix)
+    rows = whole.select("*", *sketch(prefix))
+    copies = rows.filter(passes).select("row", "rank", "len", "pre", F.unhex(F.sha2("t", 256)).alias("sha"))
+    one = copies.groupBy("len", "pre", "sha").agg(F.min_by("row", "rank").alias("row"))
+    return rows.filter(~passes).select("row.*").unionByName(one.select("row.*"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

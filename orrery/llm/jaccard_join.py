@@ -37,17 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import text as tx
-from orrery.llm.components import components
-from orrery.llm.skew import salted_join
-from orrery.llm.store import materialise
+from orrery.llm.exact_dedup import row_hash
+from orrery.llm.marks import marked
+from orrery.llm.store import drop, materialise
+from orrery.operators.components import least_labels
+from orrery.skew import hot_keys, salted_join
 
 U = np.uint64
 PROBES = 5
 
 
 def bucket_bits(docs: DataFrame, text_col: str, bucket_bytes: int) -> int:
+    """Bits of the bucket number: buckets of about bucket_bytes of text, 2 ** 22 of them at most."""
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    return int(np.clip(np.ceil(np.log2(max(1, size / bucket_bytes))), 4, 16))
+    return int(np.clip(np.ceil(np.log2(max(1, size / bucket_bytes))), 4, 22))
 
 
 def cut_key(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +72,11 @@ def frequency_filter(docs: DataFrame, k: int, text_col: str, bits: int, frequent
             sets = tx.shingle_sets(tx.raw(rb.column(text_col)), k)
             keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             bucket, short = cut_key(keys, bits)  # sorted hashes: buckets are stretches
-            cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]])) if len(bucket) else np.zeros(1, np.int64)
             rows: list[list] = [[], [], [], []]
-            for b in np.flatnonzero(np.diff(cut)):
-                own, n = short[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]].astype(np.uint32)
-                for c, v in zip(rows, (int(b), own[n == 1].tobytes(), own[n > 1].tobytes(), n[n > 1].tobytes()), strict=True):
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                own, n = short[a:z], counts[a:z].astype(np.uint32)
+                for c, v in zip(rows, (int(bucket[a]), own[n == 1].tobytes(), own[n > 1].tobytes(), n[n > 1].tobytes()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "ones", "more", "counts"])
 
@@ -97,20 +100,16 @@ def frequency_filter(docs: DataFrame, k: int, text_col: str, bits: int, frequent
 
     pieces = docs.select(text_col).mapInArrow(count, "bucket int, ones binary, more binary, counts binary")
     table = materialise(pieces.groupBy("bucket").applyInArrow(add_up, "bucket int, filter binary"), "jaccard-filter")
-    size = {r["bucket"]: r["n"] for r in table.select("bucket", F.octet_length("filter").alias("n")).collect()}  # 2 ** bits rows at most
-    ranges, held = [[0, 0]], 0
-    for b in range(1 << bits):
-        if held and held + size.get(b, 8) > shard_bytes:
-            ranges.append([b, b])
-            held = 0
-        held += size.get(b, 8)
-        ranges[-1][1] = b + 1
+    held = table.agg(F.sum(F.octet_length("filter")).alias("n")).first()["n"] or 0
+    cuts = np.linspace(0, 1 << bits, min(1 << bits, max(1, -(-held // shard_bytes))) + 1).astype(int).tolist()  # buckets go by hash, so equal ranges are of like size
+    ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
     out = []
     for lo, hi in ranges:
         found = {r["bucket"]: np.frombuffer(r["filter"], np.uint8) for r in table.filter(F.col("bucket").between(lo, hi - 1)).toLocalIterator()}
         parts = [found.get(b, np.zeros(8, np.uint8)) for b in range(lo, hi)]
         sizes = np.array([len(x) * 8 for x in parts], np.int64)
         out.append(docs.sparkSession.sparkContext.broadcast((lo, hi, np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)))
+    drop(table)
     return out
 
 
@@ -192,7 +191,7 @@ def sketch(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bi
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """The pairs (a, b) that link, written down."""
+    """The pairs (a, b) of a table that link, written down; a may be one node in many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -204,7 +203,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFra
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "both"])
 
     left, right = (sets.select(F.col("node").alias(i), F.col("n").alias("n" + i), F.col("toks").alias(t)) for i, t in (("a", "x"), ("b", "y")))
-    done = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int, both int")
+    done = salted_join(pairs.select("a", "b"), left, ["a"]).join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int, both int")
     return materialise(done.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), tag)
 
 
@@ -266,11 +265,11 @@ def joining_links(nodes: np.ndarray, comps: np.ndarray, n: np.ndarray, sets: lis
     return out
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """members (lead, node, comp): links (a, b) that join components among the sets under one leader."""
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """members (lead, node, comp), a table: links (a, b) that join components among the sets under one leader."""
     sizes = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "lead").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = salted_join(members, sizes, ["lead"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("lead", "node", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     dealt = materialise(dealt, "jaccard-blocks")
     parts = max(1, dealt.count() // (2 * block))
@@ -292,7 +291,9 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
 
     part = F.pmod(F.xxhash64("lead", "lo", "hi"), F.lit(parts)).alias("part")
     found = dealt.join(sets, "node").select(part, "lead", "node", "comp", "own", "lo", "hi", "n", "toks").groupBy("part").applyInArrow(run, "a long, b long")
-    return materialise(found, "jaccard-links")
+    out = materialise(found, "jaccard-links")
+    drop(dealt)
+    return out
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", frequent: int = 32, max_filter_bytes: int = 4 << 30, shard_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -300,33 +301,55 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     bits = bucket_bits(docs, text_col, bucket_bytes)
     shards = frequency_filter(docs, k, text_col, bits, frequent, max_filter_bytes, shard_bytes)
     base = materialise(sketch(docs, k, percent, id_col, text_col, bits, shards), "jaccard-sets")
+    for sent in shards:
+        sent.unpersist()
     can = base.filter(F.col("sigs").isNotNull())
-    postings = can.select("node", "n", F.explode("sigs").alias("sig")).distinct()
-    lists = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).filter("c > 1").drop("c")
+    postings = materialise(can.select("node", "n", F.explode("sigs").alias("sig")).distinct(), "jaccard-postings")
+    lists = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"))
+    lists = materialise(lists.filter("_n > 1"), "jaccard-leads")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    table = materialise(postings.join(lists, "sig"), "jaccard-lists")
-    sets = salted_join(can, table.select("node").distinct(), ["node"], ["doc_id"], "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
+    often = hot_keys(postings, ["sig"], lists)
+    table = materialise(salted_join(postings, lists.drop("_n"), ["sig"], hot=often), "jaccard-lists")
+    sets = salted_join(can, table.select("node").distinct(), ["node"], "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     sets = materialise(sets, "jaccard-tokens")
 
     led = table.filter((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
     votes = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
-    first = votes.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("c", "lead")).alias("a"))
+    first = materialise(votes.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("c", "lead")).alias("a")), "jaccard-pairs")
     links = verify(first, sets, percent, "jaccard-links")
-    comp = components(links)
+    comp = least_labels(links.toDF("u", "v"))
 
-    own = table.select("sig", "lead", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = own.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("sig")
-    members = own.join(mixed, "sig", "left_semi").select("lead", "node", "comp").distinct()
-    comp = components(links.unionByName(block_links(members, sets, percent)))
+    own = table.select("sig", "node").join(comp.select(F.col("u").alias("node"), "l"), "node", "left").withColumn("l", F.coalesce("l", "node"))
+    mixed = own.groupBy("sig").agg(F.min("l").alias("c0"), F.max("l").alias("c1")).filter("c0 <> c1").select("sig")
+    members = salted_join(table.select("sig", "lead", "node"), mixed, ["sig"], "left_semi", hot=often).select("lead", "node").distinct()
+    members = materialise(members.join(comp.select(F.col("u").alias("node"), "l"), "node", "left").select("lead", "node", F.coalesce("l", "node").alias("comp")), "jaccard-members")
+    more = block_links(members, sets, percent)
+    final = least_labels(links.unionByName(more).toDF("u", "v"))
 
-    keyed = salted_join(base.select("doc_id", "n", "node"), comp, ["node"], ["doc_id"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("key"))
+    keyed = salted_join(base.select("doc_id", "n", "node"), final.select(F.col("u").alias("node"), F.col("l").alias("comp")), ["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("key"))
     keyed = materialise(keyed, "jaccard-keys")
+    drop(base, postings, lists, table, sets, first, links, members, more, comp, final)
     least = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "least")
-    out = salted_join(keyed, least, ["key"], ["doc_id"], "left")
+    out = salted_join(keyed, least, ["key"], "left")
     alone = F.col("key").isNull() | (F.col("least").isNull() & F.col("doc_id").isNotNull())
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Of rows that links connect the one with the smallest id (null ids last; of equal ids by a hash of the text), with all
+    columns. A row is known by its id and text, so an id that stands on several texts says nothing about the others; of
+    rows with equal id and text the one whose columns have the least hash stays. Rows that no link reaches are passed on
+    where they are."""
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), F.col(text_col).alias("t"), row_hash(docs).alias("rank"))
+    found = materialise(near_components(named.select("name", "t"), id_col="name", text_col="t", **settings), "jaccard-found")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("name"))
+    again = found.groupBy(F.col("doc_id").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    touched = marked(materialise(gone.union(again), "jaccard-gone"), ["name"]).may_hold()
+    some = named.filter(touched).groupBy("name").agg(F.min_by("row", "rank").alias("row")).join(gone.distinct(), "name", "left_anti")
+    return named.filter(~touched).select("row.*").unionByName(some.select("row.*"))
+
+
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_components(docs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from orrery.tables import drop
 from orrery.tables import written as materialise
 
-__all__ = ["materialise"]
+__all__ = ["drop", "materialise"]

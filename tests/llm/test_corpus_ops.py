@@ -286,28 +286,35 @@ def test_toxicity_odd(spark, make_docs, odd_rows, prose):
 # op7
 
 
-def brute_components(data, k=5, percent=75):
-    sets = []
-    for _, t in data:
+def brute_groups(texts, k=5, percent=75, sets=None):
+    """A number for each text, the same for texts that links connect."""
+    sets = [] if sets is None else sets
+    for t in texts:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(tx.LOWER))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()})
-    root = list(range(len(data)))
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(data)):
+    for i in range(len(sets)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def brute_components(data):
+    sets = []
+    group = brute_groups([t for _, t in data], sets=sets)
     least = {}
-    for i, (d, _) in enumerate(data):
+    for (d, _), g in zip(data, group, strict=True):
         if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    return Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(data))
+            least[g] = min(least.get(g, d), d)
+    return Counter((d, len(s), least.get(g)) for (d, _), s, g in zip(data, sets, group, strict=True))
 
 
 def family(prose, seed, size, words, edits, base):
@@ -382,6 +389,72 @@ def test_pipeline_keeps_columns_that_clash(spark, tmp_path, make_docs, prose):
         assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
 
 
+CLASHES = ["_row", "_kept", "_dedup_key", "_id", "row", "name", "rank", "t", "len", "pre", "sha", "n", "key", "none", "h"]
+
+
+def test_pipeline_keeps_internal_names(spark, tmp_path, prose):
+    docs = spark.createDataFrame([(i, prose(i, 40), *(f"{c}{i}" for c in CLASHES)) for i in (1, 2, 3)] + [(4, prose(1, 40), *CLASHES)], ["doc_id", "text", *CLASHES])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        want = docs if name in ("quality_rules", "toxicity") else docs.filter("doc_id < 4")
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def many_odd(odd_rows, prose):
+    """Odd rows, ids that repeat with other texts, null ids with and without copies, near copies."""
+    near = [*family(prose, 1, 12, 60, 2, 1000), *family(prose, 2, 9, 30, 2, 2000)]
+    return odd_rows + near + [(1003, prose(77, 50)), (1003, near[3][1]), (2001, near[0][1]), (3, prose(2, 60)), (None, prose(5, 40)), (None, prose(5, 40)), (None, prose(2, 60)), (None, near[1][1]), (20, prose(5, 40) + " x"), (None, None)]
+
+
+def test_stage_exact_dedup(spark, make_docs, odd_rows, prose):
+    data = many_odd(odd_rows, prose)
+    got = rows(corpus_pipeline.distinct_texts(spark, make_docs(data), ""))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for i, t in data:
+        least.setdefault(norm(t), []).append((i is None, i or 0))
+    assert Counter((r["doc_id"], norm(r["text"])) for r in got) == Counter((None if min(g)[0] else min(g)[1], t) for t, g in least.items())
+
+
+def test_stage_near_copies(spark, make_docs, odd_rows, prose):
+    data = many_odd(odd_rows, prose)
+    got = rows(corpus_pipeline.one_of_group(spark, make_docs(data), ""))
+    distinct = sorted(set(data), key=repr)
+    groups = brute_groups([t for _, t in distinct])
+    want = Counter()
+    for g in set(groups):
+        ids = [distinct[i][0] for i in range(len(distinct)) if groups[i] == g]
+        want[min((x for x in ids if x is not None), default=None)] += 1
+    assert Counter(r["doc_id"] for r in got) == want
+    found = [(r["doc_id"], r["text"]) for r in got]
+    assert len(set(found)) == len(found) and set(found) <= set(data)
+    assert len({groups[distinct.index(x)] for x in found}) == len(found)  # one of each group
+
+
+def test_repeated_id_with_another_text(spark, make_docs, prose):
+    same, other = prose(1, 40), prose(2, 40)
+    for stage in (corpus_pipeline.distinct_texts, corpus_pipeline.one_of_group):
+        got = stage(spark, make_docs([(3, same), (8, same), (8, other)]), "")
+        assert sorted((r["doc_id"], r["text"]) for r in rows(got)) == [(3, same), (8, other)]
+
+
+def test_stage_quality(spark, make_docs, odd_rows, prose):
+    data = many_odd(odd_rows, prose) + [(i, prose(i, 12)) for i in range(9000, 9010)]
+    got = rows(corpus_pipeline.quality(spark, make_docs(data), ""))
+
+    def fine(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        twice = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
+        chars = sum(map(len, w))
+        shout = sum(x == x.upper() and x != x.lower() for x in w)
+        return not (len(w) < 10 or 100 * len(twice) > 20 * len(w) or 100 * len(re.findall(r"[#*$%&|<>]", t)) > 30 * len(w) or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or 100 * shout > 50 * len(w) or not 2 * len(w) <= chars <= 14 * len(w))
+
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(x for x in data if fine(x[1]))
+
+
 def test_pipeline_empty(spark, tmp_path, make_docs):
     make_docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
