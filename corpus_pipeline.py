@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and all that the stage before kept, and returns a table that is written
 as Parquet and read again as the next stage's docs. All but the last return the columns of their input.
+
+Defined results: a null text counts as empty, so the quality rules reject it. A row is known by its columns, not by
+its id: rows with a null id, or with an id that other rows have too, are judged each by its own text, and of rows with
+equal texts, or that links connect, the one with the smallest id stays (null ids last; then the one whose text, or
+whose columns, have the least hash). Texts are read whole at any length. Rows that a stage keeps come out once for
+each time they came in, until exact dedup keeps one of them. Columns that the operators don't know are carried,
+whatever their names; an empty table gives an empty result. A document with several labels is toxic if one says so,
+and labels without a document, or null, are skipped; without labels of both kinds no document is called toxic.
 """
 
 from __future__ import annotations
@@ -43,9 +51,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that Jaccard links connect the one with the smallest id."""
     ship(spark)
-    found = jaccard_join.near_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_kept")).distinct()
-    return docs.withColumn("_kept", F.struct("doc_id")).join(kept, "_kept", "left_semi").select(*docs.columns)
+    return jaccard_join.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
