@@ -1,23 +1,26 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counting: each piece of the training texts gives its distinct words and word pairs with counts, dealt by hash
-into buckets; a bucket's group adds them up. A word or pair that stands in a third of all texts is one entry
-for each piece, so no group grows with one key. The counts are written to the shared folder.
-
-Model: pairs seen at least min_count times (all by default) enter a Bloom filter once for each level of their
-quantised count (level j: at least min_count * base ** (j - 1); where min_count is 1, level 1 is a count of 1 and the
-others are as for min_count 2); the filter is cut into segments by bucket, and word counts stay exact. Both are broadcast in shards of at most shard_bytes: while there is one shard a worker keeps it;
-beyond, it reads shard after shard for each large piece of text, so memory stays bounded at any corpus size.
-
-Scoring: P(w|h) = L(h) c(hw) / c(h) + (1 - L(h)) (c(w) + 1) / (N + V + 1), with c(hw) read off by probing
-levels until one is missing (a value above c(h) or c(w) is a false positive and counts as 0), and L by
-log2 c(h), estimated by EM with leave-one-out counts on all training documents. A token enters EM by its class and
-the ratio of its two probabilities alone, so one pass counts the tokens by class and 64th of an octave of the ratio
-(whole numbers, with the mean of the logarithm in each cell); the rounds run on these cells, whose number is bounded.
+Counting: each piece of the training texts gives its distinct words, word pairs and word triples with counts, dealt by
+hash into buckets; a bucket's group adds them up. An n-gram that stands in a third of all texts is one entry for
+each piece, so no group grows with one key. The counts are written to the shared folder.
+
+Model: pairs and triples enter a Bloom filter once for each level of their quantised count (level 1: a count of 1,
+level j: at least 2 * base ** (j - 2)); all probes of one entry fall into one 64-bit word. The filter is cut into
+segments by bucket, and word counts stay exact. All of it is broadcast in shards of at most about shard_bytes, each a
+range of buckets: while there is one shard a worker keeps it; beyond, it reads shard after shard for each group of
+pieces, so memory stays bounded at any corpus size.
+
+Scoring: P(w|gh) = L3 c(ghw) / c(gh) + L2 c(hw) / c(h) + L1 (c(w) + 1) / (N + V + 1), with c(ghw), c(gh) and c(hw)
+read off by probing levels until one is missing (a value above the counts of its parts is a false positive and counts
+as 0). The weights go by log2 c(gh), or by log2 c(h) where gh was never seen, and are estimated by EM with
+leave-one-out counts on all training documents. A token enters EM by its class and the ratios of its three
+probabilities alone, so one pass counts the tokens by class and quarter octaves of the ratios; the rounds run on
+these cells, whose number is bounded.
 
 Tokens are words with A-Z lower-cased, then one end; a text's first history is a start mark that is not
-counted. Defined results: a null text counts as empty (its end alone is scored); texts are scored whole;
-without training texts every count is 0; repeated rows give repeated rows; an empty table gives an empty result.
+counted. Words are told apart by 64-bit hashes. Defined results: a null text counts as empty (its end alone is
+scored); texts are scored whole; ids, null or repeated, are carried and say nothing; without training texts every
+count is 0; repeated rows give repeated rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,263 +35,333 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from orrery.llm import text as tx
-from orrery.llm.store import materialise
+from orrery.llm.store import drop, materialise
 
-END, START = b"\n", b" "  # no word contains white space
 U = np.uint64
-CELLS = 8192  # 64ths of octaves from 2 ** -64 to 2 ** 64: more than any ratio of counts
+END, START = tx.mix(np.array([1, 2], np.uint64), 12345)  # hashes of the marks
+WORDS, PAIRS, TRIPLES = 1, 2, 3
+PROBES = 4  # bits in an entry's 64-bit word
+CLASSES = 128  # the upper half: pairs that were seen
+PLACES = 512  # of a ratio: quarter octaves from 2 ** -64; place 0 stands for a ratio of 0
+FIRST = np.array([[0.8, 0.2, 0.0], [0.5, 0.25, 0.25]])  # weights before EM, without and with a history of two words
 
 
 @dataclass
 class Shard:
-    """Word counts and filter segments of some buckets."""
+    """Word counts and filter segments of the buckets from lo to hi - 1."""
 
-    buckets: np.ndarray  # sorted
+    lo: int
+    hi: int
     words: np.ndarray  # sorted hashes
     counts: np.ndarray
-    bits: np.ndarray  # bytes of all segments
-    seg_start: np.ndarray  # bit at which each bucket's segment starts, by place in buckets
-    seg_bits: np.ndarray
-
-    def nbytes(self) -> int:
-        return self.words.nbytes + self.counts.nbytes + self.bits.nbytes
+    bits: dict  # by kind: 64-bit words of all segments
+    starts: dict  # by kind: where each bucket's segment starts, and the end
 
 
 @dataclass
 class Model:
     n_buckets: int
-    total: int  # N
-    distinct: int  # V
+    total: int = 0  # N
+    distinct: int = 0  # V
     shards: list = field(default_factory=list)  # broadcasts
-    min_count: int = 2
     base: float = 1.5
-    probes: int = 5
-    mix: np.ndarray = field(default_factory=lambda: np.full(64, 0.1))  # weight of pairs by log2 c(h)
+    bits_per_entry: int = 12
+    mix: np.ndarray = field(default_factory=lambda: np.repeat(FIRST, CLASSES // 2, axis=0))  # L1, L2, L3 by class
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((tx.mix(keys, 9) >> U(33)) % U(n)).astype(np.int32)
+    """Buckets are ranges of the hash, so sorted keys stand bucket by bucket."""
+    return ((keys >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
-def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words, start and end; their numbers for start, words, end of each text in a row, places of
-    predicted tokens, and each text's number of them."""
-    ids, offsets, vocab = tx.tokenise(texts)
-    hashes = tx.hash64([*vocab, START, END])
-    n = len(texts)
-    lens = np.diff(offsets)
-    at = offsets + 2 * np.arange(n + 1)
-    full = np.empty(int(at[-1]), np.int32)
-    full[at[:-1]] = len(vocab)
-    full[at[1:] - 1] = len(vocab) + 1
-    full[np.arange(len(ids)) + 2 * np.repeat(np.arange(n), lens) + 1] = ids
-    predicted = np.ones(len(full), bool)
-    predicted[at[:-1]] = False
-    return hashes, full, np.flatnonzero(predicted), lens + 1
+@dataclass
+class Tokens:
+    """The tokens of a piece: distinct keys (sorted) of each kind, the place of each token's own among them, and of its history's."""
 
+    lens: np.ndarray  # tokens of each text
+    keys: dict
+    word: np.ndarray
+    history: np.ndarray  # place of the word before; -1 for the start
+    pair: np.ndarray
+    before: np.ndarray  # place of the pair that ends with the word before; -1 without one
+    triple: np.ndarray  # -1 without one
 
-def stream_pairs(hashes: np.ndarray, full: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of each predicted token with the one before it."""
-    return tx.mix(tx.mix(hashes, 3)[full[at - 1]] + hashes[full[at]])
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and ends of all texts in a row, and each text's number of them."""
+    words, offsets = tx.word_hashes(texts)
+    lens = np.diff(offsets)
+    n = len(texts)
+    out = np.full(len(words) + n, END)
+    out[np.arange(len(words)) + np.repeat(np.arange(n), lens)] = words
+    return out, lens + 1
+
+
+def chain(own: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair hash of each token with the one before (or the start), triple hash (of tokens with two before or the start
+    and one), and which tokens are first in their text."""
+    first = np.zeros(len(own), bool)
+    first[np.cumsum(lens)[:-1]] = True
+    first[:1] = True
+    before = np.concatenate([[START], own[:-1]]) if len(own) else own
+    before = np.where(first, START, before)
+    pair = tx.mix(tx.mix(before, 3) + own)
+    triple = tx.mix(tx.mix(np.concatenate([pair[:1], pair[:-1]]), 4) + own)
+    return pair, triple, first
+
+
+def read_tokens(texts: list[bytes]) -> Tokens:
+    own, lens = token_hashes(texts)
+    pair, triple, first = chain(own, lens)
+    keys, places = {}, {}
+    for kind, values in ((WORDS, own), (PAIRS, pair), (TRIPLES, triple[~first])):
+        keys[kind], at = np.unique(values, return_inverse=True)
+        places[kind] = at.astype(np.int32)
+    late = np.full(len(own), -1, np.int32)
+    late[~first] = places[TRIPLES]
+    shift = lambda v: np.where(first, np.int32(-1), np.concatenate([v[:1], v[:-1]]))
+    return Tokens(lens, keys, places[WORDS], shift(places[WORDS]), places[PAIRS], shift(places[PAIRS]), late)
 
 
 def count_pieces(docs: DataFrame, n_buckets: int, text_col: str = "text") -> DataFrame:
-    """bucket int, pair boolean, keys and counts binary: a row for each bucket and piece of text."""
+    """A row for each bucket, kind and piece of text: keys seen once and counts of the others. Words have 64-bit keys, the
+    rest the lower half: the upper half says the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col):
-            hashes, full, at, _ = token_stream(tx.raw(rb.column(text_col)))
-            rows: list[list] = [[], [], [], []]
-            seen = np.bincount(full[at], minlength=len(hashes))
-            for pair, (keys, counts) in ((False, (hashes[seen > 0], seen[seen > 0])), (True, np.unique(stream_pairs(hashes, full, at), return_counts=True))):
+        for rb in tx.chunks(batches, text_col, 8 << 20):
+            own, lens = token_hashes(tx.raw(rb.column(text_col)))
+            pair, triple, first = chain(own, lens)
+            rows: list[list] = [[] for _ in range(5)]
+            for kind, values in ((WORDS, own), (PAIRS, pair), (TRIPLES, triple[~first])):
+                keys, counts = np.unique(values, return_counts=True)
                 where = bucket_of(keys, n_buckets)
-                order = np.argsort(where, kind="stable")
-                cut = np.searchsorted(where[order], np.arange(n_buckets + 1))
-                keys, counts = keys[order], counts[order].astype(np.uint32)
-                for b in np.flatnonzero(np.diff(cut)):
-                    for c, v in zip(rows, (int(b), pair, keys[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].tobytes()), strict=True):
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(where) != 0, [True]])) if len(keys) else np.zeros(1, np.int64)
+                short, counts, once = keys if kind == WORDS else keys.astype(np.uint32), counts.astype(np.uint32), counts == 1
+                for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    own_keys, o = short[a:z], once[a:z]
+                    for c, v in zip(rows, (int(where[a]), kind, own_keys[o].tobytes(), own_keys[~o].tobytes(), counts[a:z][~o].tobytes()), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.bool_()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["bucket", "pair", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int8()), *(pa.array(c, pa.binary()) for c in rows[2:])], names=["bucket", "kind", "once", "more", "counts"])
 
-    return docs.select(text_col).mapInArrow(run, "bucket int, pair boolean, keys binary, counts binary")
+    return docs.select(text_col).mapInArrow(run, "bucket int, kind byte, once binary, more binary, counts binary")
 
 
-def levels(counts: np.ndarray, min_count: int, base: float) -> np.ndarray:
-    if min_count == 1:
-        return np.where(counts < 2, 1, 1 + levels(np.maximum(counts, 2), 2, base))
-    return 1 + np.floor(np.log(counts / min_count) / np.log(base) + 1e-9).astype(np.int64)
+def levels(counts: np.ndarray, base: float) -> np.ndarray:
+    return np.where(counts < 2, 1, 2 + np.floor(np.log(np.maximum(counts, 2) / 2) / np.log(base) + 1e-9).astype(np.int64))
 
 
-def level_count(level: int, min_count: int, base: float) -> int:
+def level_count(level: int, base: float) -> int:
     """The least count of a level, rounded down."""
-    if min_count == 1:
-        return 1 if level == 1 else level_count(level - 1, 2, base)
-    return int(np.floor(min_count * base ** (level - 1) + 1e-9))
+    return 1 if level == 1 else int(np.floor(2 * base ** (level - 2) + 1e-9))
 
 
-def places(g: np.ndarray, i: int, seg_bits: np.ndarray) -> np.ndarray:
-    """Place of probe i in segments of seg_bits (uint64, below 2 ** 32), from the keys' hashes g at a level."""
-    return (((g + U(i) * ((g >> U(32)) | U(1))) & U(0xFFFFFFFF)) * seg_bits >> U(32)).astype(np.int64)
+def probe(short: np.ndarray, kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For keys at a level: a hash that chooses the word (32 bits), and the bits to be set in it."""
+    g = tx.mix(short, 1000 * kind + level)
+    bits = np.zeros(len(g), np.uint64)
+    for i in range(PROBES):
+        bits |= U(1) << ((g >> U(6 * i)) & U(63))
+    return g >> U(32), bits
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, m: Model, bits_per_entry: int = 10) -> np.ndarray:
-    """Bytes of a bucket's part of the filter."""
-    level = levels(counts, m.min_count, m.base) if len(counts) else np.zeros(0, np.int64)
-    size = -(-max(64, int(level.sum()) * bits_per_entry) // 8) * 8
-    bits = np.zeros(size, np.uint8)
+def segment(short: np.ndarray, counts: np.ndarray, kind: int, m: Model) -> np.ndarray:
+    """A bucket's part of the filter."""
+    level = levels(counts, m.base) if len(counts) else np.zeros(0, np.int64)
+    out = np.zeros(max(1, -(-int(level.sum()) * m.bits_per_entry // 64)), np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        own = tx.mix(keys[level >= j], 100 + j)
-        for i in range(m.probes):
-            bits[places(own, i, U(size))] = 1
-    return np.packbits(bits, bitorder="little")
+        where, bits = probe(short[level >= j], kind, j)
+        np.bitwise_or.at(out, (where * U(len(out)) >> U(32)).astype(np.int64), bits)
+    return out
 
 
 def add_up(pieces: DataFrame, m: Model) -> DataFrame:
-    """bucket, pair, n long (distinct keys), total long, keys (of words: hashes; of pairs: the segment), counts (of words)."""
+    """bucket, kind, n (distinct keys), total, keys (of words: hashes; else: the filter's segment), counts (of words)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
-        pair = table.column("pair")[0].as_py()
+        kind = table.column("kind")[0].as_py()
+        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        width = np.uint64 if kind == WORDS else np.uint32
+        once, more = join("once", width), join("more", width)
+        keys = np.concatenate([once, more])
+        counts = np.concatenate([np.ones(len(once), np.int64), join("counts", np.uint32).astype(np.int64)])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
         keys, counts = keys[first], np.add.reduceat(counts, first)
         n, total = len(keys), int(counts.sum())
-        if pair:
-            often = counts >= m.min_count
-            keys, counts = segment(keys[often], counts[often], m), counts[:0]
-        cols = [table.column("bucket")[0].as_py(), pair, n, total, keys.tobytes(), counts.astype(np.int64).tobytes()]
-        kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "pair", "n", "total", "keys", "counts"])
-
-    return pieces.groupBy("bucket", "pair").applyInArrow(run, "bucket int, pair boolean, n long, total long, keys binary, counts binary")
-
-
-def make_shard(rows: list) -> Shard:
-    pairs = sorted((r for r in rows if r["pair"]), key=lambda r: r["bucket"])
-    sizes = np.array([len(r["keys"]) * 8 for r in pairs], np.int64)
-    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows if not r["pair"])])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in rows if not r["pair"])])
-    order = np.argsort(words)
-    small = np.uint32 if counts.max(initial=0) < 2**32 else np.int64
-    return Shard(np.array([r["bucket"] for r in pairs], np.int64), words[order], counts[order].astype(small), np.frombuffer(b"".join(r["keys"] for r in pairs), np.uint8), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-
-
-def look_up(shard: Shard, m: Model, words: np.ndarray, pairs: np.ndarray, pair_bucket: np.ndarray, c_words: np.ndarray, c_pairs: np.ndarray) -> None:
-    """Adds what the shard knows to c_words and c_pairs."""
-    if len(shard.words):
-        at = np.minimum(np.searchsorted(shard.words, words), len(shard.words) - 1)
-        c_words += np.where(shard.words[at] == words, shard.counts[at], 0).astype(np.int64)
-    if not len(shard.buckets):
+        if kind != WORDS:
+            keys, counts = segment(keys.astype(np.uint64), counts, kind, m), counts[:0]
+        cols = [table.column("bucket")[0].as_py(), kind, n, total, keys.tobytes(), counts.tobytes()]
+        kinds = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "kind", "n", "total", "keys", "counts"])
+
+    return pieces.groupBy("bucket", "kind").applyInArrow(run, "bucket int, kind byte, n long, total long, keys binary, counts binary")
+
+
+def make_shard(rows: list, lo: int, hi: int) -> Shard:
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    join = lambda parts, t: np.frombuffer(b"".join(parts), t)
+    words = join([r["keys"] for r in rows if r["kind"] == WORDS], np.uint64)
+    counts = join([r["counts"] for r in rows if r["kind"] == WORDS], np.int64)
+    bits, starts = {}, {}
+    for kind in (PAIRS, TRIPLES):
+        sizes = np.zeros(hi - lo, np.int64)
+        for r in rows:
+            if r["kind"] == kind:
+                sizes[r["bucket"] - lo] = len(r["keys"]) // 8
+        bits[kind], starts[kind] = join([r["keys"] for r in rows if r["kind"] == kind], np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    return Shard(lo, hi, words, counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64), bits, starts)
+
+
+def look_up(shard: Shard, m: Model, kind: int, keys: np.ndarray, out: np.ndarray) -> None:
+    """Writes the counts of the sorted keys that fall into the shard's buckets to out (int64)."""
+    bucket = bucket_of(keys, m.n_buckets)
+    a, z = np.searchsorted(bucket, [shard.lo, shard.hi])
+    if a == z:
         return
-    seg = np.minimum(np.searchsorted(shard.buckets, pair_bucket), len(shard.buckets) - 1)
-    alive = np.flatnonzero(shard.buckets[seg] == pair_bucket)
-    level, seg_bits = 0, shard.seg_bits.astype(np.uint64)
+    if kind == WORDS:
+        if len(shard.words):
+            at = np.minimum(np.searchsorted(shard.words, keys[a:z]), len(shard.words) - 1)
+            out[a:z] = np.where(shard.words[at] == keys[a:z], shard.counts[at], 0)
+        return
+    starts, own = shard.starts[kind], bucket[a:z] - shard.lo
+    first, size = starts[own], (starts[own + 1] - starts[own]).astype(np.uint64)
+    alive, short = np.flatnonzero(size > 0), keys[a:z] & U(0xFFFFFFFF)
+    first, size, short, level = first[alive], size[alive], short[alive], 0
     while len(alive):
         level += 1
-        g, s = tx.mix(pairs[alive], 100 + level), seg[alive]
-        for i in range(m.probes):
-            bit = shard.seg_start[s] + places(g, i, seg_bits[s])
-            hit = (shard.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            alive, g, s = alive[hit], g[hit], s[hit]
-        c_pairs[alive] = level_count(level, m.min_count, m.base)
-
-
-def statistics(texts: list[bytes], m: Model):
-    """For each predicted token: c(w), c(h), c(hw); and each text's number of tokens."""
-    words, full, at, lens = token_stream(texts)
-    pairs = stream_pairs(words, full, at)
-    words[-2] = words[-1]  # as many starts as ends
-    bucket = bucket_of(pairs, m.n_buckets)
-    c_words, c_pairs = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int32)
-    for b in m.shards:
-        look_up(b.value, m, words, pairs, bucket, c_words, c_pairs)
+        where, bits = probe(short, kind, level)
+        hit = shard.bits[kind][first + (where * size >> U(32)).astype(np.int64)] & bits == bits
+        alive, first, size, short = alive[hit], first[hit], size[hit], short[hit]
+        out[a:z][alive] = level_count(level, m.base)
+
+
+def counts_of(pieces: list[Tokens], m: Model) -> list[dict]:
+    """By piece and kind: the counts of the distinct keys. Shards are read one after another, each for all the pieces."""
+    out = [{k: np.zeros(len(v), np.int64) for k, v in p.keys.items()} for p in pieces]
+    for sent in m.shards:
+        for p, found in zip(pieces, out, strict=True):
+            for kind, keys in p.keys.items():
+                look_up(sent.value, m, kind, keys, found[kind])
         if len(m.shards) > 1:
-            b.__dict__.pop("_value", None)  # one shard in memory at a time
-    c_w, c_h = c_words[full[at]], c_words[full[at - 1]]
-    return c_w, c_h, np.where(c_pairs > np.minimum(c_w, c_h), 0, c_pairs), lens
-
-
-def log2_class(c: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(c, 1)).astype(np.int64)
+            sent.__dict__.pop("_value", None)  # one shard in memory at a time
+    return out
 
 
-def piece_bytes(m: Model) -> int:
-    return 4 << 20 if len(m.shards) == 1 else 16 << 20
+def statistics(p: Tokens, found: dict) -> dict[str, np.ndarray]:
+    """For each token: c(w), c(h), c(hw), c(gh), c(ghw). As many starts are counted as ends."""
+    end = int(found[WORDS][np.searchsorted(p.keys[WORDS], END)]) if len(p.lens) else 0
+    w = found[WORDS][p.word]
+    h = np.where(p.history < 0, end, found[WORDS][p.history])
+    hw = found[PAIRS][p.pair]
+    gh = np.where(p.before < 0, 0, found[PAIRS][p.before])
+    ghw = np.where(p.triple < 0, 0, found[TRIPLES][p.triple]) if len(found[TRIPLES]) else np.zeros(len(w), np.int64)
+    hw = np.where(hw > np.minimum(w, h), 0, hw)
+    gh = np.where(gh > h, 0, gh)
+    return {"w": w, "h": h, "hw": hw, "gh": gh, "ghw": np.where(ghw > np.minimum(hw, gh), 0, ghw)}
+
+
+def parts(c: dict, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token's history, and its probability by words, pairs and triples."""
+    seen = c["gh"] > 0
+    kind = np.where(seen, CLASSES // 2, 0) + np.log2(np.maximum(np.where(seen, c["gh"], c["h"]), 1)).astype(np.int64)
+    share = lambda a, b: np.minimum(1, a / np.maximum(b, 1))
+    return kind, (c["w"] + 1) / (m.total + m.distinct + 1), share(c["hw"], c["h"]), share(c["ghw"], c["gh"])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], m: Model, text_col: str) -> Iterator[list[tuple[pa.RecordBatch, Tokens]]]:
+    """Pieces of at most 8 MB of text, several at once if there are several shards to read for them."""
+    room, held, out = 1 if len(m.shards) <= 1 else 32 << 20, 0, []
+    for rb in tx.chunks(batches, text_col, 8 << 20):
+        out.append((rb, read_tokens(tx.raw(rb.column(text_col)))))
+        held += rb.column(text_col).nbytes
+        if held >= room:
+            yield out
+            held, out = 0, []
+    if out:
+        yield out
 
 
 def mix_cells(train: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
-    """cell int (class of c(h), then ratio of the pair's probability to the word's; place 0: the pair's is 0), n long
-    (tokens), part long (sum of the ratio's place within the cell, in units of 2 ** -20): a row for each cell and task.
-    Each token's own count is taken from its counts."""
+    """cell int (class, place of the pair's and of the triple's probability against the word's), n long (tokens): a row for
+    each cell and task. Each token's own count is taken from its counts."""
+
+    def place(p: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(p), np.int64)
+        own = np.flatnonzero(p > 0)
+        out[own] = np.clip(np.rint(4 * np.log2(p[own] / p1[own])) + PLACES // 2, 1, PLACES - 1)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, part = np.zeros(64 * CELLS, np.int64), np.zeros(64 * CELLS, np.int64)
-        for rb in tx.chunks(batches, text_col, piece_bytes(m)):
-            c_w, c_h, c_hw, _ = statistics(tx.raw(rb.column(text_col)), m)
-            c_w, c_h, c_hw = np.maximum(c_w - 1, 0), np.maximum(c_h - 1, 1), np.maximum(c_hw - 1, 0)
-            cell = log2_class(c_h) * CELLS
-            n += np.bincount(cell[c_hw == 0], minlength=len(n))
-            own = np.flatnonzero(c_hw > 0)
-            at = 64 * np.log2(np.minimum(1, c_hw[own] / c_h[own]) * (m.total + m.distinct + 1) / (c_w[own] + 1))
-            low = np.floor(at)
-            cell = cell[own] + low.astype(np.int64) + CELLS // 2
-            n += np.bincount(cell, minlength=len(n))
-            part += np.bincount(cell, np.round((at - low) * 2**20), minlength=len(n)).astype(np.int64)  # whole numbers below 2 ** 53
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used]), pa.array(part[used])], names=["cell", "n", "part"])
-
-    return train.select(text_col).mapInArrow(run, "cell int, n long, part long")
+        cells, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for group in grouped(batches, m, text_col):
+            tokens = [p for _, p in group]
+            for p, found in zip(tokens, counts_of(tokens, m), strict=True):
+                c = {k: np.maximum(v - 1, 0) for k, v in statistics(p, found).items()}
+                kind, p1, p2, p3 = parts(c, m)
+                new, more = np.unique((kind * PLACES + place(p2, p1)) * PLACES + place(p3, p1), return_counts=True)
+                cells, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, more])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n)], names=["cell", "n"])
+
+    return train.select(text_col).mapInArrow(run, "cell int, n long")
 
 
 def fit_mix(train: DataFrame, m: Model, text_col: str = "text", rounds: int = 15) -> np.ndarray:
-    """Weights of pairs by log2 c(h), by EM on all training texts."""
-    out = np.full(64, 0.1)
-    cells = sorted(mix_cells(train, m, text_col).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("part").alias("part")).collect())  # 64 * CELLS rows at most
-    cell, n, part = np.array(cells, np.int64).reshape(-1, 3).T
-    kind, place = cell // CELLS, cell % CELLS
-    ratio = np.where(place > 0, 2.0 ** ((place - CELLS // 2 + part / 2**20 / np.maximum(n, 1)) / 64), 0)
-    tokens = np.bincount(kind, n, minlength=64)
+    """Weights of words, pairs and triples by class, by EM on all training texts."""
+    found = sorted(mix_cells(train, m, text_col).groupBy("cell").agg(F.sum("n").alias("n")).collect())  # classes by places of ratios
+    cell, n = np.array(found, np.int64).reshape(-1, 2).T
+    kind = cell // PLACES**2
+    ratio = np.ones((len(cell), 3))
+    for k, place in ((1, cell // PLACES % PLACES), (2, cell % PLACES)):
+        ratio[:, k] = np.where(place > 0, 2.0 ** ((place - PLACES // 2) / 4), 0)
+    return weights_by_em(kind, ratio, n, rounds)
+
+
+def weights_by_em(kind: np.ndarray, ratio: np.ndarray, n: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """n tokens of class kind whose three probabilities stand to each other as ratio. Every class starts with ten tokens'
+    worth of the first weights; words keep a thousandth at least."""
+    first = np.repeat(FIRST, CLASSES // 2, axis=0)
+    out = first
     for _ in range(rounds):
         a = out[kind] * ratio
-        got = np.bincount(kind, n * a / (a + 1 - out[kind]), minlength=64)
-        out = np.clip((got + 0.1 * 10) / (tokens + 10), 1e-4, 0.95)  # ten tokens' worth of the starting value
+        a *= (n / a.sum(1))[:, None]
+        got = np.stack([np.bincount(kind, a[:, k], minlength=CLASSES) for k in range(3)], axis=1) + 10 * first
+        out = got / got.sum(1, keepdims=True)
+        out[:, 0] = np.maximum(out[:, 0], 1e-3)
+        out /= out.sum(1, keepdims=True)
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text", min_count: int = 1, base: float = 1.5, shard_bytes: int = 96 << 20, bucket_bytes: int = 8 << 20) -> Model:
+def fit(train: DataFrame, text_col: str = "text", base: float = 1.5, bits_per_entry: int = 12, shard_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> Model:
     """Counts all training texts and sends out the model."""
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    m = Model(max(12, min(1 << 16, -(-size // bucket_bytes))), 0, 0, min_count=min_count, base=base)
+    m = Model(max(12, -(-size // bucket_bytes)), base=base, bits_per_entry=bits_per_entry)
     counts = materialise(add_up(count_pieces(train, m.n_buckets, text_col), m), "lm-counts")
-    sizes = counts.groupBy("bucket").agg(
-        F.sum(F.when(~F.col("pair"), F.col("n"))).alias("v"), F.sum(F.when(~F.col("pair"), F.col("total"))).alias("t"),
-        F.sum(F.when(F.col("pair"), F.octet_length("keys")).otherwise(2 * F.octet_length("keys"))).alias("b")).collect()  # n_buckets rows at most
-    m.total, m.distinct = sum(r["t"] or 0 for r in sizes), sum(r["v"] or 0 for r in sizes)
-    groups, held = [[]], 0
-    for r in sorted(sizes, key=lambda r: r["bucket"]):
-        if groups[-1] and held + r["b"] > shard_bytes:
-            groups, held = [*groups, []], 0
-        groups[-1].append(r["bucket"])
-        held += r["b"]
-    built = counts.select("bucket", "pair", "keys", "counts")
-    for g in groups:
-        own = built if len(groups) == 1 else built.filter(F.col("bucket").between(g[0], g[-1]))
-        m.shards.append(spark.sparkContext.broadcast(make_shard(list(own.toLocalIterator()) if g else [])))
+    words = F.col("kind") == WORDS
+    own = counts.agg(
+        F.sum(F.when(words, F.col("n"))).alias("v"), F.sum(F.when(words, F.col("total"))).alias("t"),
+        F.sum(F.when(words, 1.5 * F.octet_length("keys")).otherwise(F.octet_length("keys"))).alias("b")).first()
+    m.total, m.distinct = own["t"] or 0, own["v"] or 0
+    n = min(m.n_buckets, max(1, -(-int(own["b"] or 0) // shard_bytes)))  # buckets go by hash, so equal ranges are of like size
+    cuts = [m.n_buckets * i // n for i in range(n + 1)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        held = counts.filter(F.col("bucket").between(lo, hi - 1)).select("bucket", "kind", "keys", "counts")
+        m.shards.append(spark.sparkContext.broadcast(make_shard(list(held.toLocalIterator()), lo, hi)))
+    drop(counts)
     m.mix = fit_mix(train, m, text_col)
     return m
 
 
-def score_texts(texts: list[bytes], m: Model) -> dict[str, np.ndarray]:
-    c_w, c_h, c_hw, lens = statistics(texts, m)
-    starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    add = lambda v: np.add.reduceat(v, starts) if len(lens) else np.zeros(0)
-    p1 = (c_w + 1) / (m.total + m.distinct + 1)
-    weight = np.where(c_h > 0, m.mix[log2_class(c_h)], 0)
-    p = weight * c_hw / np.maximum(c_h, 1) + (1 - weight) * p1
-    return {"n_tokens": lens, "n_known": add((c_w > 0).astype(np.int64)), "base_score": add(np.log10(p1)), "score": add(np.log10(p))}
+def score_tokens(p: Tokens, found: dict, m: Model) -> dict[str, np.ndarray]:
+    c = statistics(p, found)
+    kind, p1, p2, p3 = parts(c, m)
+    weight = np.where((c["h"] > 0)[:, None], m.mix[kind], [1.0, 0, 0])
+    starts = np.concatenate([[0], np.cumsum(p.lens)])[:-1]
+    add = lambda v: np.add.reduceat(v, starts) if len(p.lens) else np.zeros(0)
+    mixed = weight[:, 0] * p1 + weight[:, 1] * p2 + weight[:, 2] * p3
+    return {"n_tokens": p.lens, "n_known": add((c["w"] > 0).astype(np.int64)), "base_score": add(np.log10(p1)), "score": add(np.log10(mixed))}
 
 
 def score(docs: DataFrame, m: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -297,9 +370,10 @@ def score(docs: DataFrame, m: Model, text_col: str = "text", keep: list[str] | N
     names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col, piece_bytes(m)):
-            got = score_texts(tx.raw(rb.column(text_col)), m)
-            yield tx.with_columns(rb, names, **{k: pa.array(got[k], t) for k, t in new.items()})
+        for group in grouped(batches, m, text_col):
+            for (rb, p), found in zip(group, counts_of([p for _, p in group], m), strict=True):
+                got = score_tokens(p, found, m)
+                yield tx.with_columns(rb, names, **{k: pa.array(got[k], t) for k, t in new.items()})
 
     read = docs.select(*dict.fromkeys([*names, text_col]))
     return read.mapInArrow(run, tx.schema_of(read, names, n_tokens=LongType(), n_known=LongType(), base_score=DoubleType(), score=DoubleType()))

@@ -65,6 +65,51 @@ def hash64(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(values, categorize=False)
 
 
+_rng = np.random.Generator(np.random.PCG64(20240229))
+_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
+_BYTE_LOWER = _BYTE[np.frombuffer(LOWER, np.uint8)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BLOCK = 1 << 18
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base, and of its inverse modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, b, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in a row, and offsets of each text (one more than texts).
+
+    A word's hash is the sum of a random number for each byte times a power of a base for its place, as differences of
+    running sums over the whole buffer; then its length is mixed in. Two different words meet with a chance of about
+    2 ** -64."""
+    flat = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[flat], [False]])
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    table = _BYTE_LOWER if lower else _BYTE
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        z = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK, side="right")))
+        lo, hi = int(starts[a]), int(ends[z - 1])
+        up, down = powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(table[flat[lo:hi]] * up[: hi - lo], out=sums[1:])
+        own = starts[a:z] - lo
+        out[a:z] = (sums[ends[a:z] - lo] - sums[own]) * down[own]
+        a = z
+    edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    return mix(out + (ends - starts).astype(np.uint64)), np.searchsorted(starts, edges)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """SplitMix64's finaliser: spreads every input bit over all 64."""
     x = x + U((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -88,8 +133,7 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each text; a shorter text is one shingle, no word gives none."""
-    ids, offsets, vocab = tokenise(texts)
-    hashes = hash64(vocab)[ids] if len(ids) else np.zeros(0, np.uint64)
+    hashes, offsets = word_hashes(texts)
     all_, at = windows(hashes, offsets, k)
     cut = np.searchsorted(at, offsets)
     out = []

@@ -95,79 +95,140 @@ def test_packing_whole(make_docs, odd_rows, prose):
 # op3
 
 
+def lm_words(t):
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(tx.LOWER)), None]
+
+
+def lm_counts(texts):
+    """Counts of words, pairs and triples; the start is the empty word."""
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        w = [b"", *lm_words(t)]
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    return one, two, three
+
+
+def floor_of_level(n):
+    """A count as the filter gives it back: 1, or the last of 2, 3, 4, 6, 10, ... that it reaches."""
+    out = n if n < 2 else 2
+    level = 0
+    while n >= 2 and 2 * 1.5 ** (level + 1) <= n + 1e-9:
+        level += 1
+        out = math.floor(2 * 1.5**level + 1e-9)
+    return out
+
+
 def test_lm(make_docs, odd_rows, prose):
     data = [r for r in odd_rows if r[0] is not None] + [(100 + i, prose(i % 9, 80)) for i in range(30)]
     docs = make_docs(data)
     held = tx.crc_mod("doc_id", 7) == 2
-    m = lm_score.fit(docs.filter(~held))
-    words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(tx.LOWER)), None]
-    train = Counter()
-    for i, t in data:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            train.update(words(t))
+    m = lm_score.fit(docs.filter(~held), bits_per_entry=512)  # so wide that it has no false positive here
+    train, two, three = lm_counts(t for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2)
+    starts = train.pop(b"")
     total, distinct = sum(train.values()), len(train)
     assert (m.total, m.distinct) == (total, distinct)
     got = rows(lm_score.score(docs, m, keep=["doc_id"]))
-    text = dict(data)
     assert len(got) == len(data)
+    text, same = dict(data), 0
     for r in got:
-        w = words(text[r["doc_id"]])
+        w = lm_words(text[r["doc_id"]])
         assert r["n_tokens"] == len(w) and r["n_known"] == sum(train[x] > 0 for x in w)
         assert r["base_score"] == pytest.approx(sum(math.log10((train[x] + 1) / (total + distinct + 1)) for x in w), abs=1e-6)
+        full, score = [b"", *w], 0.0
+        for i, x in enumerate(w):
+            h = starts if i == 0 else train[full[i]]
+            hw = floor_of_level(two[full[i], x])
+            gh = floor_of_level(two[full[i - 1], full[i]]) if i else 0
+            ghw = floor_of_level(three[full[i - 1], full[i], x]) if i else 0
+            p = ((train[x] + 1) / (total + distinct + 1), hw / max(h, 1), ghw / max(gh, 1))
+            weight = m.mix[64 + int(math.log2(gh)) if gh else int(math.log2(max(h, 1)))] if h else (1, 0, 0)
+            score += math.log10(sum(a * b for a, b in zip(weight, p, strict=True)))
+        same += r["score"] == pytest.approx(score, abs=1e-6)
+    assert same == len(got)
     repeated = [r for r in got if r["doc_id"] >= 100]
-    assert sum(r["score"] for r in repeated) > sum(r["base_score"] for r in repeated)  # repeated texts: pairs help
-    small = lm_score.fit(docs.filter(~held), shard_bytes=1)
+    assert sum(r["score"] for r in repeated) > sum(r["base_score"] for r in repeated)  # repeated texts: n-grams help
+    small = lm_score.fit(docs.filter(~held), bits_per_entry=512, shard_bytes=1)
     assert len(small.shards) > 1
     assert sorted((r["doc_id"], r["score"]) for r in rows(lm_score.score(docs, small, keep=["doc_id"]))) == sorted((r["doc_id"], r["score"]) for r in got)
 
 
 def test_lm_weights_of_all_training_texts(make_docs, prose):
-    """The interpolation weights are those of EM over the tokens of every training text, not of a sample."""
+    """The weights are those of EM over the tokens of every training text, up to the width of the cells."""
     texts = [prose(i % 40, 12) if i % 3 else prose(10_000 + i, 12) for i in range(1200)]
     m = lm_score.fit(make_docs(list(enumerate(texts))))
-    c_w, c_h, c_hw, _ = lm_score.statistics([t.encode() for t in texts], m)
-    c_w, c_h, c_hw = np.maximum(c_w - 1, 0), np.maximum(c_h - 1, 1), np.maximum(c_hw - 1, 0)
-    kind, p1, p2 = lm_score.log2_class(c_h), (c_w + 1) / (m.total + m.distinct + 1), np.minimum(1, c_hw / c_h)
-    want = np.full(64, 0.1)
-    for _ in range(15):
-        a = want[kind] * p2
-        want = np.clip((np.bincount(kind, a / (a + (1 - want[kind]) * p1), minlength=64) + 1) / (np.bincount(kind, minlength=64) + 10), 1e-4, 0.95)
-    assert len(np.unique(kind)) > 1 and np.abs(want - 0.1).max() > 0.05
-    assert m.mix == pytest.approx(want, abs=1e-4)
+    p = lm_score.read_tokens([t.encode() for t in texts])
+    c = {k: np.maximum(v - 1, 0) for k, v in lm_score.statistics(p, lm_score.counts_of([p], m)[0]).items()}
+    kind, p1, p2, p3 = lm_score.parts(c, m)
+    want = lm_score.weights_by_em(kind, np.stack([np.ones(len(p1)), p2 / p1, p3 / p1], axis=1), np.ones(len(p1)))
+    assert len(np.unique(kind)) > 2 and np.abs(want - np.repeat(lm_score.FIRST, 64, axis=0)).max() > 0.05
+    assert m.mix == pytest.approx(want, abs=5e-3) and m.mix.sum(1) == pytest.approx(np.ones(128))
+
+
+def test_lm_em_raises_likelihood():
+    rng = np.random.default_rng(4)
+    kind, ratio, n = rng.integers(0, 128, 400), rng.gamma(0.5, 4, (400, 3)), rng.integers(1, 1000, 400)
+    ratio[:, 0] = 1
+    value = [(n * np.log((lm_score.weights_by_em(kind, ratio, n, r)[kind] * ratio).sum(1))).sum() for r in (0, 1, 3, 15)]
+    assert value == sorted(value) and value[-1] > value[0]
 
 
 def test_lm_pairs_seen_once(make_docs, prose):
-    """A pair seen once in training counts once; larger counts are read as without the pairs seen once."""
+    """N-grams seen once count once; larger counts are read as floors of their level."""
     texts = [prose(i, 25) for i in range(20)] + [prose(0, 25)] * 6
-    words = [t.encode().split() for t in texts]
-    counts = Counter(p for w in words for p in zip([None, *w], [*w, None], strict=True))
-    m = lm_score.fit(make_docs(list(enumerate(texts))))
-    assert sum(v == 1 for v in counts.values()) > 100
-    want = np.array([counts[p] for w in words for p in zip([None, *w], [*w, None], strict=True)])
-    got = lm_score.statistics([t.encode() for t in texts], m)[2]
-    assert (got[want == 1] > 0).all() and (got == np.array([{1: 1, 2: 2, 3: 3, 4: 3}.get(v, 4 if v < 7 else 6) for v in want])).mean() > 0.95
-    old = lm_score.statistics([t.encode() for t in texts], lm_score.fit(make_docs(list(enumerate(texts))), min_count=2))[2]
-    assert (got[want > 1] == old[want > 1]).mean() > 0.95 and (old[want == 1] > 0).mean() < 0.1
+    _, two, three = lm_counts(texts)
+    m = lm_score.fit(make_docs(list(enumerate(texts))), bits_per_entry=48)
+    p = lm_score.read_tokens([t.encode() for t in texts])
+    got = lm_score.statistics(p, lm_score.counts_of([p], m)[0])
+    full = [[b"", *lm_words(t)] for t in texts]
+    want_two = np.array([floor_of_level(two[x]) for w in full for x in zip(w, w[1:], strict=False)])
+    want_three = np.array([floor_of_level(three[w[i - 2], w[i - 1], w[i]]) if i > 1 else 0 for w in full for i in range(1, len(w))])
+    assert (want_two == 1).sum() > 100 and (want_three == 1).sum() > 100
+    assert (got["hw"] == want_two).mean() > 0.99 and (got["ghw"] == want_three).mean() > 0.99
 
 
 def test_lm_filter_counts():
-    """Every stored count comes back as the floor of its level; absent pairs rarely do."""
+    """Every stored count comes back as the floor of its level; absent keys rarely do; counts beyond 2 ** 32 stay whole."""
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
-    counts = rng.integers(2, 1000, len(keys))
-    m = lm_score.Model(12, 0, 0)
-    seg = lm_score.segment(keys, counts, m)
-    shard = lm_score.Shard(np.array([0]), np.zeros(0, np.uint64), np.zeros(0, np.int64), seg, np.array([0]), np.array([len(seg) * 8]))
+    keys = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    counts = rng.integers(1, 1000, len(keys))
+    counts[:3] = 5_000_000_000, 2**31 + 5, 2**40
+    m = lm_score.Model(1)
+    short = keys & np.uint64(2**32 - 1)
+    seg = lm_score.segment(short, counts, lm_score.PAIRS, m)
+    shard = lm_score.make_shard([{"bucket": 0, "kind": lm_score.PAIRS, "keys": seg.tobytes(), "counts": b""}], 0, 1)
 
     def ask(k):
         out = np.zeros(len(k), np.int64)
-        lm_score.look_up(shard, m, np.zeros(0, np.uint64), k, np.zeros(len(k), np.int64), np.zeros(0, np.int64), out)
+        lm_score.look_up(shard, m, lm_score.PAIRS, k, out)
         return out
 
-    found = ask(keys)
-    want = np.floor(2 * 1.5 ** (lm_score.levels(counts, 2, 1.5) - 1) + 1e-9)
-    assert (found >= want).all() and (found == want).mean() > 0.98 and (want <= counts).all()
-    assert (ask(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.03
+    found, want = ask(keys), np.array([floor_of_level(int(n)) for n in counts])
+    assert (found >= want).all() and (found == want).mean() > 0.97 and (want <= counts).all()
+    assert (found[:3] > 2**31 / 1.5).all() and found[2] > 2**39
+    assert (ask(np.sort(rng.integers(0, 2**63, 20_000).astype(np.uint64))) > 0).mean() < 0.03
+
+
+def test_lm_large_counts(spark, make_docs):
+    """Counts of more than 2 ** 32 give probabilities, not negative numbers."""
+    import pyarrow as pa
+
+    docs = make_docs([(1, "a b a b a b"), (2, "b a")])
+    m = lm_score.fit(docs)
+
+    def larger(t):
+        shard = t.value
+        big = lm_score.Shard(shard.lo, shard.hi, shard.words, shard.counts.astype(np.int64) * 3_000_000_000, shard.bits, shard.starts)
+        return spark.sparkContext.broadcast(big)
+
+    m.shards, m.total = [larger(b) for b in m.shards], m.total * 3_000_000_000
+    keys = np.array([1, 2], np.uint64)
+    piece = pa.table({"bucket": [0, 0], "kind": pa.array([2, 2], pa.int8()), "once": [b"", b""], "more": [keys.astype(np.uint32).tobytes()] * 2, "counts": [np.full(2, 2**32 - 1, np.uint32).tobytes()] * 2})
+    summed = lm_score.add_up(spark.createDataFrame(piece.to_pandas(), "bucket int, kind byte, once binary, more binary, counts binary"), m).first()
+    assert summed["total"] == 4 * (2**32 - 1) and summed["n"] == 2
+    for r in rows(lm_score.score(docs, m)):
+        assert np.isfinite(r["score"]) and r["score"] < 0 and r["base_score"] < 0
 
 
 def test_lm_empty(make_docs, odd_rows):
@@ -178,6 +239,17 @@ def test_lm_empty(make_docs, odd_rows):
     assert lm_score.score(make_docs([]), m).count() == 0
 
 
+def test_word_hashes(odd_rows, prose):
+    """Equal words have equal hashes wherever they stand, and others don't."""
+    texts = [(t or "").encode() for _, t in odd_rows] + [b"ab ba", b"a b ab", b"AB aB \x00 \x00\x00", b"x" * 600_000 + b" y", prose(3, 200_000).encode()]
+    for lower in (True, False):
+        ids, offsets, vocab = tx.tokenise(texts, lower)
+        got, at = tx.word_hashes(texts, lower)
+        assert at.tolist() == offsets.tolist()
+        assert len(set(zip(ids.tolist(), got.tolist(), strict=True))) == len(vocab) == len(np.unique(got))
+    assert tx.word_hashes([])[1].tolist() == [0] and tx.word_hashes([b"", b" "])[1].tolist() == [0, 0, 0]
+
+
 # op5
 
 
@@ -225,13 +297,82 @@ def test_viterbi_brute_force():
                 assert value(got[a:z].tolist(), e) == pytest.approx(best, abs=1e-4)
 
 
+def test_many_languages():
+    """Two hundred languages of their own words, and the last ones as well known as the first."""
+    rng = random.Random(8)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(40)] for _ in range(200)]
+    data = [(f"l{k:03}", " ".join(rng.choices(words[k], k=60)).encode()) for k in range(200) for _ in range(3)]
+    got, _, _ = language_id.label_texts([t for _, t in data], language_id.train(data))
+    assert np.mean([a == b for a, (b, _) in zip(got, data, strict=True)]) > 0.99
+
+
+def naive_language(train, text, bits=22):
+    """Scores of a text's words by language and the best labels, without hashing, vectors or dynamic programming."""
+    import itertools
+
+    langs = sorted({x for x, _ in train})
+    grams = lambda w: [(n, w[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + [("w", w)]
+    counts = {x: Counter() for x in langs}
+    for x in langs:
+        seen = Counter(w.lower() for own, t in train if own == x for w in t.split())
+        for w, n in seen.items():
+            for g in grams(f"^{w}$"):
+                counts[x][g] += math.sqrt(n)
+    used = len({g for c in counts.values() for g in c})
+    prob = lambda x, g: math.log((counts[x][g] + 0.2) / (sum(counts[x].values()) + 0.2 * used + 1))
+    words = text.split()
+    score = [[0.5 * sum(prob(x, g) for g in grams(f"^{w.lower()}$")) for x in langs] for w in words]
+    score = [[max(v - max(row), -8.0) for v in row] for row in score]
+    value = lambda p: sum(score[t][x] for t, x in enumerate(p)) - 6.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+    path = max(itertools.product(range(len(langs)), repeat=len(words)), key=value)
+    letters = [sum(len(w) for w, x in zip(words, path, strict=True) if x == k) for k in range(len(langs))]
+    return langs[letters.index(max(letters))], score, value(path)
+
+
+def test_language_brute_force():
+    train = [("en", "the cat and the dog run over there"), ("de", "der hund und die katze laufen dorthin"), ("fr", "le chien et le chat courent par ici")]
+    m = language_id.train([(x, t.encode()) for x, t in train], bits=22)
+    for text in ("the dog laufen", "le chat courent the cat", "hund katze und dog", "unknown words zzz", "der the le", "katzen chats dogs"):
+        want, score, best = naive_language(train, text)
+        emit, _ = language_id.word_scores([w.encode() for w in text.split()], m)
+        order = [sorted(x for x, _ in train).index(x) for x in m.langs]
+        assert emit == pytest.approx(np.array(score)[:, order], abs=1e-3)
+        assert language_id.label_texts([text.encode()], m)[0] == [want]
+
+
+def test_language_changes_inside_words():
+    """Text without spaces is cut where its script changes; other words stay whole."""
+    assert language_id.script_runs("日本語abcд1!е".encode()) == [x.encode() for x in ("日本語", "abc", "д1!е")]
+    assert language_id.script_runs("naïve-été2".encode()) == ["naïve-été2".encode()]
+    train = [("zh", "中文文本没有空格 这是中文 文本".encode()), ("en", b"some plain english words here and there"), ("ru", "это русский текст".encode())]
+    m = language_id.train(train)
+    pred, _, (spans, _) = language_id.label_texts(["这是中文文本englishwordshereandthere没有空格中文文本这是中文文本这是".encode(), b""], m)
+    assert [x[0] for x in spans] == ["zh", "en", "zh"] and pred == ["en", "und"]
+    ids, offsets, vocab = language_id.tokens(["a это b中文c".encode(), b"", "中文 a".encode()])
+    assert [vocab[i].decode() for i in ids] == ["a", "это", "b", "中文", "c", "中文", "a"] and offsets.tolist() == [0, 5, 5, 7]
+
+
+def test_language_sample_bounds(make_docs, prose):
+    data = [(i, prose(i, 30)) for i in range(60)] + [(0, prose(1000 + i, 30)) for i in range(300)]
+    docs = make_docs(data, {i: ("aa", "bb", "cc")[i % 3] for i in range(60)})
+    seen = []
+    keep, language_id.train = language_id.train, lambda rows: seen.append(rows)
+    try:
+        language_id.fit(docs, per_lang=7)
+        language_id.fit(docs, max_bytes=3000)
+    finally:
+        language_id.train = keep
+    assert Counter(x for x, _ in seen[0]) == {"aa": 7, "bb": 7, "cc": 7}
+    assert all(sum(len(t) for x, t in seen[1] if x == lang) < 1000 + 400 for lang in ("aa", "bb", "cc"))
+
+
 def test_language_odd(make_docs, odd_rows):
     docs = make_docs(odd_rows + [(30, "привет мир как дела"), (31, "12 34 !!")], {30: "ru", 5: "en", 6: "en", 7: "xx"})
     m = language_id.fit(docs)
     assert m.langs == ["en", "ru", "xx"]
     got = {r["doc_id"]: r for r in rows(language_id.identify(docs, m))}
     assert all(got[i]["lang_pred"] == "und" and got[i]["lang_score"] == 0 for i in (1, 2, 3, 31))
-    assert got[30]["lang_pred"] == "ru" and got[30]["spans"][0]["n_words"] == 4
+    assert got[30]["lang_pred"] == "ru" and got[30]["spans"][0]["n_tokens"] == 4
     none = language_id.fit(make_docs(odd_rows))
     assert {r["lang_pred"] for r in rows(language_id.identify(docs, none))} == {"und"}
     assert language_id.identify(make_docs([]), m).count() == 0
