@@ -1,15 +1,17 @@
 """Language identification with spans: script ranges, per-word scores, Viterbi with a switching penalty.
 
 Training counts hashed byte n-grams of words by language, on a sample of labelled documents (at most per_lang
-for each language, chosen by a hash of the id), and which scripts each language is written in. A word's script
-is that of its first letter; only languages that use it are candidates, and of each candidate the word gets a
+for each language, chosen by a hash of the id, and about max_bytes of text in all), and which scripts each language is
+written in. A token is a word, or a run of letters of one script where a word holds several, so text without spaces is
+cut where its script changes. Only languages that use a token's script are candidates, and of each candidate it gets a
 score: the scaled log probability of its n-grams, within `clip` of the best candidate's. The best path through
-the words of a text, where a change of language costs `penalty`, labels spans; words without a letter take
+the tokens of a text, where a change of language costs `penalty`, labels spans; tokens without a letter take
 the label that the path gives them. A document's language is the one whose spans hold most letters.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the language first in
-the alphabet; texts are labelled whole; without labelled documents everything is `und`; repeated rows give
-repeated rows; an empty table gives an empty result; columns other than id and text are ignored.
+the alphabet; texts are labelled whole; without labelled documents everything is `und`; rows with a null id are
+labelled like others, but not learned from; repeated rows give repeated rows; an empty table gives an empty result;
+columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -62,6 +64,34 @@ def scripts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return SCRIPT_NO[np.searchsorted(STARTS, first, side="right") - 1], letters
 
 
+def script_runs(word: bytes) -> list[bytes]:
+    """The word, cut before each letter whose script is not that of the letter before it."""
+    out, script = [""], None
+    for c in word.decode("utf-8", "replace"):
+        own = int(SCRIPT_NO[np.searchsorted(STARTS, ord(c), side="right") - 1]) if c.isalpha() else script
+        if script is not None and own != script:
+            out.append("")
+        script = own
+        out[-1] += c
+    return [x.encode("utf-8", "replace") for x in out]
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Token numbers of all texts in a row, offsets of each text, and the distinct tokens."""
+    ids, offsets, vocab = tx.tokenise(texts, lower=False)
+    runs = {i: r for i, w in enumerate(vocab) if not w.isascii() and len(r := script_runs(w)) > 1}
+    if not runs:
+        return ids, offsets, vocab
+    known = tx.Vocab((w, i) for i, w in enumerate(vocab))
+    flat = [x for i in range(len(vocab)) for x in ([known[r] for r in runs[i]] if i in runs else [i])]
+    size = np.ones(len(vocab), np.int64)
+    size[list(runs)] = [len(r) for r in runs.values()]
+    starts, n = np.concatenate([[0], np.cumsum(size)])[:-1], size[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    places = np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], n)
+    return np.array(flat, np.int32)[places], ends[offsets], list(known)
+
+
 def ngrams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words in a row, with the number of the word of each."""
     coded = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
@@ -91,7 +121,7 @@ def train(rows: list[tuple[str, bytes]], bits: int = 18, least_use: float = 1e-3
     counts = np.zeros((1 << bits, len(langs)), np.float32)
     used = np.zeros((len(NAMES), len(langs)))
     for k, lang in enumerate(langs):
-        ids, _, vocab = tx.tokenise([t for own, t in rows if own == lang])
+        ids, _, vocab = tokens([t for own, t in rows if own == lang])
         if not len(ids):
             continue
         times = np.bincount(ids, minlength=len(vocab))
@@ -124,12 +154,13 @@ def word_scores(vocab: list[bytes], m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def viterbi(emit: np.ndarray, ids: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label of each word; texts advance side by side, the longest first, so that those still running are a prefix."""
+    """Best label of each token; texts advance side by side, the longest first, so that those still running are a prefix."""
     lens = np.diff(offsets)
     order = np.argsort(-lens, kind="stable")
     starts, sorted_lens = offsets[:-1][order], lens[order]
     running = np.searchsorted(-sorted_lens, -np.arange(1, int(lens.max(initial=0)) + 1), side="right")
-    best_before = np.zeros(len(ids), np.int8)  # where the path comes from if it changes here
+    number = np.int16 if emit.shape[1] < 1 << 15 else np.int32  # of a language
+    best_before = np.zeros(len(ids), number)  # where the path comes from if it changes here
     stays = np.zeros((len(ids), emit.shape[1]), bool)
     value = np.zeros((len(lens), emit.shape[1]), np.float32)
     for t, n in enumerate(running):
@@ -143,7 +174,7 @@ def viterbi(emit: np.ndarray, ids: np.ndarray, offsets: np.ndarray, penalty: flo
             value[:n] = np.where(keep, v, change) + emit[ids[at]]
         else:
             value[:n] = emit[ids[at]]
-    out = np.zeros(len(ids), np.int8)
+    out = np.zeros(len(ids), number)
     last = value.argmax(axis=1)
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
@@ -156,8 +187,8 @@ def viterbi(emit: np.ndarray, ids: np.ndarray, offsets: np.ndarray, penalty: flo
 
 
 def label_texts(texts: list[bytes], m: Model) -> tuple[list[str], np.ndarray, list[list[tuple[str, int, int]]]]:
-    """Each text's language, its score, and its spans (language, first word, number of words)."""
-    ids, offsets, vocab = tx.tokenise(texts, lower=False)
+    """Each text's language, its score, and its spans (language, first token, number of tokens)."""
+    ids, offsets, vocab = tokens(texts)
     n, k = len(texts), len(m.langs)
     if not k or not len(ids):
         return ["und"] * n, np.zeros(n), [[] for _ in texts]
@@ -181,35 +212,40 @@ def label_texts(texts: list[bytes], m: Model) -> tuple[list[str], np.ndarray, li
     return [m.langs[b] if t else "und" for b, t in zip(best, total, strict=True)], score, spans
 
 
-def fit(train_docs: DataFrame, per_lang: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from at most per_lang documents of each language."""
+def fit(train_docs: DataFrame, per_lang: int = 500, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns from at most per_lang documents of each language; beyond its even part of max_bytes a language's sample takes
+    no further document."""
     known = train_docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     hashed = known.select("lang", F.xxhash64("i").alias("h"), "i")
-    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))  # a row a language
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("i").alias("c"))  # a row a language
+    n_langs = max(1, sizes.count())
     # About three times as many as wanted, by another hash of the id, then the first of those: no language meets in one task.
     some = hashed.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(1 << 20)) * F.col("c") < 3 * per_lang * (1 << 20))
-    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).filter(F.col("n") <= per_lang)
-    rows = known.join(F.broadcast(picked.select("i").distinct()), "i", "left_semi").select("i", "lang", "t")
-    found = sorted((str(r[0]), r[1], (r[2] or "").encode()) for r in rows.collect())
-    return train([(lang, t) for _, lang, t in found])
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("n") <= per_lang)
+    ids = F.broadcast(first(some, "h", "i").select("i").distinct())
+    rows = first(known.join(ids, "i", "left_semi").withColumns({"h": F.xxhash64("i"), "th": F.xxhash64("t")}), "h", "i", "th")  # an id may stand on several rows
+    before = F.coalesce(F.sum(F.octet_length("t")).over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).filter(F.col("before") < max_bytes // n_langs).select("h", "i", "th", "lang", "t")
+    found = sorted((r["h"], str(r["i"]), r["th"], r["lang"], (r["t"] or "").encode()) for r in rows.collect())
+    return train([r[3:] for r in found])
 
 
 def identify(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
-    """doc_id, lang_pred, lang_score and, if asked for, spans array<struct<lang, first_word, n_words>>."""
+    """doc_id, lang_pred, lang_score and, if asked for, spans array<struct<lang, first_token, n_tokens>>."""
     sent = docs.sparkSession.sparkContext.broadcast(m)
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("first_token", pa.int32()), ("n_tokens", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in tx.chunks(batches, text_col, 4 << 20):
+        for rb in tx.chunks(batches, text_col, (4 << 20) * 16 // max(16, len(sent.value.langs))):
             langs, score, found = label_texts(tx.raw(rb.column(text_col)), sent.value)
             cols = [rb.column(id_col), pa.array(langs, pa.string()), pa.array(score, pa.float64())]
             if spans:
-                cols.append(pa.array([[dict(zip(("lang", "first_word", "n_words"), s, strict=True)) for s in x] for x in found], kind))
+                cols.append(pa.array([[dict(zip(("lang", "first_token", "n_tokens"), s, strict=True)) for s in x] for x in found], kind))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "lang_score", *["spans"] * spans])
 
     read = docs.select(id_col, text_col)
     schema = f"doc_id {read.schema[id_col].dataType.simpleString()}, lang_pred string, lang_score double"
-    return read.mapInArrow(run, schema + ", spans array<struct<lang: string, first_word: int, n_words: int>>" * spans)
+    return read.mapInArrow(run, schema + ", spans array<struct<lang: string, first_token: int, n_tokens: int>>" * spans)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
