@@ -25,6 +25,9 @@ from orrery.llm.marks import Marked, marked
 from orrery.llm.store import materialise
 from orrery.skew import salted_join
 
+#: Always true of the row number beside a computed text. The optimizer moves no condition on it below that column, where
+#: the text would be computed again for each of its uses.
+ONCE = "row >= 0"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -57,11 +60,10 @@ def sketch(prefix: int) -> list[Column]:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128, digest_all: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (null for rows that dropped out
     before the last step, unless digest_all, which takes their digest afterwards and for nothing but this column)."""
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
+    text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"), F.monotonically_increasing_id().alias("row"))
     passes = refined(text, prefix)
-    rows = text.select("*", *sketch(prefix))
-    full = rows.filter(passes).select("doc_id", "len", "pre", F.unhex(F.sha2("t", 256)).alias("sha"))
-    full = materialise(full.withColumn("row", F.monotonically_increasing_id()), "dedup-survivors")
+    rows = text.select("*", *sketch(prefix)).filter(ONCE)
+    full = materialise(rows.filter(passes).select("doc_id", "row", "len", "pre", F.unhex(F.sha2("t", 256)).alias("sha")), "dedup-survivors")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     groups = full.groupBy("len", "pre", "sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(order)["row"].alias("first")).filter("n > 1")
     found = salted_join(full, groups, ["len", "pre", "sha"], "left")
@@ -75,12 +77,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
     """Of rows with equal texts the one with the smallest id, with all their columns. Rows that the refinement finds
     alone are passed on where they are; the others meet by digest, one of a group leaving each task."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), normalised(F.col(text_col)).alias("t"), F.struct(F.col(id_col).isNull(), F.col(id_col), row_hash(docs)).alias("rank"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row"), normalised(F.col(text_col)).alias("t"), F.struct(F.col(id_col).isNull(), F.col(id_col), row_hash(docs)).alias("rank"))
     passes = refined(whole.select("t"), prefix)
-    rows = whole.select("*", *sketch(prefix))
-    copies = rows.filter(passes).select("row", "rank", "len", "pre", F.unhex(F.sha2("t", 256)).alias("sha"))
-    one = copies.groupBy("len", "pre", "sha").agg(F.min_by("row", "rank").alias("row"))
-    return rows.filter(~passes).select("row.*").unionByName(one.select("row.*"))
+    rows = whole.select("*", *sketch(prefix)).filter(ONCE)
+    copies = rows.filter(passes).select("whole", "rank", "len", "pre", F.unhex(F.sha2("t", 256)).alias("sha"))
+    one = copies.groupBy("len", "pre", "sha").agg(F.min_by("whole", "rank").alias("whole"))
+    return rows.filter(~passes).select("whole.*").unionByName(one.select("whole.*"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

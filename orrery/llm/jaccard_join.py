@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import text as tx
-from orrery.llm.exact_dedup import row_hash
+from orrery.llm.exact_dedup import ONCE, row_hash
 from orrery.llm.marks import marked
 from orrery.llm.store import drop, materialise
 from orrery.operators.components import least_labels
@@ -341,13 +341,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows with equal id and text the one whose columns have the least hash stays. Rows that no link reaches are passed on
     where they are."""
     name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    named = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), F.col(text_col).alias("t"), row_hash(docs).alias("rank"))
+    named = docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row"), name.alias("name"), F.col(text_col).alias("t"), row_hash(docs).alias("rank"))
     found = materialise(near_components(named.select("name", "t"), id_col="name", text_col="t", **settings), "jaccard-found")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("name"))
     again = found.groupBy(F.col("doc_id").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     touched = marked(materialise(gone.union(again), "jaccard-gone"), ["name"]).may_hold()
-    some = named.filter(touched).groupBy("name").agg(F.min_by("row", "rank").alias("row")).join(gone.distinct(), "name", "left_anti")
-    return named.filter(~touched).select("row.*").unionByName(some.select("row.*"))
+    rows = named.filter(ONCE)
+    some = rows.filter(touched).groupBy("name").agg(F.min_by("whole", "rank").alias("whole")).join(gone.distinct(), "name", "left_anti")
+    return rows.filter(~touched).select("whole.*").unionByName(some.select("whole.*"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
