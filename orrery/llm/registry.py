@@ -11,7 +11,7 @@ from orrery.llm.lm_score import op3_lm_score
 from orrery.llm.packing import op1_packing
 from orrery.llm.quality_rules import OP9_SQL, op9_quality_rules
 from orrery.llm.toxicity import op6_toxicity
-from orrery.llm.url_filter import op4_url_filter
+from orrery.llm.url_filter import RULES_SQL, op4_url_filter, url_rules
 from orrery.shipping import ship
 
 
@@ -35,6 +35,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "url_rules": url_rules,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
-ORACLES = {"op2_chat_format": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "url_rules": RULES_SQL}

@@ -3,7 +3,7 @@
 A word's vector is the sum of embeddings of hashed features: the word itself and its first letters (so that
 inflections share what they learn). Filters of widths 1 to 3 slide over the whole text, each keeps its
 largest value, and a logistic unit weighs them. Training is mini-batch Adam in numpy on the driver, on a
-sample of labelled documents whose size is a parameter; only features seen there have embeddings, so what is
+sample of labelled documents whose size in rows and bytes is a parameter; only features seen there have embeddings, so what is
 broadcast is bounded by the sample. Features are hashed to 64 bits; one never seen counts as the zero vector.
 
 Thresholds are calibrated by language on held-back training documents. The language is guessed from the text
@@ -11,7 +11,7 @@ alone (counts of function words); each language's threshold is moved to a score
 
 Defined results: null and empty texts are scored like a text of no words; texts are scored whole, in pieces
 of memory that don't grow with the table; a document with several labels counts as toxic if one says so,
-and labels that are null are skipped; without labels of both kinds every score is 0; repeated rows give
+labels that are null are skipped, and so are null ids in learning; of an id with several texts the least is learned from; without labels of both kinds every score is 0; repeated rows give
 repeated rows; an empty table gives an empty result; the input's other columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -90,7 +90,7 @@ class Net:
         starts, best, places = offsets[:-1], [], []
         shut = np.concatenate([offsets[1:] - i for i in range(1, max(WIDTHS))])
         for k in WIDTHS:
-            part = np.zeros((len(ids), FILTERS), np.float32)
+            part = np.zeros((len(ids), FILTERS), x.dtype)
             for j in range(k):
                 part[: len(ids) - j] += (x @ self.w[k][j])[ids[j:]]
             part += self.b[k]
@@ -127,6 +127,25 @@ def with_snippets(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tupl
     return [*texts, *more], np.concatenate([labels, np.zeros(len(more), labels.dtype)])
 
 
+def gradients(net: Net, x: np.ndarray, ids: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """The weighted log loss of padded texts (a mean), its gradients by parameter, and by word vector."""
+    h, places = net.pooled(x, ids, offsets, need_places=True)
+    z = np.maximum(h, 0) @ net.v + net.c
+    loss = float((weight * (np.logaddexp(0, z) - labels * z)).sum() / len(labels))
+    d = ((1 / (1 + np.exp(-z)) - labels) * weight / len(labels)).astype(x.dtype)
+    grad = {"v": np.maximum(h, 0).T @ d, "c": d.sum()}
+    dh = d[:, None] * net.v * (h > 0)
+    dx = np.zeros_like(x)
+    for n, k in enumerate(WIDTHS):
+        g = dh[:, n * FILTERS : (n + 1) * FILTERS]
+        grad[f"w{k}"], grad[f"b{k}"] = np.zeros_like(net.w[k]), g.sum(axis=0)
+        for j in range(k):
+            at = ids[np.minimum(places[n] + j, len(ids) - 1)]  # texts by filters
+            grad[f"w{k}"][j] = np.einsum("df,dfe->ef", g, x[at])
+            np.add.at(dx, at.ravel(), (g[:, :, None] * net.w[k][j].T[None]).reshape(-1, x.shape[1]))
+    return loss, grad, dx
+
+
 def train(texts: list[bytes], labels: np.ndarray, visits: int = 40_000, batch: int = 16, rate: float = 0.02, l2: float = 2e-5, seed: int = 11) -> Net:
     texts, labels = with_snippets(texts, labels, seed)
     ids, offsets, vocab = tx.tokenise(texts)
@@ -153,23 +172,11 @@ def train(texts: list[bytes], labels: np.ndarray, visits: int = 40_000, batch: i
             words, flat = np.unique(np.concatenate([*own, [len(vocab)]]), return_inverse=True)
             x = net.table[rows[words]].sum(axis=1)
             local, at = padded(flat[:-1].astype(np.int32), np.concatenate([[0], np.cumsum([len(o) for o in own])]), len(words) - 1)
-            h, places = net.pooled(x, local, at, need_places=True)
-            active = h > 0
-            p = 1 / (1 + np.exp(-(np.maximum(h, 0) @ net.v + net.c)))
-            d = ((p - labels[group]) * weight[group] / len(group)).astype(np.float32)
-            grad_v, grad_c = np.maximum(h, 0).T @ d + l2 * net.v, d.sum()
-            dh = d[:, None] * net.v * active
-            dx = np.zeros_like(x)
-            for n, k in enumerate(WIDTHS):
-                g = dh[:, n * FILTERS : (n + 1) * FILTERS]
-                grad_w = np.zeros_like(net.w[k])
-                for j in range(k):
-                    w_at = local[np.minimum(places[n] + j, len(local) - 1)]  # texts by filters
-                    grad_w[j] = np.einsum("df,dfe->ef", g, x[w_at])
-                    np.add.at(dx, w_at.ravel(), (g[:, :, None] * net.w[k][j].T[None]).reshape(-1, DIM))
-                net.w[k] = adam(f"w{k}", net.w[k], grad_w + l2 * net.w[k])
-                net.b[k] = adam(f"b{k}", net.b[k], g.sum(axis=0))
-            net.v, net.c = adam("v", net.v, grad_v), net.c - np.float32(rate * grad_c)
+            _, grad, dx = gradients(net, x, local, at, labels[group], weight[group])
+            for k in WIDTHS:
+                net.w[k] = adam(f"w{k}", net.w[k], grad[f"w{k}"] + l2 * net.w[k])
+                net.b[k] = adam(f"b{k}", net.b[k], grad[f"b{k}"])
+            net.v, net.c = adam("v", net.v, grad["v"] + l2 * net.v), net.c - np.float32(rate * grad["c"])
             dx[-1] = 0
             hit = np.flatnonzero(np.abs(dx).sum(axis=1) > 0)
             entry = rows[words[hit]]
@@ -213,12 +220,15 @@ def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """At most per_class documents of either label, chosen by a hash of the id among rows that may be learned from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 2000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+    """At most per_class documents of either label, chosen by a hash of the id among rows that may be learned from; beyond
+    half of max_bytes of text a label takes no further document. Of an id with several texts the least one counts."""
     one = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     order = [F.xxhash64("_id"), F.col("_id")]
     picked = reduce(DataFrame.unionByName, [one.filter(F.col("_y") == y).orderBy(*order).limit(per_class) for y in (0, 1)])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    before = F.sum(F.octet_length("_t")).over(Window.partitionBy("_y").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < max_bytes // 2)
     return sorted(((r["_id"], (r["_t"] or "").encode(), int(r["_y"])) for r in rows.collect()), key=lambda r: r[0])
 
 

@@ -398,7 +398,83 @@ def test_toxicity_held_out(languages):
     assert ((s >= 0.5) & (truth == 1)).sum() / (truth == 1).sum() > 0.85
 
 
-def test_toxicity_gradients():
+def doubles(net):
+    """The same net in double precision."""
+    net.table, net.v, net.c = net.table.astype(float), net.v.astype(float), float(net.c)
+    net.w, net.b = {k: w.astype(float) for k, w in net.w.items()}, {k: b.astype(float) for k, b in net.b.items()}
+    return net
+
+
+def brute_logit(net, words):
+    """Convolution and pooling word by word; beyond the text's end stands nothing."""
+    vector = lambda w: sum((net.table[r] for r in net.rows(toxicity.word_features([w]))[0]), np.zeros(toxicity.DIM))
+    x = [vector(w) for w in words]
+    pooled = []
+    for k in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = -np.inf
+            for start in range(len(words) + 1):
+                value = net.b[k][f]
+                for j in range(k):
+                    if start + j < len(words):
+                        value += sum(net.w[k][j][e][f] * x[start + j][e] for e in range(toxicity.DIM))
+                best = max(best, value)
+            pooled.append(max(best, 0.0))
+    return sum(v * h for v, h in zip(net.v, pooled, strict=True)) + net.c
+
+
+def test_toxicity_convolution(prose):
+    texts = [prose(1, 9), "", "one", "two words", prose(2, 14), "unseen tokens here " + prose(3, 4)]
+    keys = np.unique(toxicity.word_features([w.encode() for t in texts[:5] for w in t.split()]))
+    net = doubles(toxicity.Net(keys[keys != 0]))
+    net.table *= 40
+    net.b = {k: np.linspace(-0.5, 0.5, toxicity.FILTERS) for k in toxicity.WIDTHS}
+    ids, offsets, vocab = tx.tokenise([t.encode() for t in texts])
+    assert net.logits(ids, offsets, vocab) == pytest.approx([brute_logit(net, t.encode().split()) for t in texts], abs=1e-9)
+
+
+def test_toxicity_finite_differences(prose):
+    rng = np.random.default_rng(3)
+    texts = [prose(i, n).encode() for i, n in enumerate((7, 1, 12, 3, 5))] + [b""]
+    ids, offsets, vocab = tx.tokenise(texts)
+    net = doubles(toxicity.Net(np.arange(1, 3, dtype=np.uint64)))
+    net.b = {k: rng.uniform(-1, 1, toxicity.FILTERS) for k in toxicity.WIDTHS}  # away from the kink at 0
+    x = np.vstack([rng.standard_normal((len(vocab), toxicity.DIM)), np.zeros((1, toxicity.DIM))])
+    ids, offsets = toxicity.padded(ids, offsets, len(vocab))
+    labels, weight = np.array([0, 1, 1, 0, 1, 0]), rng.uniform(0.5, 3, 6)
+    ask = lambda: toxicity.gradients(net, x, ids, offsets, labels, weight)
+    _, grad, dx = ask()
+
+    def slope(a, at, step=1e-6):
+        keep, out = a[at], []
+        for s in (step, -step):
+            a[at] = keep + s
+            out.append(ask()[0])
+        a[at] = keep
+        return (out[0] - out[1]) / (2 * step)
+
+    arrays = {"v": (net.v, grad["v"]), "x": (x[:-1], dx)} | {f"{n}{k}": (getattr(net, n)[k], grad[f"{n}{k}"]) for n in "wb" for k in toxicity.WIDTHS}
+    for a, g in arrays.values():
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in a.shape)
+            assert slope(a, at) == pytest.approx(g[at], abs=1e-6)
+    net.c += 1e-6
+    up = ask()[0]
+    net.c -= 2e-6
+    assert (up - ask()[0]) / 2e-6 == pytest.approx(grad["c"], abs=1e-6)
+
+
+def test_toxicity_sample(spark, make_docs, prose):
+    data = [(i, prose(i, 20)) for i in range(40)] + [(3, "aaa first"), (None, "nobody")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(make_docs(data), labels)
+    assert [(i, y) for i, _, y in got] == [(i, i % 2) for i in range(40)] and got[3][1] == b"aaa first"
+    few = toxicity.labelled_sample(make_docs(data), labels, max_bytes=1000)
+    assert all(500 <= sum(len(t) for _, t, y in few if y == kind) < 500 + 200 for kind in (0, 1))
+    assert Counter(y for _, _, y in toxicity.labelled_sample(make_docs(data), labels, per_class=6)) == {0: 6, 1: 6}
+
+
+def test_toxicity_whole_texts():
     """The score follows the words, whatever the text's length, and pieces don't change it."""
     texts = [b"good words here and there", b"good words bad awful here and there"] * 40
     net = toxicity.train(texts, np.array([0, 1] * 40))

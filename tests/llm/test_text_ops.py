@@ -171,28 +171,74 @@ def brute_rule(url):
     return host, path, max(fits)[1:] if fits else (None, None)
 
 
+#: Hosts that no training URL has; some of their words are not in the training words either.
+HELD_OUT = {
+    "block": """
+        luckycasino77 royal-poker-room vegas-slots blackjack-tables sportsbetting-tips bingo-hall-bonus roulette-wheel lotto-numbers-win
+        hot-escorts-city sexchat-rooms adult-movies free-porn-clips xxxvids nude-cams erotic-stories-24 hentai-haven-mirror
+        buy-viagra-cheap cialis-discount steroids-shop pills-without-rx cheap-painkillers payday-advance quickcash-loans easymoney-fast
+        crypto-giveaway-now bitcoin-doubler-pro binaryoptions-robot malware-download phishing-bank trojan-dropper botnet-rent exploit-kit
+        ransomware-decrypt verify-account-now torrent-mirror warezlinks crack-serials keygen-all pirated-films spam-mailer backlinks-cheap
+        buy-followers-fast buylikes-insta clickbait-farm adserver7 popunder-net tracker-pixel gambling-hub replica-bags fakeid-maker freeprize-phone
+    """.split(),
+    "allow": """
+        botanical-garden citylibrary national-museum evening-news dailyherald open-university primary-school physics-lectures
+        marine-biology math-olympiad local-history weatherreport alpine-railway river-cruise mountain-huts hiking-trails badminton-club
+        tenniscourt chess-problems guitar-lessons symphony-orchestra operahouse filmfestival photo-archive artschool interior-design
+        bridge-architecture civil-engineering linux-kernel-docs developer-handbook database-course poetry-corner bookreviews cheese-market
+        savings-bank legal-advice career-fair parents-forum dog-training organic-farm solar-panels water-works church-choir
+        volunteer-firemen events-calendar street-maps wikibooks latin-dictionary language-exchange exam-papers knitting-patterns
+        pottery-workshop sailing-club beekeepers astronomy-night essex-county adulteducation tracking-birds classic-cars
+        carpentry sewing-machines geology-tours village-hall seaside-rentals tea-house bicycle-repair
+    """.split(),
+}
+
+
+def test_url_model_holds_out():
+    """Precision and recall on hosts that training never saw; the README gives the same figures."""
+    labelled = url_filter.labelled_urls()
+    seen = {url_filter.split_url(u)[0] for urls in labelled.values() for u in urls}
+    w, b = url_filter.train(labelled)
+    judged = {v: [] for v in HELD_OUT}
+    for v, hosts in HELD_OUT.items():
+        for i, h in enumerate(hosts):
+            host = f"{('', 'www.', 'm.')[i % 3]}{h}.{('org', 'com', 'example.org', 'net')[i % 4]}"
+            assert host not in seen
+            x = url_filter.features(host, ("/", "/en/3", "/page/12.html")[i % 3])
+            judged[v].append(w[x].sum() / len(x) ** 0.5 + b > 0)
+    caught, wrong = sum(judged["block"]), sum(judged["allow"])
+    print(caught, len(judged["block"]), wrong, len(judged["allow"]), [h for h, j in zip(HELD_OUT["block"], judged["block"], strict=True) if not j], [h for h, j in zip(HELD_OUT["allow"], judged["allow"], strict=True) if j])
+    assert caught / len(judged["block"]) >= 0.85 and caught / (caught + wrong) >= 0.85
+    assert b < 0  # a url without features is allowed
+
+
 def test_url_rules(spark):
-    urls = [None, "", "no scheme", "http://org", "http://org/", "HTTP://A.ORG/x?y#z", "http://example.org/es/1", "http://x.example.org/en/12", "http://notexample.org/es/", "http://a.com/fr/", "http://a.com/de/?q", "http://com/de/", "http://evilcom/de/", "http://casino-win.example.net/en/1", "http://library.example.net/en/1", "x://h#/org/", "http://u:p@h.org:80/a", "a://b://c/d", "http://ÀB.com/fr/ü", "http://a.net/" + "long/" * 20_000]
-    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(3, urls[3], "h", "r")], "page_id long, url string, html string, rule string")
+    urls = [None, "", "no scheme", "http://org", "http://org/", "HTTP://A.ORG/x?y#z", "http://example.org/es/1", "http://x.example.org/en/12", "http://notexample.org/es/", "http://a.com/fr/", "http://a.com/de/?q", "http://com/de/", "http://evilcom/de/", "http://poker-night.example.net/en/1", "http://library.example.net/en/1", "x://h#/org/", "http://u:p@h.org:80/a", "a://b://c/d", "http://ÀB.com/fr/ü", "http://a.net/" + "long/" * 20_000, "http://a..com/fr/", "http://.org/"]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(3, urls[3], "h", "r"), (None, urls[6], "h", "r")], "page_id long, url string, html string, rule string")
     got = rows(url_filter.url_filter(pages))
-    assert len(got) == len(urls) + 1
+    assert len(got) == len(urls) + 2
     for r in got:
-        host, path, (rule, verdict) = brute_rule(urls[r["page_id"]])
+        host, path, (rule, verdict) = brute_rule(urls[6 if r["page_id"] is None else r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == (verdict or ("block" if r["block_score"] >= 0.5 else "allow"))
-    by = {urls[r["page_id"]]: r["verdict"] for r in got}
-    assert by["http://casino-win.example.net/en/1"] == "block" and by["http://library.example.net/en/1"] == "allow"
+    by = {r["page_id"]: r["verdict"] for r in got}
+    assert by[13] == "block" and by[14] == "allow" and by[0] == by[1] == by[2] == "allow"
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
-def test_url_model_holds_out():
-    """Every fifth URL of each kind is left out of training and judged."""
-    cut = {v: [u for i, u in enumerate(urls) if i % 5] for v, urls in url_filter.LABELLED.items()}
-    w, b = url_filter.train(cut)
-    right = total = 0
-    for v, urls in url_filter.LABELLED.items():
-        for u in urls[::5]:
-            x = url_filter.features(*url_filter.split_url(u))
-            right += (w[x].sum() / len(x) ** 0.5 + b > 0) == (v == "block")
-            total += 1
-    assert right / total >= 0.75
+def test_rule_book():
+    """Thousands of rules, against trying each; of equally long rules the longer host wins; doubles are refused."""
+    import random
+
+    rng = random.Random(2)
+    part = lambda: rng.choice(["a", "b", "cc", "d-d"])
+    rules = sorted({(".".join(part() for _ in range(rng.randint(1, 4))), "/" + "/".join(part() for _ in range(rng.randint(0, 4)))) for _ in range(6000)})
+    rules = [(rng.choice(["allow", "block"]), h, p) for h, p in rules]
+    book = url_filter.RuleBook(rules)
+    assert len(rules) > 1000
+    for _ in range(300):
+        host, path = ".".join(part() for _ in range(rng.randint(1, 5))), "/" + "/".join(part() for _ in range(rng.randint(0, 5)))
+        fits = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert book.fitting(host, path) == (max(fits)[2:] if fits else None)
+    with pytest.raises(ValueError):
+        url_filter.RuleBook([("allow", "a", "/"), ("block", "a", "/")])
