@@ -2,19 +2,24 @@
 
 import base64
 import gzip
+import io
 import http.server
 import json
+import os
+import re
 import struct
 import threading
 import urllib.parse
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.sources import archives as ar
 from orrery.sources import readers as rd
 from orrery.sources import sinks as sk
 from orrery.streaming import windows as sw
@@ -134,36 +139,129 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(rows) == len(dict(rows)) and all(batch[k] == v for k, v in rows)
 
 
-def test_fetch_and_ranges(tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("big.bin", bytes(range(256)) * 4000)
-        z.writestr("small.txt", "hello")
-    content = (tmp_path / "a.zip").read_bytes()
-
-    class Handler(http.server.BaseHTTPRequestHandler):
-        def do_HEAD(self):
-            self.send_response(200)
-            self.send_header("Content-Length", str(len(content)))
-            self.end_headers()
-
-        def do_GET(self):
-            part = content
-            if r := self.headers.get("Range"):
-                lo, hi = map(int, r.removeprefix("bytes=").split("-"))
-                part = content[lo : hi + 1]
-            self.send_response(206 if r else 200)
-            self.end_headers()
-            self.wfile.write(part)
-
-        def log_message(self, *a):
-            pass
-
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    try:
-        url = f"http://127.0.0.1:{server.server_port}/a.zip"
-        assert rd.open_remote_zip(url).read("small.txt") == b"hello"
-        assert rd.fetch(url, f"{tmp_path}/x/b.zip") and not rd.fetch(url, f"{tmp_path}/x/b.zip")
-        assert (tmp_path / "x/b.zip").read_bytes() == content
-    finally:
-        server.shutdown()
+class FileServer:
+    """Serves bytes, with ranges, and counts the requests."""
+
+    def __init__(self, content, answer_ranges=True):
+        outer = self
+        self.asked = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                r = self.headers.get("Range") if answer_ranges else None
+                lo, hi = map(int, r.removeprefix("bytes=").split("-")) if r else (0, len(content))
+                outer.asked.append((lo, hi))
+                self.send_response(206 if r else 200)
+                if r:
+                    self.send_header("Content-Range", f"bytes {lo}-{min(hi, len(content) - 1)}/{len(content)}")
+                self.end_headers()
+                self.wfile.write(content[lo : hi + 1])
+
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["BOX"]
+                route = base64.b64decode(body["route"]).decode()
+                lo, n = int(re.search(r"offset=(\d+)", route)[1]), int(re.search(r"limit=(\d+)", route)[1])
+                page = {"type": "object", "value": [{"key": "data", "value": content[lo : lo + n]}, {"key": "fields", "value": ["id", "name"]}, {"key": "pagination", "value": {"type": "object", "value": [{"key": "total_records", "value": f"__number__{len(content)}"}]}}]}
+                self.send_response(200 if route.startswith("/set/7") else 404)
+                self.end_headers()
+                self.wfile.write(json.dumps({"BOX": {"data": page}}).encode())
+
+            def log_message(self, *a):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/a.zip"
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        self.server.shutdown()
+
+
+def test_fetch(tmp_path):
+    with FileServer(b"some content") as web:
+        assert rd.fetch(web.url, f"{tmp_path}/x/a.bin") and not rd.fetch(web.url, f"{tmp_path}/x/a.bin")
+    assert (tmp_path / "x" / "a.bin").read_bytes() == b"some content" and os.listdir(tmp_path / "x") == ["a.bin"]
+
+
+@pytest.mark.parametrize("block", [64, 4096, 1 << 20])
+def test_remote_archive(block):
+    rng, packed = np.random.default_rng(1), io.BytesIO()
+    files = {"noise.bin": rng.bytes(50_000), "plain/текст.txt": "много слов ".encode() * 3000, "empty": b"", "stored.bin": bytes(range(256)) * 20}
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            with z.open(zipfile.ZipInfo(name), "w", force_zip64=name.startswith("plain")) as f:
+                f.write(data)
+        z.writestr("stored.bin2", b"abc" * 100, zipfile.ZIP_STORED)
+        z.comment = b"a comment at the end"
+    content = packed.getvalue()
+    with FileServer(content) as web:
+        archive = ar.RemoteArchive(web.url, block=block)
+        assert set(archive.members) == {*files, "stored.bin2"}
+        assert all(archive.read(n) == d and archive.members[n].size == len(d) for n, d in files.items())
+        assert archive.read("stored.bin2") == b"abc" * 100
+        one = ar.RemoteArchive(web.url, block=4096)
+        before = len(web.asked)
+        assert one.read("stored.bin2") and len(web.asked) - before <= 2
+        spoilt = ar.RemoteArchive(web.url, block=block)
+        spoilt.members["empty"].crc = 5
+        with pytest.raises(zipfile.BadZipFile):
+            spoilt.read("empty")
+    with FileServer(b"not an archive" * 10) as web, pytest.raises(zipfile.BadZipFile):
+        ar.RemoteArchive(web.url)
+    with FileServer(content, answer_ranges=False) as web, pytest.raises(OSError):
+        ar.RemoteArchive(web.url)
+
+
+def test_large_archive_directory():
+    """Places beyond four gigabytes come from the 64-bit records."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", b"hello")
+    raw = packed.getvalue()
+    at, end = raw.index(ar.ENTRY), raw.index(ar.END)
+    entry = bytearray(raw[at:end])
+    struct.pack_into("<H", entry, 30, 28)
+    struct.pack_into("<II", entry, 20, 0xFFFFFFFF, 0xFFFFFFFF)
+    struct.pack_into("<I", entry, 42, 0xFFFFFFFF)
+    entry += struct.pack("<HHQQQ", 1, 24, 5, 5, 0)
+    there = at + len(entry)
+    record = ar.END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 1, 1, len(entry), at)
+    tail = ar.LOCATOR + struct.pack("<IQI", 0, there, 1) + ar.END + struct.pack("<HHHHIIH", 0, 0, 1, 1, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    with FileServer(raw[:at] + bytes(entry) + record + tail) as web:
+        assert ar.RemoteArchive(web.url).read("a.txt") == b"hello"
+
+
+def test_paged_post(spark):
+    rows = [[f"__number__{i}", "__string__" + base64.b64encode(f"n{i}".encode()).decode()] for i in range(23)]
+    with FileServer(rows) as web:
+        spark.dataSource.register(rd.PagedSource)
+        df = spark.read.format("paged").option("url", web.url).option("route", "/set/7").option("envelope", "BOX").option("limit", 10).load()
+        assert sorted(r["name"] for r in df.collect()) == sorted(f"n{i}" for i in range(23))
+
+
+def test_zipped_csv(spark, tmp_path):
+    def pack(name, members):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, text in members.items():
+                z.writestr(member, text)
+
+    rows = lambda year, n: "code;value;year;note\n" + "".join(f'0{i};"{i},5";{year};"a\nb"\n' for i in range(n))
+    pack("one.zip", {"data_1_year2020_x.csv": rows(2020, 3), "data_1_year2021_x.csv": rows(2021, 4), "readme.txt": "no"})
+    pack("two.zip", {"data_2_2020_v1.csv": rows(2019, 2)})
+    got = ar.read_zipped_csv(spark, str(tmp_path), ["code", "value", "other"], [2021, 2030])
+    assert sorted((r["member"], r["code"], r["value"], r["other"]) for r in got.collect()) == sorted([("data_1_year2021_x.csv", f"0{i}", f"{i},5", None) for i in range(4)] + [("data_2_2020_v1.csv", f"0{i}", f"{i},5", None) for i in range(2)])
+    assert ar.read_zipped_csv(spark, f"{tmp_path}/one.zip", ["code"], piece=64).count() == 7
+
+
+def test_sheet(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'''<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>
+    <row r="2"><c r="A2" t="inlineStr"><is><t>007</t></is></c><c r="C2"><v>1.5</v></c></row><row r="3"><c r="C3"><v>2</v></c></row></sheetData></worksheet>'''
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>code</t></si><si><r><t>val</t></r><r><t>ue</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/worksheets/sheet10.xml", "<worksheet/>")
+    assert [tuple(r) for r in ar.read_sheet(spark, f"{tmp_path}/b.xlsx", "value double, code string").collect()] == [(1.5, "007"), (2.0, None)]
