@@ -42,7 +42,7 @@ END, START = tx.mix(np.array([1, 2], np.uint64), 12345)  # hashes of the marks
 WORDS, PAIRS, TRIPLES = 1, 2, 3
 PROBES = 4  # bits in an entry's 64-bit word
 CLASSES = 128  # the upper half: pairs that were seen
-PLACES = 512  # of a ratio: quarter octaves from 2 ** -64; place 0 stands for a ratio of 0
+PLACES, EVEN = 256, 96  # of a ratio: quarter octaves from 2 ** -24 to 2 ** 40, EVEN for 1; place 0 stands for a ratio of 0
 FIRST = np.array([[0.8, 0.2, 0.0], [0.5, 0.25, 0.25]])  # weights before EM, without and with a history of two words
 
 
@@ -68,6 +68,11 @@ class Model:
     bits_per_entry: int = 12
     mix: np.ndarray = field(default_factory=lambda: np.repeat(FIRST, CLASSES // 2, axis=0))  # L1, L2, L3 by class
 
+    def release(self) -> None:
+        """Takes the model from the executors; it is sent again if something still asks for it."""
+        for sent in self.shards:
+            sent.unpersist()
+
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Buckets are ranges of the hash, so sorted keys stand bucket by bucket."""
@@ -214,7 +219,7 @@ def make_shard(rows: list, lo: int, hi: int) -> Shard:
 
 
 def look_up(shard: Shard, m: Model, kind: int, keys: np.ndarray, out: np.ndarray) -> None:
-    """Writes the counts of the sorted keys that fall into the shard's buckets to out (int64)."""
+    """Writes what the shard knows of the sorted keys in its buckets to out: counts of words (int64), else levels (uint8)."""
     bucket = bucket_of(keys, m.n_buckets)
     a, z = np.searchsorted(bucket, [shard.lo, shard.hi])
     if a == z:
@@ -233,12 +238,12 @@ def look_up(shard: Shard, m: Model, kind: int, keys: np.ndarray, out: np.ndarray
         where, bits = probe(short, kind, level)
         hit = shard.bits[kind][first + (where * size >> U(32)).astype(np.int64)] & bits == bits
         alive, first, size, short = alive[hit], first[hit], size[hit], short[hit]
-        out[a:z][alive] = level_count(level, m.base)
+        out[a:z][alive] = level
 
 
 def counts_of(pieces: list[Tokens], m: Model) -> list[dict]:
-    """By piece and kind: the counts of the distinct keys. Shards are read one after another, each for all the pieces."""
-    out = [{k: np.zeros(len(v), np.int64) for k, v in p.keys.items()} for p in pieces]
+    """By piece and kind: what look_up says of the distinct keys. Shards are read one after another, each for all the pieces."""
+    out = [{k: np.zeros(len(v), np.int64 if k == WORDS else np.uint8) for k, v in p.keys.items()} for p in pieces]
     for sent in m.shards:
         for p, found in zip(pieces, out, strict=True):
             for kind, keys in p.keys.items():
@@ -248,14 +253,15 @@ def counts_of(pieces: list[Tokens], m: Model) -> list[dict]:
     return out
 
 
-def statistics(p: Tokens, found: dict) -> dict[str, np.ndarray]:
+def statistics(p: Tokens, found: dict, m: Model) -> dict[str, np.ndarray]:
     """For each token: c(w), c(h), c(hw), c(gh), c(ghw). As many starts are counted as ends."""
+    count = np.array([0, *(level_count(j, m.base) for j in range(1, 100))], np.int64)
     end = int(found[WORDS][np.searchsorted(p.keys[WORDS], END)]) if len(p.lens) else 0
     w = found[WORDS][p.word]
     h = np.where(p.history < 0, end, found[WORDS][p.history])
-    hw = found[PAIRS][p.pair]
-    gh = np.where(p.before < 0, 0, found[PAIRS][p.before])
-    ghw = np.where(p.triple < 0, 0, found[TRIPLES][p.triple]) if len(found[TRIPLES]) else np.zeros(len(w), np.int64)
+    hw = count[found[PAIRS][p.pair]]
+    gh = np.where(p.before < 0, 0, count[found[PAIRS][p.before]])
+    ghw = np.where(p.triple < 0, 0, count[found[TRIPLES][p.triple]]) if len(found[TRIPLES]) else np.zeros(len(w), np.int64)
     hw = np.where(hw > np.minimum(w, h), 0, hw)
     gh = np.where(gh > h, 0, gh)
     return {"w": w, "h": h, "hw": hw, "gh": gh, "ghw": np.where(ghw > np.minimum(hw, gh), 0, ghw)}
@@ -270,9 +276,9 @@ def parts(c: dict, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def grouped(batches: Iterator[pa.RecordBatch], m: Model, text_col: str) -> Iterator[list[tuple[pa.RecordBatch, Tokens]]]:
-    """Pieces of at most 8 MB of text, several at once if there are several shards to read for them."""
-    room, held, out = 1 if len(m.shards) <= 1 else 32 << 20, 0, []
-    for rb in tx.chunks(batches, text_col, 8 << 20):
+    """Pieces of at most 2 MB of text, several at once if there are several shards to read for them."""
+    room, held, out = 1 if len(m.shards) <= 1 else 16 << 20, 0, []
+    for rb in tx.chunks(batches, text_col, 2 << 20):
         out.append((rb, read_tokens(tx.raw(rb.column(text_col)))))
         held += rb.column(text_col).nbytes
         if held >= room:
@@ -289,7 +295,7 @@ def mix_cells(train: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
     def place(p: np.ndarray, p1: np.ndarray) -> np.ndarray:
         out = np.zeros(len(p), np.int64)
         own = np.flatnonzero(p > 0)
-        out[own] = np.clip(np.rint(4 * np.log2(p[own] / p1[own])) + PLACES // 2, 1, PLACES - 1)
+        out[own] = np.clip(np.rint(4 * np.log2(p[own] / p1[own])) + EVEN, 1, PLACES - 1)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +303,7 @@ def mix_cells(train: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
         for group in grouped(batches, m, text_col):
             tokens = [p for _, p in group]
             for p, found in zip(tokens, counts_of(tokens, m), strict=True):
-                c = {k: np.maximum(v - 1, 0) for k, v in statistics(p, found).items()}
+                c = {k: np.maximum(v - 1, 0) for k, v in statistics(p, found, m).items()}
                 kind, p1, p2, p3 = parts(c, m)
                 new, more = np.unique((kind * PLACES + place(p2, p1)) * PLACES + place(p3, p1), return_counts=True)
                 cells, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
@@ -309,12 +315,14 @@ def mix_cells(train: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
 
 def fit_mix(train: DataFrame, m: Model, text_col: str = "text", rounds: int = 15) -> np.ndarray:
     """Weights of words, pairs and triples by class, by EM on all training texts."""
-    found = sorted(mix_cells(train, m, text_col).groupBy("cell").agg(F.sum("n").alias("n")).collect())  # classes by places of ratios
-    cell, n = np.array(found, np.int64).reshape(-1, 2).T
+    found = mix_cells(train, m, text_col).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # classes by places of ratios at most
+    cell, n = (found.column(c).to_numpy().astype(np.int64) for c in ("cell", "n"))
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order]
     kind = cell // PLACES**2
     ratio = np.ones((len(cell), 3))
     for k, place in ((1, cell // PLACES % PLACES), (2, cell % PLACES)):
-        ratio[:, k] = np.where(place > 0, 2.0 ** ((place - PLACES // 2) / 4), 0)
+        ratio[:, k] = np.where(place > 0, 2.0 ** ((place - EVEN) / 4), 0)
     return weights_by_em(kind, ratio, n, rounds)
 
 
@@ -333,7 +341,7 @@ def weights_by_em(kind: np.ndarray, ratio: np.ndarray, n: np.ndarray, rounds: in
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text", base: float = 1.5, bits_per_entry: int = 12, shard_bytes: int = 64 << 20, bucket_bytes: int = 8 << 20) -> Model:
+def fit(train: DataFrame, text_col: str = "text", base: float = 1.5, bits_per_entry: int = 12, shard_bytes: int = 24 << 20, bucket_bytes: int = 8 << 20) -> Model:
     """Counts all training texts and sends out the model."""
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -355,7 +363,7 @@ def fit(train: DataFrame, text_col: str = "text", base: float = 1.5, bits_per_en
 
 
 def score_tokens(p: Tokens, found: dict, m: Model) -> dict[str, np.ndarray]:
-    c = statistics(p, found)
+    c = statistics(p, found, m)
     kind, p1, p2, p3 = parts(c, m)
     weight = np.where((c["h"] > 0)[:, None], m.mix[kind], [1.0, 0, 0])
     starts = np.concatenate([[0], np.cumsum(p.lens)])[:-1]
@@ -383,4 +391,34 @@ def op3_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = tx.crc_mod("doc_id", 7) == 2
     m = fit(docs.filter(~held_out))
-    return score(docs, m, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = materialise(score(docs, m, keep=["doc_id"]), "lm-scores")  # small rows; then the model can leave the executors
+    m.release()
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def lm_base(spark, sf_dir: str) -> DataFrame:
+    """What op3_lm_score says of every document without pairs and triples; base_score to three places."""
+    return op3_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+#: crc32 of a short text, by a table that SQL builds.
+CRC_SQL = """RECURSIVE crc_steps(n, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS l FROM crc_steps WHERE k = 8),
+parts AS (
+  SELECT d.*, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(l[xor(a & 255, b) + 1], a >> 8))) AS crc
+  FROM documents d, crc_table)"""
+
+BASE_SQL = rf"""
+WITH {CRC_SQL},
+w AS (
+  SELECT doc_id, crc % 7 = 2 AS held_out,
+    unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10))) AS word
+  FROM parts),
+c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word),
+n AS (SELECT coalesce(sum(c), 0) AS total, count(*) AS distinct_ FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(total)::BIGINT AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 1) / (total + distinct_ + 1))), 3) AS base_score
+FROM w LEFT JOIN c USING (word), n GROUP BY doc_id, held_out
+"""
