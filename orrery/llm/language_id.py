@@ -16,6 +16,7 @@ columns other than id and text are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,11 +65,26 @@ def scripts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return SCRIPT_NO[np.searchsorted(STARTS, first, side="right") - 1], letters
 
 
+def script_of(code: int) -> int:
+    return NAMES.index(SCRIPTS[bisect_right(SCRIPTS, (code, "~")) - 1][1])
+
+
+def may_change(words: list[str]) -> np.ndarray:
+    """False only for words whose characters are all of one script, but for those that every script has."""
+    lens = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4")
+    script = SCRIPT_NO[np.searchsorted(STARTS, codes, side="right") - 1]
+    none, starts = NAMES.index("none"), np.concatenate([[0], np.cumsum(lens)])[:-1]
+    most = np.maximum.reduceat(np.where(script == none, -1, script), starts)
+    least = np.minimum.reduceat(np.where(script == none, len(NAMES), script), starts)
+    return least < most
+
+
 def script_runs(word: bytes) -> list[bytes]:
     """The word, cut before each letter whose script is not that of the letter before it."""
     out, script = [""], None
     for c in word.decode("utf-8", "replace"):
-        own = int(SCRIPT_NO[np.searchsorted(STARTS, ord(c), side="right") - 1]) if c.isalpha() else script
+        own = script_of(ord(c)) if c.isalpha() else script
         if script is not None and own != script:
             out.append("")
         script = own
@@ -79,7 +95,9 @@ def script_runs(word: bytes) -> list[bytes]:
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Token numbers of all texts in a row, offsets of each text, and the distinct tokens."""
     ids, offsets, vocab = tx.tokenise(texts, lower=False)
-    runs = {i: r for i, w in enumerate(vocab) if not w.isascii() and len(r := script_runs(w)) > 1}
+    wide = [i for i, w in enumerate(vocab) if not w.isascii()]
+    some = may_change([vocab[i].decode("utf-8", "replace") for i in wide]) if wide else []
+    runs = {i: r for i, ok in zip(wide, some, strict=True) if ok and len(r := script_runs(vocab[i])) > 1}
     if not runs:
         return ids, offsets, vocab
     known = tx.Vocab((w, i) for i, w in enumerate(vocab))
