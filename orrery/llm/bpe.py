@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pre-tokens of a piece of the corpus are laid out as one array of symbols. An inverted index
+The distinct pre-tokens of a piece of the corpus (those that earlier pieces of the task have not had) are laid out as one
+array of symbols. An inverted index
 from symbol pair to the places where it stands is built once; then the merges are replayed in rank order:
 the pair of the lowest rank is looked up, merged at all its places at once, and only the pairs with the two
 neighbours of each place are indexed anew. A merge never makes a pair of a lower rank that could have come
@@ -8,7 +9,8 @@ first (every token of the vocabulary is reached through lower ranks), so this gi
 what merging it alone gives. The ids of a text are the ids of its pre-tokens, one after another.
 
 Defined results: a null text counts as empty and has no ids; texts of any length are encoded whole;
-repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+null and repeated ids are carried; repeated rows give repeated rows; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -141,17 +144,35 @@ def gather(flat: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndar
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[:-1][chosen] - (ends - lens), lens)]
 
 
+class Replayed:
+    """Pre-tokens that a task has replayed so far with their ids, up to `room` bytes of them; then it starts anew."""
+
+    def __init__(self, m: Merges, room: int = 48 << 20):
+        self.m, self.room = m, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocab, self.held = tx.Vocab(), 0
+        self.flat, self.offsets = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (little-endian unsigned 32-bit) of each text."""
+        if self.held > self.room:
+            self.clear()
+        get, chosen, known = self.vocab.__getitem__, [], len(self.vocab)
+        for t in texts:
+            words = self.m.pattern.findall(t)
+            chosen.append(np.fromiter(map(get, words), np.int32, len(words)))
+        new = [w.encode() for w in islice(self.vocab, known, None)]
+        flat, offsets = replay(new, self.m)
+        self.flat = np.concatenate([self.flat, flat.astype("<u4")])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        self.held += 100 * len(new) + sum(map(len, new)) + flat.nbytes
+        return [gather(self.flat, self.offsets, c) for c in chosen]
+
+
 def encode_texts(texts: list[str], m: Merges) -> list[np.ndarray]:
-    """Ids (little-endian unsigned 32-bit) of each text."""
-    vocab = tx.Vocab()
-    get = vocab.__getitem__
-    chosen = []
-    for t in texts:
-        words = m.pattern.findall(t)
-        chosen.append(np.fromiter(map(get, words), np.int32, len(words)))
-    flat, offsets = replay([w.encode() for w in vocab], m)
-    flat = flat.astype("<u4")
-    return [gather(flat, offsets, c) for c in chosen]
+    return Replayed(m).encode(texts)
 
 
 def decode(ids: np.ndarray, m: Merges) -> bytes:
@@ -164,8 +185,9 @@ def bpe_encode(docs: DataFrame, rank_file: str | Callable[[], str], pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges_of(rank_file() if callable(rank_file) else rank_file, pattern)
-        for rb in tx.chunks(batches, text_col, 12 << 20):
-            ids = encode_texts([x or "" for x in rb.column(text_col).to_pylist()], m)
+        done = Replayed(m)
+        for rb in tx.chunks(batches, text_col, 8 << 20):
+            ids = done.encode([x or "" for x in rb.column(text_col).to_pylist()])
             counts = pa.array([len(x) for x in ids], pa.int64())
             if digests:
                 out = [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(decode(x, m)).hexdigest() for x in ids])]

@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into sequences with several capacities.
 
-A sequence has three capacities: tokens, documents, and attention cost (the sum of squared piece lengths).
-Pieces go by falling length; each goes to the open sequence that is best under every constraint: by the
+A sequence has three capacities: tokens, documents, and attention cost. Attention within a piece is computed in square
+tiles, so a piece of n tokens costs the square of ceil(n / tile); a piece of max_tokens costs nearly all that a sequence
+has, and many short pieces cost more than one of as many tokens. Pieces go by falling length; each goes to the open sequence that is best under every constraint: by the
 smallest weighted norm of what stays free (rule "norm", best fit), or by the largest weighted dot product of
 the piece's demand with what is free (rule "dot"); a new sequence opens only if none has room.
 
@@ -9,12 +10,12 @@ A piece's demand follows from its length, so pieces of one length are alike, and
 exactly from its length histogram, which has at most max_tokens rows whatever the corpus' size. The driver
 replays best fit on classes of sequences with equal residuals, many at once, and gives a table of steps: the
 pieces of length L with ranks [a, b) fill sequences from s on, m in each, from offset o on. The workers number
-the pieces of each length (by salted groups, so that no length's pieces meet in one task) and look their step
-up. This is the same packing that one sequential pass over all pieces would give.
+the pieces of each length (in as many groups as the length's count asks for) and look their step
+up by rank. This is the same packing that one sequential pass over all pieces would give.
 
 Defined results: a null text counts as empty and is one piece of one id (0); longer documents than max_tokens
 are cut from the end into full pieces, so the first piece may be shorter; repeated rows are packed each; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; null ids are carried like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ from orrery.llm.store import materialise
 BROADCAST_STEPS = 200_000
 
 
+#: A sequence's capacities beside its tokens: documents, and attention cost in tiles of TILE by TILE tokens, four more than
+#: a piece of 2048 tokens costs, so that short pieces can still fill what long ones leave.
+MAX_DOCS, TILE = 64, 128
+MAX_COST = (2048 // TILE) ** 2 + 4
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(json_name: str = "byte_bpe_50k.json", rank_name: str = "byte_bpe_50k.tiktoken"):
     """texts -> list of id lists, as the tokenizers file encodes them without added special tokens. Its ranks in
@@ -86,7 +93,7 @@ def split_pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
     return read.mapInArrow(run, schema)
 
 
-def plan(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01)) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01), tile: int = 1) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Steps (length, rank from, rank to, first sequence, pieces in each, offset) and the number of sequences."""
     cap = np.array([max_tokens, max_docs, max_cost], np.float64)
     w = np.array(weights)
@@ -111,7 +118,7 @@ def plan(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost: in
         ranges[k].append((first, n))
 
     for length in sorted(histogram, reverse=True):
-        need = np.array([length, 1, length * length], np.int64)
+        need = np.array([length, 1, (-(-length // tile)) ** 2], np.int64)
         if (need > cap).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         left, rank = histogram[length], 0
@@ -142,25 +149,29 @@ def plan(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost: in
     return steps, opened
 
 
-def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rows_per_salt: int = 50_000) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id long and offset long. Without limits of
-    the caller's, documents and attention cost are bounded by what max_tokens tokens can hold."""
+def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int = MAX_DOCS, max_cost: int = MAX_COST, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01), tile: int = TILE, rows_per_salt: int = 50_000) -> DataFrame:
+    """pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id long and offset long."""
+    spark = pieces.sparkSession
     pieces = materialise(pieces, "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_tokens rows at most
-    steps, _ = plan(histogram, max_tokens, max_docs or max_tokens, max_cost or max_tokens**2, rule, weights)
-    salts = max(32, -(-sum(histogram.values()) // rows_per_salt))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    steps, _ = plan(histogram, max_tokens, max_docs, max_cost, rule, weights, tile)
+    by_length: dict[int, list] = {n: [] for n in histogram}
+    for s in steps:
+        by_length[s[0]].append(s[1:])
+    table = spark.createDataFrame([(n, -(-histogram[n] // rows_per_salt), v) for n, v in by_length.items()], "length long, _salts int, _steps array<struct<lo: long, hi: long, first: long, each: long, at: long>>")
+    salted = pieces.join(F.broadcast(table.select("length", "_salts")), "length").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int")).drop("_salts")
+    salted = materialise(salted.select(*pieces.columns, "_salt"), "pack-salted")
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + own - 1)
-    table = pieces.sparkSession.createDataFrame(steps, "length long, _from long, _to long, _first long, _each long, _offset long")
-    if len(steps) <= BROADCAST_STEPS:
-        table = F.broadcast(table)
-    found = ranked.join(table, "length").filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    at = F.col("_rank") - F.col("_from")
-    return found.select(*pieces.columns, (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"))
+    ranked = salted.withColumn("_own", own).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_own") - 1)
+    looked = table.select("length", "_steps")
+    found = ranked.join(F.broadcast(looked) if len(steps) <= BROADCAST_STEPS else looked, "length")
+    step = F.filter("_steps", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))[0]
+    found = found.withColumn("_step", step)
+    nth = F.col("_rank") - F.col("_step.lo")
+    return found.select(*pieces.columns, (F.col("_step.first") + F.floor(nth / F.col("_step.each"))).cast("long").alias("sequence_id"), (F.col("_step.at") + nth % F.col("_step.each") * F.col("length")).cast("long").alias("offset"))
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ def rows(df):
 # op1
 
 
-def brute_pack(lens, t, d, a, rule, w):
+def brute_pack(lens, t, d, a, rule, w, tile=1):
     bins = []
     for n in sorted(lens, reverse=True):
-        need, best = (n, 1, n * n), None
+        need, best = (n, 1, (-(-n // tile)) ** 2), None
         for i, free in enumerate(bins):
             if all(f >= x for f, x in zip(free, need, strict=True)):
                 if rule == "dot":
@@ -45,10 +45,12 @@ def test_plan(rule):
     rng = random.Random(3)
     for _ in range(40):
         t = rng.choice([20, 50, 64])
-        d, a = rng.choice([2, 4, t]), rng.choice([t * t, t * t // 2])
-        lens = [rng.randint(1, min(t, int(a**0.5))) for _ in range(rng.randint(1, 200))]
-        steps, n = packing.plan(Counter(lens), t, d, a, rule)
-        assert n == brute_pack(lens, t, d, a, rule, (1.0, 0.01, 0.01))
+        tile = rng.choice([1, 4, 9])
+        full = (-(-t // tile)) ** 2
+        d, a = rng.choice([2, 4, t]), rng.choice([full, full + 3, -(-full // 2)])
+        lens = [rng.randint(1, min(t, int(a**0.5) * tile)) for _ in range(rng.randint(1, 200))]
+        steps, n = packing.plan(Counter(lens), t, d, a, rule, tile=tile)
+        assert n == brute_pack(lens, t, d, a, rule, (1.0, 0.01, 0.01), tile)
         bins = {}
         for length, lo, hi, first, each, offset in steps:
             for r in range(hi - lo):
@@ -59,11 +61,55 @@ def test_plan(rule):
             for o, length in sorted(b):
                 assert o == at
                 at += length
-            assert at <= t and len(b) <= d and sum(x * x for _, x in b) <= a
+            assert at <= t and len(b) <= d and sum((-(-x // tile)) ** 2 for _, x in b) <= a
     with pytest.raises(ValueError):
         packing.plan({100: 1}, 50, 5, 2500)
 
 
+def test_every_capacity_binds():
+    """With the values of pack, tokens, documents and attention cost each decide somewhere how many sequences there are."""
+    count = lambda lens, **more: packing.plan(Counter(lens), **{"max_tokens": 2048, "max_docs": packing.MAX_DOCS, "max_cost": packing.MAX_COST, "tile": packing.TILE, **more})[1]
+    long, tiny, edge = [1500] * 10, [3] * 640, [129] * 60 + [1] * 700
+    assert count(long) == 10 and count(long, max_docs=10**6, max_cost=10**9) == 10 > -(-sum(long) // 2048)
+    assert count(tiny) == 10 and count(tiny, max_docs=10**6) < 10  # documents
+    assert packing.MAX_COST >= (2048 / packing.TILE) ** 2  # a piece of 2048 tokens fits
+    full = [2045] * 20 + [1] * 60
+    assert count(full, max_cost=10**9) == 20 and count(full, max_cost=257) > 20
+    assert count([1921] * 20 + [1] * 127 * 20, max_docs=10**6) > count([1921] * 20 + [1] * 127 * 20, max_docs=10**6, max_cost=10**9) == 20  # attention
+    assert count(edge) >= -(-sum(edge) // 2048)
+
+
+def test_packing_many_of_one_length(spark, make_docs):
+    """Groups by each length's count: ranks are gapless, repeated and null ids too."""
+    data = [(None if i % 5 == 0 else i % 7, "word " * (1 + i % 3)) for i in range(400)]
+    got = rows(packing.pack(packing.split_pieces(make_docs(data), packing.byte_bpe), rows_per_salt=20))
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 400 and Counter(r["doc_id"] for r in got) == Counter(i for i, _ in data)
+    assert sorted(bins) == list(range(len(bins)))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 2048 and len(b) <= packing.MAX_DOCS
+
+
+def test_packing_ids_are_those_of_tokenizers(languages):
+    """The rank file in tiktoken's core gives the ids of the tokenizers file, on every document and on odd Unicode."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(4)
+    odd = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x30000), 0x200D, 0x85, 0x0B, 0x2028, 0xFEFF])) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    odd += ["I'LL we'Re don't it'S", "a\r\n\r\n  b\u3000\u00a0 c", "\u0130\u0131 ſ K", "١٢٣ ²³ ½ Ⅷ", "e\u0301 \u0301", " \t\n x ", "👩‍👩‍👧‍👦 🏳️‍🌈", "\x00\x1f\x7f\x80"]
+    texts = [t for _, t, _ in languages if t] + odd
+    got = packing.byte_bpe()(texts)
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
+
+
 def test_packing_whole(make_docs, odd_rows, prose):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -159,7 +205,7 @@ def test_lm_weights_of_all_training_texts(make_docs, prose):
     texts = [prose(i % 40, 12) if i % 3 else prose(10_000 + i, 12) for i in range(1200)]
     m = lm_score.fit(make_docs(list(enumerate(texts))))
     p = lm_score.read_tokens([t.encode() for t in texts])
-    c = {k: np.maximum(v - 1, 0) for k, v in lm_score.statistics(p, lm_score.counts_of([p], m)[0]).items()}
+    c = {k: np.maximum(v - 1, 0) for k, v in lm_score.statistics(p, lm_score.counts_of([p], m)[0], m).items()}
     kind, p1, p2, p3 = lm_score.parts(c, m)
     want = lm_score.weights_by_em(kind, np.stack([np.ones(len(p1)), p2 / p1, p3 / p1], axis=1), np.ones(len(p1)))
     assert len(np.unique(kind)) > 2 and np.abs(want - np.repeat(lm_score.FIRST, 64, axis=0)).max() > 0.05
@@ -180,7 +226,7 @@ def test_lm_pairs_seen_once(make_docs, prose):
     _, two, three = lm_counts(texts)
     m = lm_score.fit(make_docs(list(enumerate(texts))), bits_per_entry=48)
     p = lm_score.read_tokens([t.encode() for t in texts])
-    got = lm_score.statistics(p, lm_score.counts_of([p], m)[0])
+    got = lm_score.statistics(p, lm_score.counts_of([p], m)[0], m)
     full = [[b"", *lm_words(t)] for t in texts]
     want_two = np.array([floor_of_level(two[x]) for w in full for x in zip(w, w[1:], strict=False)])
     want_three = np.array([floor_of_level(three[w[i - 2], w[i - 1], w[i]]) if i > 1 else 0 for w in full for i in range(1, len(w))])
@@ -200,9 +246,9 @@ def test_lm_filter_counts():
     shard = lm_score.make_shard([{"bucket": 0, "kind": lm_score.PAIRS, "keys": seg.tobytes(), "counts": b""}], 0, 1)
 
     def ask(k):
-        out = np.zeros(len(k), np.int64)
+        out = np.zeros(len(k), np.uint8)
         lm_score.look_up(shard, m, lm_score.PAIRS, k, out)
-        return out
+        return np.array([0, *(lm_score.level_count(j, 1.5) for j in range(1, 100))])[out]
 
     found, want = ask(keys), np.array([floor_of_level(int(n)) for n in counts])
     assert (found >= want).all() and (found == want).mean() > 0.97 and (want <= counts).all()

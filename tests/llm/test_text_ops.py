@@ -161,6 +161,16 @@ def test_bpe_query(make_docs, odd_rows, tiktoken_encoding):
     assert bpe.bpe_encode(make_docs([]), bpe.public_ranks, P.PATTERN).count() == 0
 
 
+def test_bpe_pieces_share_words(prose):
+    """Words that an earlier piece had, and a start anew when the room is used up, change no id."""
+    m = bpe.merges_of(bpe.public_ranks(), __import__("public_tokenizers").PATTERN)
+    texts = [prose(i % 5, 40) + f" new{i}" for i in range(12)]
+    want = [x.tolist() for x in bpe.encode_texts(texts, m)]
+    for room in (48 << 20, 5000, 0):
+        done = bpe.Replayed(m, room)
+        assert [x.tolist() for t in texts for x in done.encode([t])] == want
+
+
 # op4
 
 
