@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def planar_square(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Squared planar distance in degrees, with longitudes shortened by the first point's latitude."""
+    return F.pow(lat2 - lat1, 2) + F.pow((lon2 - lon1) * F.cos(F.radians(lat1)), 2)
+
+
 def proximity(distance: Column, scale: Column | float) -> Column:
     return F.exp(-distance / scale)
 
@@ -47,3 +52,26 @@ def unescape_unicode(text: Column) -> Column:
     """\\uXXXX sequences of a script's text as characters, by reading it as a JSON string."""
     quoted = F.replace(text, F.lit('"'), F.lit('\\"'))
     return F.from_json(F.concat(F.lit('{"t":"'), quoted, F.lit('"}')), "t string")["t"]
+
+
+def one_hot(df: DataFrame, column: str, values, prefix: str) -> DataFrame:
+    """A column of zeros and ones for each value, named by prefix and value."""
+    return df.withColumns({f"{prefix}{v}": (F.col(column) == v).cast("int") for v in values})
+
+
+def comma_list(items: Column) -> Column:
+    return F.array_join(items, ", ")
+
+
+def from_comma_list(text: str) -> Column:
+    """Items of a list written with commas, without the space around them."""
+    return F.transform(F.split(F.col(text), ","), lambda x: F.trim(x))
+
+
+def configuration_name(method: Column, alpha: Column) -> Column:
+    """A method with its weight of the graph, if it has one."""
+    return F.concat(method, F.coalesce(F.when(alpha.isNotNull(), F.concat(F.lit(" α "), F.format_string("%.1f", alpha))), F.lit("")))
+
+
+def conditions_text(conditions: list[tuple[Column, Column, Column]]) -> Column:
+    return F.concat_ws(" and ", *(F.concat_ws(" ", *c) for c in conditions))

@@ -94,3 +94,16 @@ def relabel(labels: DataFrame) -> DataFrame:
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     new = n.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias("new"))
     return labels.join(F.broadcast(new), "label").select("id", F.col("new").alias("label"))
+
+
+def aligned(df: DataFrame, jaccard: bool = False) -> DataFrame:
+    """df (id, x, y): x renumbered to have most nodes in common with y (or the largest overlap, in shares of both). Only
+    the table of counts by x and y leaves the cluster."""
+    from orrery.operators.clustering import best_match
+
+    cells = df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()  # clusters by clusters
+    to = best_match({(r["x"], r["y"]): r["n"] for r in cells}, jaccard)
+    if not to:
+        return df.select("id", F.col("x").cast("int").alias("label"))
+    table = df.sparkSession.createDataFrame([(int(k), int(v)) for k, v in to.items()], "x int, label int")
+    return df.select("id", F.col("x").cast("int").alias("x")).join(F.broadcast(table), "x").select("id", "label")

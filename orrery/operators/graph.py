@@ -110,6 +110,21 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
 
 
+def relabelled(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """Edges between parents (id, parent) of the ends: weights of one pair add up, loops go."""
+    up = lambda end: parents.select(F.col("id").alias(end), F.col("parent").alias(f"_{end}"))
+    both = edges.join(up("src"), "src").join(up("dst"), "dst").filter("_src <> _dst")
+    return both.groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w"))
+
+
+def less_expected(edges: DataFrame) -> DataFrame:
+    """(src, dst, p): each edge's weight less the product of its ends' strengths over the sum of all."""
+    d = edges.groupBy("src").agg(F.sum("w").alias("d"))
+    total = d.agg(F.sum("d").alias("t"))
+    both = edges.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").crossJoin(F.broadcast(total))  # one row
+    return both.select("src", "dst", (F.col("w") - F.col("d") * F.col("d2") / F.col("t")).alias("p"))
+
+
 def supra(layers: DataFrame, nodes: DataFrame, coupling: float) -> DataFrame:
     """layers (t, src, dst, w) and nodes (t, id): one graph on (t, id), where a node is tied to itself in the next
     window with weight coupling / mean number of nodes in a window. Columns src_t, src, dst_t, dst, w."""

@@ -175,6 +175,13 @@ def adjusted_rand(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return j.select(*by, F.coalesce(F.try_divide(F.col("c") - e, (F.col("a") + F.col("b")) / 2 - e), F.lit(1.0)).alias("ari"))
 
 
+def agreement(partitions: DataFrame) -> DataFrame:
+    """partitions (name, id, label): (one, two, ari) for each two names, in either order."""
+    a = partitions.select("id", F.col("name").alias("one"), F.col("label").alias("x"))
+    b = partitions.select("id", F.col("name").alias("two"), F.col("label").alias("y"))
+    return adjusted_rand(a.join(b, "id").filter("one <> two"), ["one", "two"])
+
+
 def nmi(df: DataFrame) -> DataFrame:
     """Mutual information over the mean of both entropies."""
     cells = df.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import clustering as cl
+from orrery.operators.sparse import Links, nearest
 from orrery.shipping import ship
 
-
-SCENARIOS = ("planted", "noisier", "independent_graph")
+#: The scenarios' names, and the indices that are compared with recovery.
+SCENARIOS = ("calibrated", "pairs_by_spending", "spending_only", "noisier", "independent_graph", "no_spending")
+INDICES = ["SW", "CH", "S_Dbw", "DB", "AVI", "AVU", "MQ", "within"]
 
 
 def with_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
@@ -31,7 +34,7 @@ def out_of_fold_gap(df: DataFrame, key: str, y: str, features: list[str], folds:
         model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=1).fit(data.filter(F.col("fold") != f))
         parts.append(model.transform(data.filter(F.col("fold") == f)))
     out = reduce(DataFrame.unionByName, parts)
-    return out.select(key, "fold", (F.exp(F.col(y) - F.col("prediction")) - 1).alias("gap"))
+    return out.select(key, "fold", F.col(y).alias("y"), (F.exp(F.col(y) - F.col("prediction")) - 1).alias("gap"))
 
 
 def permutation_importance(df: DataFrame, key: str, label: str, features: list[str], trees: int = 400, folds: int = 5, repeats: int = 3) -> DataFrame:
@@ -61,43 +64,116 @@ def permutation_importance(df: DataFrame, key: str, label: str, features: list[s
     return spark.createDataFrame([(f, round(float(np.mean(v)), 6), round(float(np.mean(base)), 6)) for f, v in got.items()], "feature string, importance double, accuracy double")
 
 
-def planted(n: int, k: int, degree: float, inside: float, rng: np.random.Generator, labels: np.ndarray) -> np.ndarray:
-    """A graph of n * degree / 2 draws, each with probability `inside` within a type; repeated draws are one edge."""
-    w = np.zeros((n, n))
-    groups = [np.flatnonzero(labels == c) for c in range(k)]
-    for _ in range(int(n * degree / 2)):
-        i = int(rng.integers(n))
-        own = groups[labels[i]] if rng.random() < inside else np.flatnonzero(labels != labels[i])
-        j = int(rng.choice(own))
-        if i != j:
-            w[i, j] = w[j, i] = 1
-    return w
-
-
-def dataset(scenario: str, seed: int, n: int = 150, k: int = 4, dims: int = 6) -> tuple[cl.Snapshot, np.ndarray]:
-    """Planted types with features and a graph (`planted`): `noisier` has larger noise, `independent_graph` a graph of other
-    types. Other names are refused."""
+@dataclass
+class Types:
+    """What data sets are drawn from: types' centres, rows' residuals, types' sizes; the first `spend` features are spending."""
+
+    centres: np.ndarray
+    residuals: np.ndarray
+    sizes: np.ndarray
+    spend: int
+
+
+def types_of(x: np.ndarray, labels: np.ndarray, spend: int) -> Types:
+    labels = np.unique(labels, return_inverse=True)[1]
+    k = int(labels.max()) + 1
+    centres = cl.means(x, labels, k)
+    return Types(centres, x - centres[labels], np.bincount(labels, minlength=k), spend)
+
+
+def laid_out(t: Types, scenario: str) -> np.ndarray:
+    """Centres of a scenario: outside or inside of spending they may all be the mean of the types, by size; or each second
+    type may be like the one before it but for spending."""
+    out, mean, spending = t.centres.copy(), t.sizes @ t.centres / t.sizes.sum(), np.arange(t.centres.shape[1]) < t.spend
+    if scenario == "spending_only":
+        out[:, ~spending] = mean[~spending]
+    if scenario == "no_spending":
+        out[:, spending] = mean[spending]
+    if scenario == "pairs_by_spending":
+        second = np.arange(1, len(out), 2)
+        out[np.ix_(second, ~spending)] = out[np.ix_(second - 1, ~spending)]
+    return out
+
+
+def planted(truth: np.ndarray, degree: int, inside: float, rng: np.random.Generator) -> Links:
+    """A graph of n * degree / 2 draws, each with probability `inside` within the type of its first node, else outside;
+    repeated draws are one edge of weight one."""
+    n = len(truth)
+    first = rng.integers(n, size=n * degree // 2)
+    within = rng.random(len(first)) < inside
+    by_type = np.argsort(truth, kind="stable")  # a type's nodes stand together: the others follow them around the circle
+    size = np.bincount(truth)
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1][truth[first]]
+    own = size[truth[first]]
+    room = np.where(within, own, n - own)
+    step = np.where(within, 0, own) + (rng.random(len(first)) * room).astype(np.int64)
+    second = by_type[(begin + step) % n]
+    ok = (first != second) & (room > 0)
+    w = Links(n, np.concatenate([first[ok], second[ok]]), np.concatenate([second[ok], first[ok]]), np.ones(2 * int(ok.sum())))
+    return w.like(np.ones(len(w.values)))
+
+
+def dataset(types: Types, scenario: str, rng: np.random.Generator, noise: float = 1.5, inside: float = 0.8, neighbours: int = 10) -> tuple[cl.Snapshot, np.ndarray]:
+    """As many nodes as the types have, with residuals drawn from all rows; the graph joins neighbours in spending, the
+    attributes' own graph neighbours in all features. `noisier` and `independent_graph` have `noise` times the residuals,
+    the latter a planted graph of as many neighbours."""
     if scenario not in SCENARIOS:
         raise ValueError(f"scenario {scenario!r} is none of {', '.join(SCENARIOS)}")
-    rng = np.random.default_rng([seed, len(scenario)])
-    truth = rng.integers(k, size=n)
-    centre = rng.normal(0, 1.5, (k, dims))
-    x = centre[truth] + rng.normal(0, 2.25 if scenario == "noisier" else 1.0, (n, dims))
-    other = rng.permutation(truth) if scenario == "independent_graph" else truth
-    return cl.Snapshot(np.arange(n), x, planted(n, k, 8, 0.8, rng, other)), truth
-
-
-def synthetic_grid(spark: SparkSession, methods: list[str], scenarios: list[str], repeats: int = 5, k: int = 4) -> DataFrame:
-    """(method, scenario, ari, repeats): one task for each data set."""
+    truth = rng.permutation(np.repeat(np.arange(len(types.sizes)), types.sizes))
+    loud = noise if scenario in ("noisier", "independent_graph") else 1.0
+    x = laid_out(types, scenario)[truth] + loud * types.residuals[rng.integers(len(types.residuals), size=len(truth))]
+    w = nearest(x[:, : types.spend], neighbours)
+    if scenario == "independent_graph":
+        w = planted(truth, int(np.median(np.diff(w.start))), inside, rng)
+    return cl.Snapshot(np.arange(len(x)), x, w, nearest(x, neighbours)), truth
+
+
+def synthetic_grid(spark: SparkSession, sources: dict[str, Types], methods: list[tuple], scenarios: list[str], repeats: int = 5, seed: int = 0, indices: bool = False, **settings) -> DataFrame:
+    """(source, scenario, repeat, method, ari, and INDICES if asked for): one task for each data set. methods: (name, method,
+    alpha, weight of the refinement). Methods that find no partition into so many types have no row."""
     ship(spark)
-    cells = spark.createDataFrame([(s, r) for s in scenarios for r in range(repeats)], "scenario string, repeat int")
+    names = list(sources)
+    sent = spark.sparkContext.broadcast(sources)
+    cells = spark.createDataFrame([(s, c, r) for s in names for c in scenarios for r in range(repeats)], "source string, scenario string, repeat int")
+    kinds = [("source", pa.string()), ("scenario", pa.string()), ("repeat", pa.int32()), ("method", pa.string()), ("ari", pa.float64()), *((i, pa.float64()) for i in INDICES if indices)]
 
     def work(t: pa.Table) -> pa.Table:
+        from orrery.operators import tracking as tr
+
         out = []
         for r in t.to_pylist():
-            s, truth = dataset(r["scenario"], r["repeat"], k=k)
-            out += [(m, r["scenario"], r["repeat"], cl.adjusted_rand(cl.cluster(s, m, k, 0.3 if m in ("fused_spectral", "refined_spectral", "kefrin") else None, r["repeat"]), truth)) for m in methods]
-        return pa.table({c: pa.array([o[i] for o in out], kind) for i, (c, kind) in enumerate((("method", pa.string()), ("scenario", pa.string()), ("repeat", pa.int32()), ("ari", pa.float64())))})
-
-    rows = cells.groupBy("scenario", "repeat").applyInArrow(work, "method string, scenario string, repeat int, ari double")
-    return rows.groupBy("method", "scenario").agg(F.round(F.avg("ari"), 6).alias("ari"), F.count(F.lit(1)).alias("repeats"))
+            types = sent.value[r["source"]]
+            rng = np.random.default_rng([seed, SCENARIOS.index(r["scenario"]), r["repeat"], names.index(r["source"])])
+            s, truth = dataset(types, r["scenario"], rng, **settings)
+            for name, method, alpha, weight in methods:
+                labels = cl.cluster(s, method, len(types.sizes), alpha, r["repeat"], **({} if weight is None else {"weight": weight}))
+                if labels is not None:
+                    scores = tr.panel(s, labels, repeats=1) if indices else {}
+                    out.append({**r, "method": name, "ari": cl.adjusted_rand(labels, truth), **{i: scores[i] for i in INDICES if indices}})
+        return pa.Table.from_pylist(out, pa.schema(kinds))
+
+    schema = "source string, scenario string, repeat int, method string, ari double" + "".join(f", `{i}` double" for i in INDICES if indices)
+    return cells.groupBy("source", "scenario", "repeat").applyInArrow(work, schema)
+
+
+def win_counts(rows: DataFrame, reference: str) -> DataFrame:
+    """(source, scenario, method, wins, repeats): in how many data sets the reference method is nearer to the truth."""
+    key = ["source", "scenario", "repeat"]
+    ref = rows.filter(F.col("method") == reference).select(*key, F.col("ari").alias("_ref"))
+    both = rows.filter(F.col("method") != reference).join(ref, key)
+    return both.groupBy("source", "scenario", "method").agg(F.sum((F.col("_ref") > F.col("ari")).cast("long")).alias("wins"), F.count(F.lit(1)).alias("repeats"))
+
+
+def gap_stability(early: DataFrame, late: DataFrame, limit: float = 0.15) -> DataFrame:
+    """early and late (id, y, gap, of two windows): R2 of the late window's out-of-fold predictions, rows at least `limit`
+    above and below prediction, Spearman correlation of the gaps of rows that both have, and how many these are."""
+    from orrery.operators import stats
+
+    miss = F.log1p("gap")  # y less its prediction
+    total = late.agg(F.avg("y").alias("m"))
+    fit = late.crossJoin(F.broadcast(total)).agg(  # one row
+        (1 - F.sum(miss * miss) / F.sum((F.col("y") - F.col("m")) ** 2)).alias("r2_out_of_fold"),
+        F.sum((F.col("gap") >= limit).cast("long")).alias("above"), F.sum((F.col("gap") <= -limit).cast("long")).alias("below"))
+    both = early.select("id", F.col("gap").alias("a")).join(late.select("id", F.col("gap").alias("b")), "id")
+    rho = stats.spearman(both, "a", "b").select(F.col("rho").alias("spearman_first_last"))
+    return fit.crossJoin(rho).crossJoin(both.agg(F.count(F.lit(1)).alias("nodes")))

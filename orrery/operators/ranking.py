@@ -72,3 +72,33 @@ def rule_search(df: DataFrame, cols: list[str], target: Column, quantiles: list[
         if scored[0][0] > best_f1 + gain:
             best_f1, best = scored[0]
     return [*best, ("f1", "=", best_f1)]
+
+
+def rule_test(rule: list[tuple[str, str, float]]) -> Column:
+    """All conditions (feature, sign, cut) of a rule; the entry with its F1 says nothing."""
+    out = F.lit(True)
+    for f, sign, cut in rule:
+        if f != "f1":
+            out = out & ((F.col(f) <= cut) if sign == "<=" else (F.col(f) > cut))
+    return out
+
+
+def rule_score(df: DataFrame, rule: list[tuple[str, str, float]], target: Column) -> tuple[float, float, float]:
+    """Precision, recall and F1 of a rule on rows it may not have been made for."""
+    hit, y = rule_test(rule).cast("int"), target.cast("int")
+    got = df.agg(F.sum(hit).alias("h"), F.sum(hit * y).alias("g"), F.sum(y).alias("n")).first()
+    h, good, n = got["h"] or 0, got["g"] or 0, got["n"] or 0
+    return good / h if h else 0.0, good / n if n else 0.0, 2 * good / (h + n) if good else 0.0
+
+
+def rule_text(rule: list[tuple[str, str, float]]) -> str:
+    return " and ".join(f"{f} {sign} {cut:g}" for f, sign, cut in rule if f != "f1")
+
+
+def graded_against(df: DataFrame, base: DataFrame, signs: dict[str, int]) -> DataFrame:
+    """df with worst and best: in how many columns (by sign) a row stands in the lowest or highest third of base's rows."""
+    cuts = base.agg(*[F.percentile(F.col(c) * s, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias(f"_{c}") for c, s in signs.items()])
+    joined = df.crossJoin(F.broadcast(cuts))  # one row
+    grade = {c: thirds(F.col(c) * s, F.col(f"_{c}")) for c, s in signs.items()}
+    count = lambda v: sum((F.when(g == v, 1).otherwise(0) for g in grade.values()), F.lit(0))
+    return joined.withColumns({"worst": count(1), "best": count(3)}).drop(*(f"_{c}" for c in signs))

@@ -63,7 +63,9 @@ def fill_from_peers(df: DataFrame, col: str, levels: list[list[str]]) -> DataFra
     """Nulls become the median of peers, level by level, each level after the fill of the one before."""
     for keys in levels:
         if keys:
-            df = df.withColumn(col, F.coalesce(F.col(col), F.median(col).over(Window.partitionBy(*keys))))
+            peers = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.median(col).alias("_m"))
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            df = df.join(peers, same, "left").withColumn(col, F.coalesce(col, "_m")).drop("_m", *(f"_{k}" for k in keys))
         else:
             df = df.crossJoin(F.broadcast(df.agg(F.median(col).alias("_m")))).withColumn(col, F.coalesce(col, "_m")).drop("_m")
     return df

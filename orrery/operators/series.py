@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as g
+from orrery.operators.clustering import snapshot_rows, unpack
 from orrery.operators.timewin import standardized
 from orrery.shipping import ship
 
@@ -20,6 +21,27 @@ def z_series(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
     return z.groupBy(F.col(key).cast("long").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(t, "z"))), lambda x: x["z"]).alias("features"))
 
 
+def pearson(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlations of rows, to 9 digits."""
+    return g.cosine(x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True))
+
+
+def lagged(most: int):
+    """A similarity of z-scored rows: the largest mean product over shifts of at most `most` periods."""
+
+    def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = lambda v: (v - v.mean(1, keepdims=True)) / np.maximum(v.std(1, keepdims=True), 1e-12)
+        x, y = z(x), z(y)
+        t = x.shape[1]
+        best = np.full((len(x), len(y)), -np.inf)
+        for lag in range(-most, most + 1):
+            a, b = (x[:, lag:], y[:, : t - lag]) if lag >= 0 else (x[:, : t + lag], y[:, -lag:])
+            best = np.maximum(best, a @ b.T / (t - abs(lag)))
+        return np.round(best, 9)
+
+    return similarity
+
+
 def dtw(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
     """Distances of each row of x to each row of y: square root of the least sum of squared differences along a path
     that strays no more than `band` from the diagonal."""
@@ -53,13 +75,13 @@ def sent_edges(edges: DataFrame):
     n = edges.count()
     if n > MAX_EDGES:
         raise ValueError(f"{n} edges are more than {MAX_EDGES}")
-    rows = edges.select("src", "dst", "w").orderBy("src", "dst").collect()
-    arrays = tuple(np.array(c) for c in zip(*[(r[0], r[1], r[2]) for r in rows], strict=True)) if rows else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    return edges.sparkSession.sparkContext.broadcast(arrays)
+    table = edges.select("src", "dst", "w").toArrow().sort_by([("src", "ascending"), ("dst", "ascending")])
+    return edges.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("src", "dst", "w")))
 
 
-def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, reached, total): from each source the number of nodes reached and the sum of hops."""
+def hops_from(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, hops, pairs): from each source how many nodes are so many hops away, by breadth-first search in tasks of some
+    sources each; a source that reaches none has a row with null hops."""
     ship(edges.sparkSession)
     sent = sent_edges(edges)
 
@@ -71,21 +93,29 @@ def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         for rb in batches:
             out = []
             for s in rb.column("id").to_pylist():
-                p = int(np.searchsorted(names, s))
-                if p >= len(names) or names[p] != s:
-                    out.append((s, 0, 0))
-                    continue
-                hops = np.full(len(names), -1)
-                hops[p], front, h = 0, np.array([p]), 0
-                while len(front):
-                    h += 1
-                    near = np.unique(np.concatenate([b[start[v] : start[v + 1]] for v in front]))
-                    front = near[hops[near] < 0]
-                    hops[front] = h
-                out.append((s, int((hops > 0).sum()), int(hops[hops > 0].sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["id", "reached", "total"])
+                p, found = int(np.searchsorted(names, s)), []
+                if p < len(names) and names[p] == s:
+                    seen, front = np.zeros(len(names), bool), np.array([p])
+                    seen[p] = True
+                    while len(front):
+                        near = np.unique(np.concatenate([b[start[v] : start[v + 1]] for v in front]))
+                        front = near[~seen[near]]
+                        seen[front] = True
+                        found.append(len(front))
+                out += [(s, h, n) for h, n in enumerate(found, 1) if n] or [(s, None, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["id", "hops", "pairs"])
 
-    return nodes.select(F.col("id").cast("long").alias("id")).mapInArrow(search, "id long, reached long, total long")
+    return nodes.select(F.col("id").cast("long").alias("id")).mapInArrow(search, "id long, hops long, pairs long")
+
+
+def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, reached, total): from each source the number of nodes reached and the sum of hops."""
+    each = F.coalesce(F.col("hops") * F.col("pairs"), F.lit(0))
+    return hops_from(edges, nodes).groupBy("id").agg(F.sum("pairs").alias("reached"), F.sum(each).alias("total"))
+
+
+def hop_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return hops_from(edges, nodes).filter(F.col("hops").isNotNull()).groupBy(F.col("hops").cast("int").alias("hops")).agg(F.sum("pairs").alias("pairs"))
 
 
 def rewired(edges: DataFrame, seeds: list[int], swaps: int = 10) -> DataFrame:
@@ -123,18 +153,33 @@ def rewired(edges: DataFrame, seeds: list[int], swaps: int = 10) -> DataFrame:
     return spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInArrow(work, "seed long, clustering double")
 
 
+def moran_tests(edges: DataFrame, nodes: DataFrame, permutations: int, tasks: int = 16) -> DataFrame:
+    """nodes (id, features): for each feature (dim) Moran's I on the row-normalised graph and the share of permutations
+    (plus one) that reach it. Each task scores some of the permutations, for all features at once."""
+    spark = edges.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(snapshot_rows(nodes, edges))
+
+    def work(t: pa.Table) -> pa.Table:
+        s = unpack(sent.value)
+        d = s.w.sums()
+        rows = s.w.like(s.w.values / d[s.w.rows])
+        z = s.x - s.x.mean(0)
+        scale = len(z) / max(rows.total, 1e-300) / np.where((z * z).sum(0) > 0, (z * z).sum(0), np.nan)
+        perms = t.column("perm").to_pylist()
+        values = []
+        for p in perms:
+            own = z if p == 0 else z[np.random.default_rng([7, p]).permutation(len(z))]
+            values.append((own * rows.times(own)).sum(0) * scale)
+        dims = s.x.shape[1]
+        return pa.table({"perm": pa.array(np.repeat(perms, dims), pa.int32()), "dim": pa.array(np.tile(np.arange(dims), len(perms)), pa.int32()), "moran": pa.array(np.concatenate(values))})
+
+    every = spark.range(permutations + 1).select(F.col("id").cast("int").alias("perm"), (F.col("id") % tasks).alias("task"))
+    found = every.groupBy("task").applyInArrow(work, "perm int, dim int, moran double")
+    base = F.max(F.when(F.col("perm") == 0, F.col("moran"))).over(Window.partitionBy("dim"))  # a row for each permutation
+    return found.withColumn("m0", base).groupBy("dim").agg(F.first("m0").alias("moran"), ((F.count(F.when((F.col("perm") > 0) & (F.col("moran") >= F.col("m0")), 1)) + 1) / (permutations + 1)).alias("p"))
+
+
 def moran_test(edges: DataFrame, values: DataFrame, permutations: int) -> DataFrame:
-    """One row: Moran's I and the share of permutations (plus one) that reach it. Values are permuted by a seeded order,
-    all permutations at once as groups of one aggregation."""
-    from pyspark.sql import Window
-
-    from orrery.operators.measures import moran
-
-    every = values.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    place = F.row_number().over(Window.partitionBy("perm").orderBy("id"))
-    drawn = F.row_number().over(Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("id")).otherwise(F.xxhash64("perm", "id")), "id"))
-    ids = every.select("perm", "id", place.alias("r"))
-    xs = every.select("perm", "x", drawn.alias("r"))
-    i = moran(edges, ids.join(xs, ["perm", "r"]).select("perm", "id", "x"), ["perm"])
-    base = i.filter("perm = 0").select(F.col("moran").alias("m0"))
-    return i.filter("perm > 0").crossJoin(F.broadcast(base)).agg(F.first("m0").alias("moran"), ((F.count(F.when(F.col("moran") >= F.col("m0"), 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """One row: Moran's I of values (id, x) and its permutation p-value."""
+    return moran_tests(edges, values.select("id", F.array("x").alias("features")), permutations).select("moran", "p")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.relational import average_rank, globally_ranked
@@ -43,6 +44,20 @@ def normal_sf(z: float) -> float:
     return math.erfc(z / math.sqrt(2)) / 2
 
 
+def two_sided(z: Column) -> Column:
+    """Two-sided tail of the standard normal distribution (error below 2e-7; Abramowitz and Stegun 7.1.26)."""
+    z = F.abs(z)
+    k = 1 / (1 + 0.3275911 * z / math.sqrt(2))
+    #: The formula's coefficients, by falling power.
+    series = reduce(lambda a, c: (a + c) * k, (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592), F.lit(0.0))
+    return series * F.exp(-z * z / 2)
+
+
+def large_groups(df: DataFrame, group: str, least: int) -> DataFrame:
+    """Rows of groups that have `least` rows or more."""
+    return df.join(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(group), group, "left_semi")
+
+
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: h (corrected for ties), eta2 = (h - k + 1) / (n - k), k, n."""
     r = globally_ranked(df.select(group, value).filter(F.col(value).isNotNull() & F.col(group).isNotNull()), value)

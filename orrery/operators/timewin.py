@@ -22,9 +22,14 @@ def in_windows(df: DataFrame, month: str, ends: list[int], length: int = 12, nam
     return out.filter(F.col(name).between(lo, F.lit(max(ends, default=-1))))
 
 
-def relative_level(value: Column, by: list[str]) -> Column:
-    """Log of the value over the median of its period."""
-    return F.ln(value / F.median(value).over(Window.partitionBy(*by)))
+def with_median(df: DataFrame, value: Column, by: list[str], name: str) -> DataFrame:
+    """Adds the exact median of the period's rows. Values combine before they meet, and no row is sorted or carried with them."""
+    return df.join(df.groupBy(*by).agg(F.median(value).alias(name)), by)
+
+
+def with_relative_level(df: DataFrame, value: str, by: list[str], name: str = "rel") -> DataFrame:
+    """Adds the log of the value over the median of its period."""
+    return with_median(df, F.col(value), by, "_median").withColumn(name, F.ln(F.col(value) / F.col("_median"))).drop("_median")
 
 
 def trailing_year(df: DataFrame, key: list[str], year: str, quarter: str, ytd: str) -> DataFrame:
@@ -54,11 +59,11 @@ def residual_growth(df: DataFrame, key: str, period: str, value: str) -> DataFra
     """Difference of logs along time, less the median of its period."""
     w = Window.partitionBy(key).orderBy(period)
     d = df.withColumn("growth", F.ln(value) - F.lag(F.ln(value)).over(w)).filter(F.col("growth").isNotNull())
-    return d.withColumn("growth", F.col("growth") - F.median("growth").over(Window.partitionBy(period)))
+    return with_median(d, F.col("growth"), [period], "_median").withColumn("growth", F.col("growth") - F.col("_median")).drop("_median")
 
 
 def residual_level(df: DataFrame, period: str, value: str) -> DataFrame:
-    return df.withColumn("level", F.ln(value) - F.median(F.ln(value)).over(Window.partitionBy(period)))
+    return with_median(df, F.ln(value), [period], "_median").withColumn("level", F.ln(value) - F.col("_median")).drop("_median")
 
 
 def standardized(df: DataFrame, key: str, value: str) -> DataFrame:

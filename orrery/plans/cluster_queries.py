@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import clustering as cl
-from orrery.operators import models, series
+from orrery.operators import models, series, stats
 from orrery.operators import measures as ms
 from orrery.plans.graph_queries import edges, labels, nodes
 from orrery.plans.panel_queries import quarters
-from orrery.plans.registry import QUERIES, query, r6, table
+from orrery.plans.registry import QUERIES, query, r6, rounded, table
+from orrery.tables import written
 
 
 def grid(spark, rows: list[tuple[str, int, float | None]], seeds: int = 1, runs: int = 1) -> DataFrame:
@@ -30,44 +31,72 @@ def method_query(name: str, alpha: float | None = None):
     query()(run)
 
 
-for _name, _alpha in (("kmeans", None), ("ward", None), ("mixture", None), ("spectral", None), ("louvain", None), ("leiden", None), ("fused_spectral", 0.3), ("refined_spectral", 0.3), ("kefrin", 0.3), ("kefrin_cosine", 0.3), ("canus", 0.3), ("canus_cosine", 0.3), ("dmon", None)):
+for _name, _alpha in (("kmeans", None), ("ward", None), ("mixture", None), ("spectral", None), ("louvain", None), ("leiden", None), ("fused_spectral", 0.3), ("refined_spectral", 0.3), ("kefrin", 0.3), ("kefrin_cosine", 0.3), ("canus", 0.3), ("canus_cosine", 0.3), ("dmon", 0.3)):
     method_query(_name, _alpha)
 
 
 @query()
 def compare_methods(spark, d):
-    """Grid of methods, numbers of clusters and weights: agreement with the given labels, sizes."""
-    rows = [(m, k, None) for m in ("kmeans", "ward", "spectral") for k in (5, 10)] + [(m, k, a) for m in ("fused_spectral", "refined_spectral", "kefrin") for k in (5, 10) for a in (0.2, 0.5)]
+    """Grid of methods, numbers of clusters and weights of the graph: agreement with the given labels, sizes."""
+    ks, alphas = (4, 6, 8), (0.0, 0.3, 0.5, 1.0)
+    rows = [(m, k, None) for m in ("kmeans", "ward", "mixture", "spectral", "louvain_k", "leiden_k") for k in ks] + [(m, k, a) for m in cl.JOINT for k in ks for a in alphas]
     g = grid(spark, rows)
-    out = cl.run_grid(nodes(spark, d), edges(spark, d), g).join(labels(spark, d).withColumnRenamed("label", "y"), "id")
-    ari = ms.adjusted_rand(out.select("config", F.col("label").alias("x"), "y"), ["config"])
-    n = out.groupBy("config", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("config").agg((F.max("n") / F.sum("n")).alias("largest"), (F.min("n") / F.sum("n")).alias("smallest"))
+    out = cl.run_grid(nodes(spark, d), edges(spark, d), g).filter(F.col("label").isNotNull()).join(labels(spark, d).withColumnRenamed("label", "y"), "id")
+    out = written(out.select("config", F.col("label").alias("x"), "y"))
+    ari = ms.adjusted_rand(out, ["config"])
+    n = out.groupBy("config", "x").agg(F.count(F.lit(1)).alias("n")).groupBy("config").agg((F.max("n") / F.sum("n")).alias("largest"), (F.min("n") / F.sum("n")).alias("smallest"))
     return g.select("config", "method", "k", "alpha").join(ari, "config").join(n, "config").select("config", "method", "k", "alpha", r6("ari").alias("ari"), r6("largest").alias("largest"), r6("smallest").alias("smallest"))
 
 
-def _boot(spark, d):
-    return cl.bootstrap(cl.run_grid(nodes(spark, d), edges(spark, d), grid(spark, [("refined_spectral", 10, 0.3)], runs=13)))
-
-
 @query()
 def bootstrap_confidence(spark, d):
-    return _boot(spark, d)[0].select("id", r6("confidence").alias("confidence"), "runs")
+    """Share of 300 runs on 90 % of the nodes in which a node keeps its type."""
+    runs = cl.run_grid(nodes(spark, d), edges(spark, d), grid(spark, [("refined_spectral", 10, 0.3)], runs=301))
+    return cl.bootstrap(runs)[0].select("id", r6("confidence").alias("confidence"), "runs")
+
+
+def curve(spark, d: str, rows: list[tuple[str, int, float | None]], runs: int = 50) -> DataFrame:
+    """Agreement of each configuration's partition with those of subsamples."""
+    g = grid(spark, rows, runs=runs + 1)
+    stable = cl.bootstrap(cl.run_grid(nodes(spark, d), edges(spark, d), g).filter(F.col("label").isNotNull()))[1]
+    return cl.stability_summary(stable).join(g.filter("run = 0").select("config", "method", "k", "alpha"), "config")
 
 
 @query()
 def stability(spark, d):
-    return _boot(spark, d)[1].select("run", r6("ari").alias("ari"))
+    """Stability over 50 subsamples by number of clusters for two methods, and of the others with one number."""
+    rows = [(m, k, a) for k in range(3, 11) for m, a in (("kmeans", None), ("refined_spectral", 0.3))]
+    best = [("ward", None), ("spectral", None), ("fused_spectral", 0.2), ("refined_spectral", 0.2), ("kefrin", 0.6), ("kefrin_cosine", 0.7)]
+    out = curve(spark, d, rows + [(m, 6, a) for m, a in best])
+    return rounded(out.select("method", "k", "alpha", "mean", "std", "p5", "p95", "share_above_085"), "mean", "std", "p5", "p95", "share_above_085")
+
+
+FAMILY = [("kmeans", None), ("ward", None), ("mixture", None), ("spectral", None), ("louvain_k", None), ("leiden_k", None)] + [(m, a) for m in ("kefrin", "kefrin_cosine", "fused_spectral", "refined_spectral") for a in (0.3, 0.5)]
+
+
+def family(spark, d: str) -> DataFrame:
+    """Partitions of a family of methods into six: (name, id, label)."""
+    g = grid(spark, [(m, 6, a) for m, a in FAMILY])
+    name = F.concat_ws(" ", "method", F.col("alpha").cast("string")).alias("name")
+    return cl.run_grid(nodes(spark, d), edges(spark, d), g).filter(F.col("label").isNotNull()).join(g.select("config", name), "config").select("name", "id", "label")
+
+
+@query()
+def family_agreement(spark, d):
+    """Agreement of each two methods of the family."""
+    out = ms.agreement(written(family(spark, d)))
+    return rounded(out, "ari")
 
 
 @query()
 def consensus(spark, d):
-    """Mean agreement of each method's partition with the others'."""
-    names = ["kmeans", "ward", "spectral", "fused_spectral", "refined_spectral"]
-    g = grid(spark, [(m, 10, 0.3 if "fused" in m or "refined" in m else None) for m in names])
-    out = cl.run_grid(nodes(spark, d), edges(spark, d), g)
-    a, b = out.select("id", F.col("config").alias("one"), F.col("label").alias("x")), out.select("id", F.col("config").alias("two"), F.col("label").alias("y"))
-    ari = ms.adjusted_rand(a.join(b, "id").filter("one <> two"), ["one", "two"])
-    return ari.groupBy("one").agg(r6(F.avg("ari")).alias("agreement")).join(g.select(F.col("config").alias("one"), "method"), "one").select("method", "agreement")
+    """Mean agreement of each method's partition with the others', and its agreement with the partition that the methods'
+    votes for pairs make (spectral clusters of the shares of methods that put two nodes together)."""
+    out = written(family(spark, d))
+    mean = ms.agreement(out).groupBy(F.col("one").alias("name")).agg(F.avg("ari").alias("agreement"))
+    votes = cl.consensus_labels(out, 6).withColumnRenamed("label", "y")
+    joint = ms.adjusted_rand(out.withColumnRenamed("label", "x").join(votes, "id"), ["name"]).withColumnRenamed("ari", "with_votes")
+    return rounded(mean.join(joint, "name"), "agreement", "with_votes")
 
 
 @query()
@@ -95,16 +124,27 @@ def rewired_clustering(spark, d):
 
 @query()
 def moran_permutation(spark, d):
-    """Moran's I of one feature with a permutation p-value."""
-    values = nodes(spark, d).select("id", F.col("features")[0].alias("x"))
-    return series.moran_test(edges(spark, d), values, 99).select(r6("moran").alias("moran"), r6("p").alias("p"))
+    """Moran's I of every feature with a p-value of 499 permutations."""
+    return series.moran_tests(edges(spark, d), nodes(spark, d), 499).select("dim", r6("moran").alias("moran"), r6("p").alias("p"))
+
+
+def part_gap(spark, d: str, half: int) -> DataFrame:
+    """Out-of-fold gaps of boosted trees for retail prices; the halves' prices differ by a known change."""
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.ln(F.col("p_retailprice") * F.when(F.lit(half == 1) & (F.col("p_size") % 5 == 0), 1.3).otherwise(1.0)).alias("y"), F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 100).cast("double").alias("code"))
+    return models.out_of_fold_gap(c, "id", "y", ["size", "code"], trees=60, step=0.2)
 
 
 @query()
 def gbt_gap(spark, d):
-    """Out-of-fold gap exp(y - prediction) - 1 of boosted trees over five folds."""
-    c = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.ln("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 100).cast("double").alias("code"))
-    return models.out_of_fold_gap(c, "id", "y", ["size", "code"], trees=20).select("id", "fold", F.round("gap", 4).alias("gap"))
+    """Out-of-fold gap exp(y - prediction) - 1 of 60 boosted trees over five folds."""
+    return part_gap(spark, d, 0).select("id", "fold", F.round("gap", 4).alias("gap"))
+
+
+@query()
+def gap_stability(spark, d):
+    """How well the gaps' model predicts, how many gaps are large, and how far two windows' gaps agree."""
+    early, late = (written(part_gap(spark, d, h).select("id", "y", "gap")) for h in (0, 1))
+    return rounded(models.gap_stability(early, late), "r2_out_of_fold", "spearman_first_last")
 
 
 @query()
@@ -113,13 +153,62 @@ def rf_importance(spark, d):
     n = nodes(spark, d)
     dims = n.agg(F.max(F.size("features"))).first()[0] or 0
     n = n.select("id", "label", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in range(dims)))
-    return models.permutation_importance(n, "id", "label", [f"f{i}" for i in range(dims)], trees=20, folds=3)
+    return models.permutation_importance(n, "id", "label", [f"f{i}" for i in range(dims)], trees=100)
+
+
+SPEND = 16  # the first block of features
+
+
+def truths(spark, d: str) -> dict[str, models.Types]:
+    """Types of three sources: the refined method, k-means and the spectral method on the graph."""
+    arrays = cl.snapshot_rows(nodes(spark, d), edges(spark, d))
+    s = cl.unpack(arrays)
+    return {name: models.types_of(s.x, cl.cluster(s, m, 6, a), SPEND) for name, m, a in (("model", "refined_spectral", 0.3), ("kmeans", "kmeans", None), ("spectral", "spectral", None))}
+
+
+METHODS = [("kmeans", "kmeans", None, None), ("ward", "ward", None, None), ("mixture", "mixture", None, None), ("spectral", "spectral", None, None)]
+METHODS += [(f"{m} 0.3", m, 0.3, None) for m in cl.JOINT if m != "refined_spectral"] + [(f"refined_spectral {a}", "refined_spectral", a, 0.7) for a in (0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0)]
+
+
+def recovery(spark, d: str, methods: list[tuple], indices: bool = False) -> DataFrame:
+    return models.synthetic_grid(spark, {"model": truths(spark, d)["model"]}, methods, list(models.SCENARIOS), 5, indices=indices)
 
 
 @query()
 def synthetic_recovery(spark, d):
-    """Methods on planted data: mean agreement with the truth by method and scenario."""
-    return models.synthetic_grid(spark, ["kmeans", "spectral", "fused_spectral", "refined_spectral"], ["planted", "noisier", "independent_graph"], repeats=2)
+    """All methods on six scenarios drawn from the refined method's types, five data sets each: mean agreement with the truth."""
+    out = recovery(spark, d, METHODS).groupBy("method", "scenario").agg(F.avg("ari").alias("ari"), F.count(F.lit(1)).alias("repeats"))
+    return rounded(out, "ari")
+
+
+@query()
+def index_recovery(spark, d):
+    """Spearman correlation of each index with the agreement with the truth, over methods of one data set, mean by scenario."""
+    quick = [m for m in METHODS if m[1] not in ("canus", "canus_cosine", "dmon")]
+    long = written(recovery(spark, d, quick, indices=True)).unpivot(["method", "scenario", "repeat", "ari"], models.INDICES, "index", "value").filter(~F.isnan("value"))
+    rho = stats.spearman(long, "value", "ari", ["scenario", "index", "repeat"])
+    return rounded(rho.groupBy("scenario", "index").agg(F.avg("rho").alias("spearman")), "spearman")
+
+
+TRUTH_METHODS = [("kmeans", "kmeans", None, None), ("ward", "ward", None, None), ("mixture", "mixture", None, None), ("spectral", "spectral", None, None), ("kefrin", "kefrin", 0.3, None), ("kefrin_cosine", "kefrin_cosine", 0.3, None), ("fused_spectral", "fused_spectral", 0.3, None)]
+TRUTH_METHODS += [(f"refined_spectral w{w}", "refined_spectral", 0.3, w) for w in (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)]
+
+
+def other_truths(spark, d: str) -> DataFrame:
+    return models.synthetic_grid(spark, truths(spark, d), TRUTH_METHODS, ["calibrated", "pairs_by_spending"], 5)
+
+
+@query()
+def truth_recovery(spark, d):
+    """Mean agreement with the truth where the truth comes from other methods' types."""
+    out = other_truths(spark, d).groupBy("source", "scenario", "method").agg(F.avg("ari").alias("ari"), F.count(F.lit(1)).alias("repeats"))
+    return rounded(out, "ari")
+
+
+@query()
+def truth_wins(spark, d):
+    """In how many data sets of each truth the refined method is nearer to it than each other one."""
+    return models.win_counts(other_truths(spark, d), "refined_spectral w0.7")
 
 
 assert QUERIES

@@ -117,20 +117,14 @@ def degree_assortativity(spark, d):
     return rounded(ms.assortativity(edges(spark, d)), "assortativity")
 
 
-@query(G + """, v AS (SELECT id, unnest(range(0, 8)) AS dim, unnest(v[1:8]) AS x FROM e),
+@query(G + """, v AS (SELECT id, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM e),
 m AS (SELECT dim, avg(x) AS m, count(*) AS n FROM v GROUP BY dim), z AS (SELECT v.dim, id, n, x - m AS z FROM v JOIN m ON m.dim = v.dim),
 d AS (SELECT src, sum(w) AS d FROM g GROUP BY src),
 q AS (SELECT a.dim, sum(w / d * a.z * b.z) AS num, sum(w / d) AS rows_ FROM g JOIN d USING (src) JOIN z a ON a.id = src JOIN z b ON b.id = dst AND b.dim = a.dim GROUP BY a.dim),
 l AS (SELECT dim, sum(z * z) AS den, min(n) AS n FROM z GROUP BY dim)
 SELECT q.dim::INTEGER AS dim, round(n / rows_ * num / den, 6) AS moran FROM q JOIN l ON l.dim = q.dim""")
 def moran_by_feature(spark, d):
-    values = ms.long_form(nodes(spark, d).withColumn("features", F.slice("features", 1, 8)), "id")
-    return rounded(ms.moran(edges(spark, d), values, ["dim"]), "moran")
-
-
-@query()
-def moran_all_features(spark, d):
-    """Moran's I of every feature; `moran_by_feature` and its SQL give the first eight."""
+    """Moran's I of every feature."""
     return rounded(ms.moran(edges(spark, d), ms.long_form(nodes(spark, d), "id"), ["dim"]), "moran")
 
 

@@ -64,7 +64,7 @@ def rolling_year(spark, d):
     """Twelve-month windows at quarter ends: shares of sums, mean level, level relative to the window's median."""
     p = tw.in_windows(panel(spark, d), "m", tw.window_ends(FIRST, LAST))
     w = p.groupBy("id", "window").agg(*[F.sum(F.when(F.col("cat") == t, F.col("v")).otherwise(0.0)).alias(t) for t in TYPES], F.sum("v").alias("total"), F.countDistinct("m").alias("months"))
-    w = w.withColumns({"rel": tw.relative_level(F.col("total"), ["window"])})
+    w = tw.with_relative_level(w, "total", ["window"])
     return rl.shares(w, TYPES, "total").select("id", tw.quarter_key(F.col("window")).alias("period"), "months", (F.col("months") == 12).alias("complete"), *(r6(t).alias(t) for t in TYPES), F.round(F.col("total") / 12, 6).alias("level"), r6("rel").alias("rel"))
 
 
@@ -259,7 +259,7 @@ def feature_transform(spark, d):
     """Log ratios and level, clipped to their 1 and 99 percent quantiles, scaled over all windows, blocks of equal weight."""
     p = tw.in_windows(panel(spark, d), "m", tw.window_ends(FIRST, LAST))
     w = p.groupBy("id", "window").agg(*[F.sum(F.when(F.col("cat") == t, F.col("v")).otherwise(0.0)).alias(t) for t in TYPES], F.sum("v").alias("total"))
-    w = w.withColumn("rel", tw.relative_level(F.col("total"), ["window"]))
+    w = tw.with_relative_level(w, "total", ["window"])
     s = rl.shares(w, TYPES, "total")
     s = s.select("id", F.col("window").cast("long").alias("window"), *(c.alias(t) for t, c in zip(TYPES, tf.centred_log_ratio(TYPES), strict=True)), "rel")
     z = tf.clipped_scores(s, COLS)

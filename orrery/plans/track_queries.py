@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,21 @@ from orrery.operators import graph as g
 from orrery.operators import measures as ms
 from orrery.operators import ranking as rk
 from orrery.operators import relational as rl
-from orrery.operators import series, stats
+from orrery.operators import series
 from orrery.operators import timewin as tw
 from orrery.operators import tracking as tr
 from orrery.operators import transform as tf
 from orrery.plans.cluster_queries import grid
 from orrery.plans.graph_queries import PAIRS, edges, knn_sql, labels, nodes
-from orrery.plans.panel_queries import FIRST, LAST, TYPES, P, panel
+from orrery.plans.panel_queries import FIRST, LAST, TYPES, P, panel, quarters
 from orrery.plans.registry import query, r6, rounded, table
+from orrery.tables import written
 
 def window_features(spark, d: str) -> DataFrame:
     """Suppliers' log ratios and level in calendar years: (t, id, features), of the suppliers that have all years."""
     p = panel(spark, d).withColumn("t", F.floor(F.col("m") / 12)).filter(F.col("t") < 2001)
     w = rl.wide(p, ["id", "t"], "cat", TYPES, F.sum("v")).withColumn("total", sum((F.col(t) for t in TYPES), F.lit(0.0)))
-    w = w.withColumn("rel", tw.relative_level(F.col("total"), ["t"]))
+    w = tw.with_relative_level(w, "total", ["t"])
     s = rl.shares(w, TYPES, "total").select("id", "t", *(c.alias(t) for t, c in zip(TYPES, tf.centred_log_ratio(TYPES), strict=True)), "rel")
     z = tf.block_weighted(tf.clipped_scores(s, [*TYPES, "rel"]), [TYPES, ["rel"]])
     return rl.complete(z, "id", "t", 6).select("t", "id", F.array(*TYPES, "rel").alias("features"))
@@ -35,13 +38,35 @@ def track_types(spark, d):
     return tr.track(window_features(spark, d), ["refined"], 6).select("t", "id", "label")
 
 
+APPROACHES = ["independent", *(f"evolved {a}" for a in (0.3, 0.5, 0.7, 0.8, 0.9)), "affect", *(f"supra {c}" for c in (0.1, 0.3, 1.0, 3.0, 10.0)), "refined 1.0", "fixed"]
+
+
 @query()
 def compare_dynamics(spark, d):
+    """Quality and steadiness of all approaches to types over time, on the suppliers that all windows have."""
+    return rounded(tr.evaluate(window_features(spark, d), APPROACHES, 6), *tr.EVALUATION)
+
+
+@query()
+def dynamics_changes(spark, d):
     """Change shares of six approaches."""
     out = tr.track(window_features(spark, d), ["independent", "evolved", "affect", "supra", "refined", "fixed"], 6)
     return rounded(tr.change_shares(out), "changed", "first_last")
 
 
+@query()
+def monthly_schemes(spark, d):
+    """Four schemes of types over time: single months or rolling years, each window apart or all together."""
+    return rounded(tr.scheme_changes(panel(spark, d), TYPES, 6), "changed", "flip_back")
+
+
+@query()
+def sensitivity(spark, d):
+    """Seventy-two settings of neighbours, weight of the graph, number of types and coupling, against the chosen one."""
+    cells = [(g_, a, k, c) for g_ in (10, 15) for a in (0.2, 0.3, 0.4) for k in (5, 6, 7) for c in (0.5, 1.0, 2.0, 3.0)]
+    return rounded(tr.sensitivity(window_features(spark, d), cells, (10, 0.3, 6, 1.0)), *tr.SENSITIVITY)
+
+
 def wide_grid(spark, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "config long, method string, k int, alpha double, seed int, weight double, block string")
 
@@ -64,9 +89,13 @@ def method_ranking(spark, d):
 
 @query()
 def refinement_sweep(spark, d):
-    """Metrics of the refined method by the weight of links."""
-    rows = [("refined_spectral", 10, 0.3, 0, w / 10, None) for w in range(0, 11, 2)]
-    return rounded(tr.panel_grid(nodes(spark, d), edges(spark, d), wide_grid(spark, rows)).select("weight", "SW", "MQ", "within"), "SW", "MQ", "within")
+    """Metrics of the refined method by the weight of links, each graded as if it stood in the methods' ranking."""
+    rows = [("refined_spectral", 10, 0.3, 0, w, None) for w in (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)]
+    base = [(m, 10, a, 0, None, None) for m, a in (("kmeans", None), ("ward", None), ("spectral", None), ("fused_spectral", 0.2), ("fused_spectral", 0.5), ("kefrin", 0.3))]
+    p = written(tr.panel_grid(nodes(spark, d), edges(spark, d), wide_grid(spark, rows + base)))
+    signs = {"SW": 1, "CH": 1, "S_Dbw": -1, "AVI": 1, "AVU": -1, "MQ": 1}
+    graded = rk.graded_against(p.filter("weight IS NOT NULL"), p.filter("weight IS NULL"), signs)
+    return rounded(graded.select("weight", "SW", "MQ", "within", "worst", "best"), "SW", "MQ", "within")
 
 
 @query()
@@ -91,38 +120,34 @@ def hierarchy(spark, d):
 
 @query()
 def type_rules(spark, d):
-    """A describing rule for each region of nations, by beam search on customers."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("type"))
-    c = table(spark, d, "customer").join(F.broadcast(n), "c_nationkey").select("type", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("code")).cache()  # nations are fixed in number
-    rows = []
-    for t in sorted(r["type"] for r in c.select("type").distinct().collect()):  # regions are fixed in number
-        rule = rk.rule_search(c, ["balance", "code"], F.col("type") == t, [i / 10 for i in range(1, 10)])
-        rows += [(t, i, str(f), str(s), float(v)) for i, (f, s, v) in enumerate(rule)]
-    return spark.createDataFrame(rows, "type int, place int, feature string, sign string, cut double")
-
-
-@query()
+    """A describing rule for each region of nations, by beam search on customers, with its precision and recall there and
+    on the suppliers, which the search doesn't see."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("type"))
+    rows = lambda name, p: table(spark, d, name).select(F.col(f"{p}_nationkey").alias("key"), F.col(f"{p}_acctbal").alias("balance")).join(F.broadcast(n), "key").select("type", "balance", F.col("key").cast("double").alias("code"))  # nations are fixed in number
+    seen, other = written(rows("customer", "c")), written(rows("supplier", "s"))
+    out = []
+    for t in sorted(r["type"] for r in seen.select("type").distinct().collect()):  # regions are fixed in number
+        rule = rk.rule_search(seen, ["balance", "code"], F.col("type") == t, [i / 10 for i in range(1, 10)])
+        scores = [rk.rule_score(df, rule, F.col("type") == t) for df in (seen, other)]
+        out.append((t, rk.rule_text(rule), *(float(v) for s in scores for v in s)))
+    return rounded(spark.createDataFrame(out, "type int, rule string, precision double, recall double, f1 double, precision_other double, recall_other double, f1_other double"), *(c + e for e in ("", "_other") for c in ("precision", "recall", "f1")))
+
+
+@query("""WITH r AS (SELECT run::INTEGER AS run, vec_id AS id, row_number() OVER (PARTITION BY run ORDER BY md5(run || ':' || vec_id), vec_id) AS r FROM embeddings, (SELECT unnest(range(1, 6)) AS run))
+SELECT run, id FROM r WHERE r <= (SELECT CAST(floor(0.9 * count(*)) AS BIGINT) FROM embeddings)""")
 def subsamples(spark, d):
     """Five subsamples of 90 % without replacement, by seeded order."""
     ids = labels(spark, d).select("id")
     n = int(0.9 * ids.count())
     run = ids.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return run.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("run", "id")))).filter(F.col("r") <= n).select("run", "id")
-
-
-@query()
-def index_recovery(spark, d):
-    """Spearman correlation of each index with the agreement with the truth, over methods of one data set, mean by scenario."""
-    r = tr.recovery(spark, ["kmeans", "ward", "spectral", "fused_spectral", "refined_spectral"], ["planted", "noisier"], 3)
-    long = r.unpivot(["method", "scenario", "repeat", "ari"], ["SW", "MQ"], "index", "value")
-    rho = stats.spearman(long, "value", "ari", ["scenario", "index", "repeat"])
-    return rounded(rl.wide(rho, ["scenario"], "index", ["SW", "MQ"], F.avg("rho")), "SW", "MQ")
+    order = F.md5(F.concat_ws(":", F.col("run").cast("string"), F.col("id").cast("string")).cast("binary"))
+    return run.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy(order, "id"))).filter(F.col("r") <= n).select("run", "id")
 
 
 @query()
 def network_summary(spark, d):
     """Small-world ratio: clustering and paths against degree-preserving rewirings."""
-    e = edges(spark, d)
+    e = written(edges(spark, d))
     c = ms.clustering_coefficient(e)
     r = series.rewired(e, [1, 2, 3]).agg(F.avg("clustering").alias("random"))
     path = series.path_lengths(e, nodes(spark, d)).agg((F.sum("total") / F.sum("reached")).alias("mean_path"))
@@ -184,10 +209,60 @@ b AS (SELECT *, coalesce(y, median(y) OVER (PARTITION BY w, reg)) AS z FROM a) S
 def rolling_features(spark, d):
     """The rolling table's final assembly: levels of incomplete windows are missing, filled along time and then from peers."""
     p = tw.in_windows(panel(spark, d, "id", "m"), "m", tw.window_ends(FIRST, LAST))
-    w = p.groupBy("id", "window").agg(F.sum("v").alias("total"), F.countDistinct("m").alias("months")).withColumn("rel", tw.relative_level(F.col("total"), ["window"]))
+    w = tw.with_relative_level(p.groupBy("id", "window").agg(F.sum("v").alias("total"), F.countDistinct("m").alias("months")), "total", ["window"])
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("reg"))
     s = table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey").select(F.col("s_suppkey").alias("id"), "reg")  # nations are fixed in number
     w = w.withColumn("complete", (F.col("months") == 12) & ((F.col("id") + F.col("window")) % 9 != 0)).withColumn("rel", F.when(F.col("complete"), F.col("rel"))).join(s, "id")
     filled = rl.fill_from_peers(rl.fill_along(w, "id", "window", ["rel"]), "rel", [["window", "reg"]])
     return filled.select("id", tw.quarter_key(F.col("window")).alias("period"), "complete", r6("rel").alias("rel"))
 
+
+@query()
+def edge_drift(spark, d):
+    """How far neighbour graphs and their communities change from year to year."""
+    return rounded(tr.edge_drift(window_features(spark, d)), "edge_jaccard", "community_ari")
+
+
+def supplier_graphs(spark, d: str, k: int = 10) -> dict[str, DataFrame]:
+    """Suppliers' graphs by eleven rules: neighbours in spending (several numbers, mutual, threshold), in all features, on
+    the map, in spending near by, in growth, in growth with a lag, in the course of levels."""
+    f = window_features(spark, d)
+    last = f.filter(F.col("t") == f.agg(F.max("t")).first()[0])
+    full = written(last.select("id", "features"))
+    spend = full.select("id", F.slice("features", 1, len(TYPES)).alias("features"))
+    where = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(-50.0 + (F.col("s_nationkey") * 37 % 100) + F.col("s_suppkey") % 17 / 10, -170.0 + (F.col("s_nationkey") * 53 % 340) + F.col("s_suppkey") % 13 / 10).alias("place"))
+    place = full.join(where, "id").select("id", F.col("place").alias("features"))
+    both = spend.join(where, "id").select("id", F.concat("features", "place").alias("features"))
+    q = quarters(spark, d).join(full.select("id"), "id", "left_semi")
+    course = lambda df, v: written(rl.complete(df, "id", "t", df.select("t").distinct().count()).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", v))), lambda s: s[v]).alias("features")))
+    growth = course(tw.residual_growth(q, "id", "t", "v").select("id", "t", "growth"), "growth")
+    level = course(tw.standardized(tw.residual_level(q, "t", "v"), "id", "level").select("id", "t", "z"), "z")
+    knn = written(g.knn(spend, k))
+    degree = knn.count() / max(1, full.count())
+    return {
+        f"spend_knn{k // 2}": g.knn(spend, k // 2), f"spend_knn{k}": knn, f"spend_knn{2 * k}": g.knn(spend, 2 * k), f"spend_mutual{k}": g.knn(spend, k, mutual=True), "spend_threshold": g.threshold(spend, degree), f"full_knn{k}": g.knn(full, k),
+        f"geo_knn{k}": g.geographic_knn(place, k), f"hybrid_knn{k}": g.hybrid_knn(both, k, len(TYPES)), f"growth_knn{k}": g.knn(growth, k, similarity=series.pearson), f"lagged_knn{k}": g.knn(growth, k, similarity=series.lagged(3)), f"dtw_knn{k}": series.dtw_knn(level, k),
+    }
+
+
+@query()
+def edge_rules(spark, d):
+    """Graphs of eleven rules, described alike."""
+    region = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("region"))
+    graphs = supplier_graphs(spark, d)
+    e = written(reduce(DataFrame.unionByName, [e.select(F.lit(name).alias("rule"), "src", "dst", "w") for name, e in graphs.items()]))
+    e = e.join(region.toDF("src", "p"), "src").join(region.toDF("dst", "q"), "dst")
+    n = next(iter(graphs.values())).select("src").distinct().count()
+    out = e.groupBy("rule").agg((F.count(F.lit(1)) / 2).cast("long").alias("edges"), F.countDistinct("src").alias("nodes"), (F.count(F.lit(1)) / F.countDistinct("src")).alias("mean_degree"), (F.sum(F.when(F.col("p") == F.col("q"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("same_region"))
+    return rounded(out.withColumn("isolated", F.lit(n) - F.col("nodes")), "mean_degree", "same_region")
+
+
+@query()
+def edge_rule_overlap(spark, d):
+    """Common edges of each two of eleven rules in all edges of either."""
+    e = written(reduce(DataFrame.unionByName, [e.filter("src < dst").select(F.lit(name).alias("rule"), "src", "dst") for name, e in supplier_graphs(spark, d).items()]))
+    size = e.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    both = e.toDF("one", "src", "dst").join(e.toDF("two", "src", "dst"), ["src", "dst"]).groupBy("one", "two").agg(F.count(F.lit(1)).alias("both"))
+    pairs = size.toDF("one", "a").join(F.broadcast(size.toDF("two", "b")), F.col("one") < F.col("two")).join(both, ["one", "two"], "left")  # a row a rule
+    share = F.coalesce("both", F.lit(0))
+    return pairs.select("one", "two", r6(share / (F.col("a") + F.col("b") - share)).alias("jaccard"))

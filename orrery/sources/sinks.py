@@ -46,3 +46,13 @@ def polygon_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
     for ring in rings:
         out += struct.pack("<I", len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring)
     return out
+
+
+def summary(df: DataFrame, name: str, digits: int = 3, rows: int = 20) -> str:
+    """The first rows of a result as text for the console: names and values in columns, and how many rows there are."""
+    shown = [tuple(r) for r in df.limit(rows).collect()]
+    text = lambda v: "-" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    table = [df.columns, *([text(v) for v in r] for r in shown)]
+    width = [max(len(r[i]) for r in table) for i in range(len(df.columns))]
+    lines = ["  ".join(v.rjust(w) for v, w in zip(r, width, strict=True)) for r in table]
+    return "\n".join([f"{name} ({df.count()} rows)", *lines])

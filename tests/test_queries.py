@@ -5,10 +5,11 @@ import importlib.util
 import pytest
 
 from orrery.plans import catalogue
-from tests.conftest import DATA_1
+from tests.conftest import DATA, DATA_1
 
 ROWS = sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES))
-SLOW = {"gbt_gap", "rf_importance", "compare_methods", "rule_search", "bootstrap_confidence", "stability", "consensus"}
+#: Large grids; their operators are tested with small parameters in test_clusters.py, test_tracking.py and test_relations.py.
+SLOW = {"gbt_gap", "gap_stability", "rf_importance", "compare_methods", "rule_search", "bootstrap_confidence", "stability", "synthetic_recovery", "index_recovery", "truth_recovery", "truth_wins"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
@@ -18,7 +19,7 @@ def test_oracle(spark, duck, same_rows, name):
 
 @pytest.mark.parametrize("name", [n for n in ROWS if n not in SLOW])
 def test_rows(spark, name):
-    df = catalogue.QUERIES[name](spark, DATA_1)
+    df = catalogue.QUERIES[name](spark, DATA)
     assert df.count() > 0 and df.columns
 
 

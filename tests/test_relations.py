@@ -103,13 +103,27 @@ def test_rule_search_brute_force(spark):
 
 
 def test_type_rules_of_every_region(spark, duck):
-    """Each region that has customers has a rule, and its F1 is what its conditions give."""
-    c = duck("SELECT n_regionkey AS type, c_acctbal AS balance, c_nationkey::DOUBLE AS code FROM customer JOIN nation ON n_nationkey = c_nationkey")
+    """Each region that has customers has a rule; its scores are what its conditions give there and on the suppliers."""
+    rows = {side: duck(f"SELECT n_regionkey AS type, {p}_acctbal AS balance, {p}_nationkey::DOUBLE AS code FROM {t} JOIN nation ON n_nationkey = {p}_nationkey") for side, t, p in (("", "customer", "c"), ("_other", "supplier", "s"))}
     got = QUERIES["type_rules"](spark, DATA).toPandas()
-    assert sorted(got["type"].unique()) == sorted(c["type"].unique()) == list(range(5))
-    for t, own in got.groupby("type"):
-        hit = c["type"].notna()
-        for r in own[own["feature"] != "f1"].itertuples():
-            hit &= c[r.feature] <= r.cut if r.sign == "<=" else c[r.feature] > r.cut
-        y = c["type"] == t
-        assert own.loc[own["feature"] == "f1", "cut"].iloc[0] == pytest.approx(2 * (hit & y).sum() / (hit.sum() + y.sum()))
+    assert sorted(got["type"]) == sorted(rows[""]["type"].unique()) == list(range(5))
+    for r in got.itertuples():
+        for side, df in rows.items():
+            hit = df.eval(r.rule)
+            y = df["type"] == r.type
+            assert getattr(r, f"precision{side}") == pytest.approx((hit & y).sum() / max(1, hit.sum()), abs=2e-6)
+            assert getattr(r, f"recall{side}") == pytest.approx((hit & y).sum() / max(1, y.sum()), abs=2e-6)
+            assert getattr(r, f"f1{side}") == pytest.approx(2 * (hit & y).sum() / max(1, hit.sum() + y.sum()), abs=2e-6)
+
+
+def test_graded_against(spark):
+    base = spark.createDataFrame([(float(i), float(-i)) for i in range(1, 10)], "a double, b double")
+    df = spark.createDataFrame([(0.5, 0.0), (9.5, -9.5), (5.0, -5.0)], "a double, b double")
+    got = {r["a"]: (r["worst"], r["best"]) for r in rk.graded_against(df, base, {"a": 1, "b": -1}).collect()}
+    assert got == {0.5: (2, 0), 9.5: (0, 2), 5.0: (0, 0)}
+
+
+def test_two_sided_tail(spark):
+    z = [0.0, 0.1, -1.0, 1.96, 3.0, 6.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select(st.two_sided(F.col("z")).alias("p"), "z").collect()
+    assert all(r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), abs=3e-7) for r in got)
