@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from orrery.functions.scalars import haversine, proximity
 from orrery.operators.relational import kth_largest
 from orrery.shipping import ship
+from orrery.tables import written
 
 FLOOR = 1e-6  # least weight of a chosen neighbour's edge
 
@@ -92,11 +93,44 @@ def knn(nodes: DataFrame, k: int, mutual: bool = False, similarity: Callable = c
     return chosen.join(back, ["src", "dst"]).select("src", "dst", F.least("w", "w2").alias("w"))
 
 
-def threshold(nodes: DataFrame, mean_degree: float, similarity: Callable = cosine) -> DataFrame:
-    """Edges at least as similar as the int(mean_degree * n / 2)-th most similar pair."""
-    m = max(1, int(mean_degree * nodes.count() / 2))
-    cut = kth_largest(all_pairs(nodes, similarity).select("s"), "s", m)
-    return symmetric(all_pairs(nodes, similarity).filter(F.col("s") >= cut).select("src", "dst", F.col("s").alias("w")))
+def order_bin(s: np.ndarray) -> np.ndarray:
+    """A number below 2 ** 20 for each value, in the values' order: sign, exponent and eight bits of the fraction."""
+    raw = np.ascontiguousarray(s, np.float64).view(np.uint64)
+    ordered = np.where(raw >> np.uint64(63) == 1, ~raw, raw | np.uint64(1 << 63))
+    return (ordered >> np.uint64(44)).astype(np.int64)
+
+
+def threshold(nodes: DataFrame, mean_degree: float, similarity: Callable = cosine, block: int = 1024) -> DataFrame:
+    """Edges at least as similar as the int(mean_degree * n / 2)-th most similar pair. Blocks first count their pairs by
+    bins of similarity; only pairs of the bins that reach so many leave them."""
+    rows = nodes.select(F.col("id").cast("long").alias("id"), "features")
+    m = max(1, int(mean_degree * rows.count() / 2))
+
+    def scored(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
+        s = similarity(matrix(left), matrix(right)) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        i, j = np.nonzero(a[:, None] < b[None, :])
+        return a[i], b[j], s[i, j]
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        bins, n = np.unique(order_bin(scored(left, right)[2]), return_counts=True)
+        return pa.table([pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["bin", "n"])
+
+    counts = block_pairs(rows, count, "bin long, n long", block).groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # 2 ** 20 rows at most
+    least, seen = 0, 0
+    for r in counts:
+        least, seen = r["bin"], seen + r["n"]
+        if seen >= m:
+            break
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, s = scored(left, right)
+        ok = order_bin(s) >= least
+        return pa.table([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64()), pa.array(s[ok], pa.float64())], names=["src", "dst", "s"])
+
+    pairs = written(block_pairs(rows, near, "src long, dst long, s double", block), "pairs")
+    cut = kth_largest(pairs.select("s"), "s", m)
+    return symmetric(pairs.filter(F.col("s") >= cut).select("src", "dst", F.col("s").alias("w")))
 
 
 def fuse(g: DataFrame, a: DataFrame, alpha: float) -> DataFrame:

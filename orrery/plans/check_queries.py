@@ -244,9 +244,9 @@ def gap_summary(spark, d):
     return rounded(models.gap_stability(early, late), "r2_out_of_fold", "spearman_first_last")
 
 
-@query(f"""WITH {P}, s AS (SELECT id, m, sum(v) AS v FROM f GROUP BY 1, 2) SELECT n_regionkey AS region, m, count(*) AS n, round(sum(v), 2) AS v FROM s JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2""")
+@query(f"""WITH {P}, s AS (SELECT id, m, sum(v) AS v FROM f GROUP BY 1, 2) SELECT n_regionkey AS region, m, count(*) AS n, round(sum(v), 4) AS v FROM s JOIN supplier ON s_suppkey = id JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2""")
 def spending_by_region(spark, d):
     """The spending panel with its territories' dimension."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
     s = table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey").select(F.col("s_suppkey").alias("id"), "region")  # nations are fixed in number
-    return panel(spark, d, "id", "m").join(s, "id").groupBy("region", "m").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("v"))
+    return panel(spark, d, "id", "m").join(s, "id").groupBy("region", "m").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("v"))

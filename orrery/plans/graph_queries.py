@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orrery.operators import graph as g
 from orrery.operators import measures as ms
 from orrery.plans.registry import query, r6, rounded, table
+from orrery.tables import written
 
 
 def nodes(spark, d: str) -> DataFrame:
@@ -16,7 +17,8 @@ def nodes(spark, d: str) -> DataFrame:
 
 
 def edges(spark, d: str, k: int = 10, **kw) -> DataFrame:
-    return g.knn(nodes(spark, d), k, **kw)
+    """The neighbour graph, written once for all that a query reads of it."""
+    return written(g.knn(nodes(spark, d), k, **kw), "edges")
 
 
 def labels(spark, d: str) -> DataFrame:

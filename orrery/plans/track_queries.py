@@ -147,7 +147,7 @@ def subsamples(spark, d):
 @query()
 def network_summary(spark, d):
     """Small-world ratio: clustering and paths against degree-preserving rewirings."""
-    e = written(edges(spark, d))
+    e = edges(spark, d)
     c = ms.clustering_coefficient(e)
     r = series.rewired(e, [1, 2, 3]).agg(F.avg("clustering").alias("random"))
     path = series.path_lengths(e, nodes(spark, d)).agg((F.sum("total") / F.sum("reached")).alias("mean_path"))
