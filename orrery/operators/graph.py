@@ -30,7 +30,9 @@ def block_pairs(nodes: DataFrame, fn: Callable, schema: str, block: int = 2048,
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     left = own.withColumnRenamed("_b", "_i").withColumn("_j", every)
     right = own.select(*(F.col(c).alias(c) for c in columns), F.col("_b").alias("_j")).withColumn("_i", every)  # attributes of its own
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(fn, schema)
+    n = min(2 * parts * parts, 4096)  # a numbered partitioning stays as it is, though pairs of blocks are few bytes
+    deal = lambda t: t.repartition(n, "_i", "_j").groupBy("_i", "_j")
+    return deal(left).cogroup(deal(right)).applyInArrow(fn, schema)
 
 
 def matrix(t: pa.Table, column: str = "features") -> np.ndarray:

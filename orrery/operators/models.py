@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import clustering as cl
 from orrery.operators.sparse import Links, nearest
-from orrery.shipping import ship
+from orrery.shipping import dealt, ship
 
 #: The scenarios' names, and the indices that are compared with recovery.
 SCENARIOS = ("calibrated", "pairs_by_spending", "spending_only", "noisier", "independent_graph", "no_spending")
@@ -153,7 +153,7 @@ def synthetic_grid(spark: SparkSession, sources: dict[str, Types], methods: list
         return pa.Table.from_pylist(out, pa.schema(kinds))
 
     schema = "source string, scenario string, repeat int, method string, ari double" + "".join(f", `{i}` double" for i in INDICES if indices)
-    return cells.groupBy("source", "scenario", "repeat").applyInArrow(work, schema)
+    return dealt(cells, "source", "scenario", "repeat").applyInArrow(work, schema)
 
 
 def win_counts(rows: DataFrame, reference: str) -> DataFrame:

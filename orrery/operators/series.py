@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.operators import graph as g
 from orrery.operators.clustering import snapshot_rows, unpack
 from orrery.operators.timewin import standardized
-from orrery.shipping import ship
+from orrery.shipping import dealt, ship
 
 MAX_EDGES = 5_000_000  # of a graph that is sent whole to tasks
 
@@ -150,7 +150,7 @@ def rewired(edges: DataFrame, seeds: list[int], swaps: int = 10) -> DataFrame:
             out.append(float(np.mean(local)) if local else 0.0)
         return pa.table({"seed": t.column("seed"), "clustering": pa.array(out, pa.float64())})
 
-    return spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInArrow(work, "seed long, clustering double")
+    return dealt(spark.createDataFrame([(s,) for s in seeds], "seed long"), "seed").applyInArrow(work, "seed long, clustering double")
 
 
 def moran_tests(edges: DataFrame, nodes: DataFrame, permutations: int, tasks: int = 16) -> DataFrame:
@@ -175,7 +175,7 @@ def moran_tests(edges: DataFrame, nodes: DataFrame, permutations: int, tasks: in
         return pa.table({"perm": pa.array(np.repeat(perms, dims), pa.int32()), "dim": pa.array(np.tile(np.arange(dims), len(perms)), pa.int32()), "moran": pa.array(np.concatenate(values))})
 
     every = spark.range(permutations + 1).select(F.col("id").cast("int").alias("perm"), (F.col("id") % tasks).alias("task"))
-    found = every.groupBy("task").applyInArrow(work, "perm int, dim int, moran double")
+    found = every.repartition(tasks, "task").groupBy("task").applyInArrow(work, "perm int, dim int, moran double")
     base = F.max(F.when(F.col("perm") == 0, F.col("moran"))).over(Window.partitionBy("dim"))  # a row for each permutation
     return found.withColumn("m0", base).groupBy("dim").agg(F.first("m0").alias("moran"), ((F.count(F.when((F.col("perm") > 0) & (F.col("moran") >= F.col("m0")), 1)) + 1) / (permutations + 1)).alias("p"))
 
