@@ -10,7 +10,7 @@ A piece's demand follows from its length, so pieces of one length are alike, and
 exactly from its length histogram, which has at most max_tokens rows whatever the corpus' size. The driver
 replays best fit on classes of sequences with equal residuals, many at once, and gives a table of steps: the
 pieces of length L with ranks [a, b) fill sequences from s on, m in each, from offset o on. The workers number
-the pieces of each length (in as many groups as the length's count asks for) and look their step
+the pieces of each length (in as many groups as the length's share of all pieces asks for) and look their step
 up by rank. This is the same packing that one sequential pass over all pieces would give.
 
 Defined results: a null text counts as empty and is one piece of one id (0); longer documents than max_tokens
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import text as tx
 from orrery.llm.store import materialise
+from orrery.skew import LEAST_PARTS
 
 #: The step table is broadcast up to this many rows (48 bytes each), else joined by shuffle.
 BROADCAST_STEPS = 200_000
@@ -158,7 +159,9 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int = MAX_DOCS, ma
     by_length: dict[int, list] = {n: [] for n in histogram}
     for s in steps:
         by_length[s[0]].append(s[1:])
-    table = spark.createDataFrame([(n, -(-histogram[n] // rows_per_salt), v) for n, v in by_length.items()], "length long, _salts int, _steps array<struct<lo: long, hi: long, first: long, each: long, at: long>>")
+    share = max(1, sum(histogram.values()) // max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a task's even part of all pieces
+    per = min(rows_per_salt, share)
+    table = spark.createDataFrame([(n, -(-histogram[n] // per), v) for n, v in by_length.items()], "length long, _salts int, _steps array<struct<lo: long, hi: long, first: long, each: long, at: long>>")
     salted = pieces.join(F.broadcast(table.select("length", "_salts")), "length").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int")).drop("_salts")
     salted = materialise(salted.select(*pieces.columns, "_salt"), "pack-salted")
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
