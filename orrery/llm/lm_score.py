@@ -136,8 +136,8 @@ def count_pieces(docs: DataFrame, n_buckets: int, text_col: str = "text") -> Dat
         for rb in tx.chunks(batches, text_col, 8 << 20):
             own, lens = token_hashes(tx.raw(rb.column(text_col)))
             pair, triple, first = chain(own, lens)
-            rows: list[list] = [[] for _ in range(5)]
-            for kind, values in ((WORDS, own), (PAIRS, pair), (TRIPLES, triple[~first])):
+            for kind, values in ((WORDS, own), (PAIRS, pair), (TRIPLES, triple[~first])):  # a batch a kind
+                rows: list[list] = [[] for _ in range(5)]
                 keys, counts = np.unique(values, return_counts=True)
                 where = bucket_of(keys, n_buckets)
                 cut = np.flatnonzero(np.concatenate([[True], np.diff(where) != 0, [True]])) if len(keys) else np.zeros(1, np.int64)
@@ -146,7 +146,7 @@ def count_pieces(docs: DataFrame, n_buckets: int, text_col: str = "text") -> Dat
                     own_keys, o = short[a:z], once[a:z]
                     for c, v in zip(rows, (int(where[a]), kind, own_keys[o].tobytes(), own_keys[~o].tobytes(), counts[a:z][~o].tobytes()), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int8()), *(pa.array(c, pa.binary()) for c in rows[2:])], names=["bucket", "kind", "once", "more", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int8()), *(pa.array(c, pa.binary()) for c in rows[2:])], names=["bucket", "kind", "once", "more", "counts"])
 
     return docs.select(text_col).mapInArrow(run, "bucket int, kind byte, once binary, more binary, counts binary")
 
@@ -169,33 +169,58 @@ def probe(short: np.ndarray, kind: int, level: int) -> tuple[np.ndarray, np.ndar
     return g >> U(32), bits
 
 
-def segment(short: np.ndarray, counts: np.ndarray, kind: int, m: Model) -> np.ndarray:
-    """A bucket's part of the filter."""
-    level = levels(counts, m.base) if len(counts) else np.zeros(0, np.int64)
-    out = np.zeros(max(1, -(-int(level.sum()) * m.bits_per_entry // 64)), np.uint64)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        where, bits = probe(short[level >= j], kind, j)
-        np.bitwise_or.at(out, (where * U(len(out)) >> U(32)).astype(np.int64), bits)
+def segment(short: np.ndarray, counts: np.ndarray, kind: int, m: Model, block: int = 1 << 16) -> np.ndarray:
+    """A bucket's part of the filter, made from `block` keys at a time."""
+    cut = [slice(a, a + block) for a in range(0, len(short), block)]
+    size = sum(int(levels(counts[at], m.base).sum()) for at in cut)
+    out = np.zeros(max(1, -(-size * m.bits_per_entry // 64)), np.uint64)
+    for at in cut:
+        own, level = short[at].astype(np.uint64), levels(counts[at], m.base)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            where, bits = probe(own[level >= j], kind, j)
+            np.bitwise_or.at(out, (where * U(len(out)) >> U(32)).astype(np.int64), bits)
     return out
 
 
+def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all rows of a binary column, one after another."""
+    return np.frombuffer(b"".join(v.as_buffer() for chunk in column.chunks for v in chunk), kind)
+
+
+def sums_of_words(once: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit keys, sorted, with the sums of their counts."""
+    keys = np.concatenate([once, more])
+    n = np.concatenate([np.ones(len(once), np.int64), counts.astype(np.int64)])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def sums_of_short(once: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for 32-bit keys: each stands above its count in one number, which is sorted in its place."""
+    held = np.empty(len(once) + len(more), np.uint64)
+    held[: len(once)], held[len(once) :] = once, more
+    held <<= U(32)
+    held[: len(once)] |= U(1)
+    held[len(once) :] |= counts
+    held.sort()
+    keys = (held >> U(32)).astype(np.uint32)
+    held &= U(0xFFFFFFFF)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(held, first).astype(np.int64)
+
+
 def add_up(pieces: DataFrame, m: Model) -> DataFrame:
     """bucket, kind, n (distinct keys), total, keys (of words: hashes; else: the filter's segment), counts (of words)."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        width = np.uint64 if kind == WORDS else np.uint32
-        once, more = join("once", width), join("more", width)
-        keys = np.concatenate([once, more])
-        counts = np.concatenate([np.ones(len(once), np.int64), join("counts", np.uint32).astype(np.int64)])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
+        width, sums = (np.uint64, sums_of_words) if kind == WORDS else (np.uint32, sums_of_short)
+        keys, counts = sums(joined(table.column("once"), width), joined(table.column("more"), width), joined(table.column("counts"), np.uint32))
         n, total = len(keys), int(counts.sum())
         if kind != WORDS:
-            keys, counts = segment(keys.astype(np.uint64), counts, kind, m), counts[:0]
+            keys, counts = segment(keys, counts, kind, m), counts[:0]
         cols = [table.column("bucket")[0].as_py(), kind, n, total, keys.tobytes(), counts.tobytes()]
         kinds = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "kind", "n", "total", "keys", "counts"])
@@ -277,7 +302,7 @@ def parts(c: dict, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def grouped(batches: Iterator[pa.RecordBatch], m: Model, text_col: str) -> Iterator[list[tuple[pa.RecordBatch, Tokens]]]:
     """Pieces of at most 2 MB of text, several at once if there are several shards to read for them."""
-    room, held, out = 1 if len(m.shards) <= 1 else 16 << 20, 0, []
+    room, held, out = 1 if len(m.shards) <= 1 else 8 << 20, 0, []
     for rb in tx.chunks(batches, text_col, 2 << 20):
         out.append((rb, read_tokens(tx.raw(rb.column(text_col)))))
         held += rb.column(text_col).nbytes

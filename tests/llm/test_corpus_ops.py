@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -166,6 +167,26 @@ def floor_of_level(n):
     return out
 
 
+def test_bucket_sums_take_little_memory():
+    """Sums of 32-bit keys against numpy's, and the filter against one made at once, in little more room than the keys."""
+    rng = np.random.default_rng(5)
+    once, more = (rng.integers(0, 1 << 22, n).astype(np.uint32) for n in (400_000, 100_000))
+    n = rng.integers(2, 1 << 16, len(more)).astype(np.uint32)
+    keys, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+    want = np.bincount(at, np.concatenate([np.ones(len(once)), n])).astype(np.int64)
+    m = lm_score.Model(12)
+    tracemalloc.start()
+    got, counts = lm_score.sums_of_short(once, more, n)
+    bits = lm_score.segment(got, counts, lm_score.PAIRS, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == keys).all() and (counts == want).all()
+    assert (bits == lm_score.segment(got, counts, lm_score.PAIRS, m, block=1 << 30)).all()
+    assert peak < 50 * (len(once) + len(more))
+    words = lm_score.sums_of_words(*(np.array(v, t) for v, t in (([5, 3], np.uint64), ([3], np.uint64), ([7], np.uint32))))
+    assert [c.tolist() for c in words] == [[3, 5], [8, 1]]
+
+
 def test_lm(make_docs, odd_rows, prose):
     data = [r for r in odd_rows if r[0] is not None] + [(100 + i, prose(i % 9, 80)) for i in range(30)]
     docs = make_docs(data)
